@@ -291,20 +291,20 @@ def lifecycle_findings(manifests: DataFrame, rules: RuleSet) -> DataFrame:
 
 def npm_dependencies(manifests: DataFrame) -> DataFrame:
     """Declared dependencies of the four maps; entries that are not text are left out."""
-    entries = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.map_entries(key), F.array()),
-                lambda e, kind=kind, dev=dev: F.struct(
-                    F.lit(kind).alias("dependency_type"),
-                    e["key"].alias("dependency_name"),
-                    F.when(F.schema_of_variant(e["value"]) == "STRING", F.variant_get(e["value"], "$", "string")).alias("declared_version"),
-                    F.lit(dev).alias("development"),
-                ),
+
+    def entries_of(key: str, kind: str, development: bool) -> Column:
+        def entry(e: Column) -> Column:
+            is_text = F.schema_of_variant(e["value"]) == "STRING"
+            return F.struct(
+                F.lit(kind).alias("dependency_type"),
+                e["key"].alias("dependency_name"),
+                F.when(is_text, F.variant_get(e["value"], "$", "string")).alias("declared_version"),
+                F.lit(development).alias("development"),
             )
-            for key, kind, dev in DEPENDENCY_MAPS
-        ]
-    )
+
+        return F.coalesce(F.transform(F.map_entries(key), entry), F.array())
+
+    entries = F.concat(*[entries_of(*m) for m in DEPENDENCY_MAPS])
     return (
         manifests.select("artifact_sha256", F.explode(entries).alias("d"))
         .select("artifact_sha256", "d.*")

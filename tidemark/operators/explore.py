@@ -326,10 +326,11 @@ def match_terms(docs: DataFrame, query: str, fields: tuple[str, ...]) -> DataFra
         raise ValueError("search query has no terms")
     tokens = F.concat(*[text.tokens(f) for f in fields])
     counted = docs.withColumn("tokens", tokens)
-    tf = F.array(
-        *[F.size(F.filter(F.col("tokens"), lambda t, term=term: F.startswith(t, F.lit(term)))) for term in terms]
-    )
-    return counted.withColumn("tf", tf)
+
+    def frequency(term: str) -> Column:
+        return F.size(F.filter("tokens", lambda t: F.startswith(t, F.lit(term))))
+
+    return counted.withColumn("tf", F.array(*[frequency(term) for term in terms]))
 
 
 def all_terms(matched: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from ..functions.urls import url_parts
 from ..schemas import OFFICIAL_META, READ_MODEL
 
 
-def observation_lines(observations: DataFrame) -> DataFrame:
-    """One normalized JSON line per observation: fixed member order, compact inventory."""
+def observation_line() -> Column:
+    """Normalized JSON line of an observation row: fixed member order, inventory text as it is."""
 
     def q(name: str) -> Column:
         return F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
 
-    line = F.concat(
+    return F.concat(
         F.lit('{"observation_version":1,"observed_at":'), q("observed_at"),
         F.lit(',"target_id":'), q("target_id"),
         F.lit(',"source_type":'), q("source_type"),
@@ -25,7 +25,10 @@ def observation_lines(observations: DataFrame) -> DataFrame:
         F.lit(',"inventory":'), F.col("inventory_json"),
         F.lit("}"),
     )
-    return observations.select(line.alias("value"))
+
+
+def observation_lines(observations: DataFrame) -> DataFrame:
+    return observations.select(observation_line().alias("value"))
 
 
 def append_observations(observations: DataFrame, path: str) -> None:
