@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, drift_queries, scalar_queries  # noqa: F401
+from . import artifact_queries, catalog_queries, drift_queries, queue_queries, scalar_queries  # noqa: F401
 from .views import ORACLES, QUERIES, Query
 
 
