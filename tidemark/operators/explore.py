@@ -376,27 +376,27 @@ def search_ranked(
     )
 
 
-def show_versions(versions: DataFrame, identifier: str) -> DataFrame:
-    """All versions of one identifier, children nested in their order.
+def nested(versions: DataFrame) -> DataFrame:
+    """Versions with their children as ordered arrays, read from the stored record.
 
-    The stored record already holds its children as ordered arrays; nothing is re-collected.
+    The record already holds its children in order; nothing is joined or collected.
     """
-    return (
-        versions.filter(F.col("server_identifier") == identifier)
-        .withColumn("record", F.from_json("canonical_json", CANONICAL_RECORD))
-        .select(
-            "id",
-            "server_identifier",
-            "server_version",
-            F.col("record.description").alias("description"),
-            F.col("record.repository").alias("repository"),
-            F.col("record.packages").alias("packages"),
-            F.col("record.remotes").alias("remotes"),
-        )
-        .orderBy("server_version", "id")
+    return versions.withColumn("record", F.from_json("canonical_json", CANONICAL_RECORD)).select(
+        "id",
+        "server_identifier",
+        "server_version",
+        F.col("record.description").alias("description"),
+        F.col("record.repository").alias("repository"),
+        F.col("record.packages").alias("packages"),
+        F.col("record.remotes").alias("remotes"),
     )
 
 
+def show_versions(versions: DataFrame, identifier: str) -> DataFrame:
+    """All versions of one identifier, bytewise by version, children nested in their order."""
+    return nested(versions.filter(F.col("server_identifier") == identifier)).orderBy("server_version", "id")
+
+
 def show_children(cat: Catalog, identifier: str) -> DataFrame:
     """Flat display of one identifier: a row per child, ordered by version, kind and position."""
     mine = cat.versions.filter(F.col("server_identifier") == identifier).select(

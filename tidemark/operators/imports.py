@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS
+from ..session import staged
 from ..sinks.publish import _path, catalog_tables, publish_generation
 from ..sources import bundles
 from . import validation
@@ -35,8 +36,8 @@ def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def check_bundle(spark: SparkSession, bundle: str) -> DataFrame:
     """All problems of a bundle as ``(check, detail)`` rows; empty for a valid bundle."""
     manifest = bundles.read_manifest(spark, bundle)
-    artifacts = bundles.read_artifacts(spark, bundle)
-    records = bundles.read_canonical(spark, bundle, numbered=True)
+    artifacts = staged(bundles.read_artifacts(spark, bundle), "artifacts")
+    records = staged(bundles.read_canonical(spark, bundle, numbered=True), "records")
     index = bundles.read_page_index(spark, bundle)
     head = manifest.select("registry_base_url", "updated_since").limit(1).collect()[0]
     declared = manifest.select(F.explode("artifacts").alias("a")).select("a.*")
@@ -76,18 +77,19 @@ def import_bundle(spark: SparkSession, bundle: str, root: str, imported_at: str,
     """Import one completed bundle; statistics of the import, or None when it is known already."""
     if not bundles.is_completed(spark, bundle):
         raise InvalidBundle("bundle has no completion marker")
-    if check:
-        problems = check_bundle(spark, bundle).limit(5).collect()
-        if problems:
-            raise InvalidBundle("; ".join(f"{p['check']}: {p['detail']}" for p in problems))
     manifest = bundles.read_manifest(spark, bundle)
     digest = manifest.select("snapshot_sha256").limit(1).collect()[0][0]
     folders = _imports(spark, root)
     if any(f.endswith(f"-{digest}") for f in folders):
         return None
+    if check:
+        problems = check_bundle(spark, bundle).limit(5).collect()
+        if problems:
+            raise InvalidBundle("; ".join(f"{p['check']}: {p['detail']}" for p in problems))
     number = len(folders) + 1
     stored = read_catalog(spark, root)
-    records = bundles.read_canonical(spark, bundle)
+    # Parsed once; every table below reads only its own columns of the staged records.
+    records = staged(bundles.read_canonical(spark, bundle), "records")
     tables = catalog_tables(records)
     versions = tables.pop("server_versions")
     keys = ["server_identifier", "server_version", "canonical_sha256"]

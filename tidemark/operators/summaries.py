@@ -170,10 +170,9 @@ def _queue_counts() -> list[Column]:
     ]
 
 
-def _finding_totals(when: Column | None) -> list[Column]:
+def _finding_totals(weight: Column) -> list[Column]:
     def total(value: Column) -> Column:
-        inner = value if when is None else F.when(when, value)
-        return F.coalesce(F.sum(inner), F.lit(0)).cast("bigint")
+        return F.coalesce(F.sum(value * weight), F.lit(0)).cast("bigint")
 
     return [
         *[total(F.col(f"{s}_count")).alias(f"{s}_findings") for s in SEVERITIES],
@@ -186,34 +185,38 @@ def _finding_totals(when: Column | None) -> list[Column]:
     ]
 
 
-def coverage_by_package(queue: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Coverage per profile in which a run counts once for every package that uses it."""
-    joined = queue.join(
-        summaries.drop(*[c for c in summaries.columns if c in queue.columns and c != "analysis_run_id"]),
-        "analysis_run_id",
-        "left",
-    )
-    return joined.groupBy("profile_key").agg(*_queue_counts(), *_finding_totals(F.col("state") == "completed"))
-
+def _coverage(queue: DataFrame, summaries: DataFrame, weight: Column) -> DataFrame:
+    """Queue counts beside finding totals over the completed runs of each profile.
 
-def coverage_by_run(queue: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Coverage per profile in which a shared run counts once. The authoritative totals."""
+    Completed rows fold to (profile, run, uses) before they meet the summaries, so a run that
+    very many packages share is one row in the join.
+    """
     packages = queue.groupBy("profile_key").agg(*_queue_counts())
     used = (
         queue.filter((F.col("state") == "completed") & F.col("analysis_run_id").isNotNull())
-        .select("profile_key", "analysis_run_id")
-        .distinct()
+        .groupBy("profile_key", "analysis_run_id")
+        .agg(F.count(F.lit(1)).alias("uses"))
     )
     totals = (
         used.join(summaries, "analysis_run_id")
         .groupBy("profile_key")
-        .agg(*_finding_totals(None), F.count(F.lit(1)).alias("distinct_completed_runs"))
+        .agg(*_finding_totals(weight), F.count(F.lit(1)).alias("distinct_completed_runs"))
     )
     joined = packages.join(totals, "profile_key", "left")
     rest = [c for c in totals.columns if c != "profile_key"]
     return joined.select(*packages.columns, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in rest])
 
 
+def coverage_by_package(queue: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Coverage per profile in which a run counts once for every package that uses it."""
+    return _coverage(queue, summaries, F.col("uses")).drop("distinct_completed_runs")
+
+
+def coverage_by_run(queue: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Coverage per profile in which a shared run counts once. The authoritative totals."""
+    return _coverage(queue, summaries, F.lit(1))
+
+
 def static_queue_summary(queue: DataFrame) -> DataFrame:
     return queue.groupBy("profile_key").agg(
         F.count(F.lit(1)).alias("total_package_records"),

@@ -265,5 +265,5 @@ def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
     ids.select(F.col("doc_id").cast("string")).write.text(path)
     numbered = lines.number_lines(lines.read_lines(spark, path))
     placed = numbered.select(F.col("value").cast("bigint").alias("doc_id"), "file", "line_no")
-    whole = ordering.global_position(placed, [F.asc("line_no")], F.col("file"), False, "position")
+    whole = ordering.global_position(placed, [F.asc("line_no")], F.struct("file", F.floor(F.col("line_no") / 100_000)), False, "position")
     return whole.select("doc_id", F.col("position").alias("line_no"))

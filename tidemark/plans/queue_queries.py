@@ -421,7 +421,7 @@ def applied_transitions(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "v29_verified_runs",
     with_views(
-        """SELECT profile_key, package_id, q.analysis_run_id, r.id IS NOT NULL AS verified FROM queue q LEFT JOIN runs r ON r.id = q.analysis_run_id
+        """SELECT profile_key, q.package_id, q.analysis_run_id, r.id IS NOT NULL AS verified FROM queue q LEFT JOIN runs r ON r.id = q.analysis_run_id
         AND r.status = 'completed' AND r.analyzer_version = '1' AND r.ruleset_version = 'BUILDING' WHERE q.state = 'completed'""",
         "queue",
         "runs",

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import artifact_queries, catalog_queries, drift_queries, queue_queries, scalar_queries  # noqa: F401
+from . import (  # noqa: F401
+    artifact_queries,
+    catalog_queries,
+    drift_queries,
+    import_queries,
+    queue_queries,
+    scalar_queries,
+    stream_queries,
+)
 from .views import ORACLES, QUERIES, Query
 
 

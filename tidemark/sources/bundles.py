@@ -38,7 +38,7 @@ def read_manifest(spark: SparkSession, bundles: str | list[str]) -> DataFrame:
     return (
         spark.read.schema(MANIFEST)
         .json(paths, multiLine=True)
-        .select("*", F.regexp_replace(F.col("_metadata.file_path"), r"/manifest\.json\z", "").alias("bundle"))
+        .select("*", F.regexp_replace(F.col("_metadata.file_path"), r"/manifest\.json.*\z", "").alias("bundle"))
     )
 
 
@@ -51,10 +51,9 @@ def read_pages(spark: SparkSession, bundle: str) -> DataFrame:
 
     A page is one bounded response (8 MiB at most), so a whole file per row is safe.
     """
-    raw = spark.read.text(f"{bundle}/raw/page-*.json", wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"page-0*([0-9]+)\.json", 1)
-        .cast("bigint")
-        .alias("page"),
+    whole = spark.read.option("recursiveFileLookup", "true").text(f"{bundle}/raw/page[-=]*", wholetext=True)
+    raw = whole.select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"/raw/page[-=]0*([0-9]+)", 1).cast("bigint").alias("page"),
         F.col("value").alias("body"),
     )
     doc = raw.withColumn("doc", F.from_json("body", PAGE))
@@ -212,17 +211,17 @@ def record_digest(canonical: Column | str) -> Column:
 
 
 def read_artifacts(spark: SparkSession, bundle: str) -> DataFrame:
-    """Path, size and digest of every file of a bundle but its manifest and marker."""
+    """Path, size and digest of every page and canonical file of a bundle.
+
+    A page written as a one-file folder goes by the name of its folder.
+    """
+    relative = F.regexp_extract("path", r"/((?:raw|canonical)/.*)\z", 1)
+    name = F.regexp_replace(relative, r"\A(raw/page=[0-9]+)/.*\z", "$1")
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .load(bundle)
-        .select(
-            F.regexp_extract("path", r"/((?:raw|canonical)/[^/]+(?:/part-[^/]+)?)\z", 1).alias("path"),
-            F.col("length").alias("size"),
-            F.sha2("content", 256).alias("sha256"),
-        )
-        .filter(F.col("path") != "")
+        .load(f"{bundle}/{{raw/page[-=]*,canonical}}")
+        .select(name.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
     )
 
 

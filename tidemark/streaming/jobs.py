@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.imports import import_bundle
 from ..operators.summaries import detail_deltas, merge_counters
+from ..sources.bundles import completed_bundles
 
 _ROW = "target_id string, observed_at string, seq bigint, inventory string"
 _STATE = "at1 string, seq1 bigint, inv1 string, at2 string, seq2 bigint, inv2 string"
@@ -140,24 +141,28 @@ def streamed_counters(spark: SparkSession, path: str) -> DataFrame:
     return merge_counters(spark.read.parquet(path).drop("batch"))
 
 
+def import_pending(spark: SparkSession, arrivals: str, root: str, imported_at: str) -> None:
+    """Import the completed bundles of a folder in name order. Known snapshots are no-ops."""
+    for bundle in completed_bundles(spark, arrivals):
+        import_bundle(spark, bundle, root, imported_at)
+
+
 def import_stream(spark: SparkSession, arrivals: str, root: str, checkpoint: str, imported_at: str) -> None:
-    """Import bundles as their marker files arrive, in name order. Replays are no-ops."""
-    markers = (
-        spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary")
-        .format("binaryFile")
-        .load(f"{arrivals}/*/_SUCCESS*")
-    )
+    """Import bundles as their manifests arrive.
+
+    A manifest is written before the marker, so each batch looks at all completed bundles, and
+    one more look follows the last batch: a bundle completed in between is not missed.
+    """
+    manifests = spark.readStream.option("recursiveFileLookup", "true").text(f"{arrivals}/*/manifest.json*")
 
     def run(batch: DataFrame, number: int) -> None:
-        # One short path per arrived bundle.
-        for row in batch.select("path").orderBy("path").toLocalIterator():
-            bundle = row["path"].rsplit("/", 1)[0]
-            import_bundle(spark, bundle, root, imported_at)
+        import_pending(spark, arrivals, root, imported_at)
 
     (
-        markers.writeStream.foreachBatch(run)
+        manifests.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
+    import_pending(spark, arrivals, root, imported_at)
