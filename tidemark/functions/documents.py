@@ -7,6 +7,7 @@ Spark partitions the rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from json.decoder import JSONDecoder, scanstring
 from json.encoder import encode_basestring
@@ -23,6 +24,9 @@ MAX_TOOLS = 1024
 MAX_TOOL_NAME_BYTES = 1024
 MAX_DEPTH = 64
 TARGET_KINDS = ("local_package", "remote_endpoint")
+RECORD_MEMBERS = ("description", "repository", "packages", "remotes")
+MAX_VERSION_BYTES = 255
+EPOCH = "1970-01-01T00:00:00Z"
 # End of fixed values.
 
 
@@ -34,6 +38,13 @@ class Rejected(ValueError):
     pass
 
 
+_DATE = r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])T(?:[01][0-9]|2[0-3]):[0-5][0-9]:"
+_TIME_59 = re.compile(_DATE + r"[0-5][0-9]Z")
+_TIME = re.compile(_DATE + r"(?:[0-5][0-9]|60)Z")
+_NAME = re.compile(r"(?=.{3,200}\Z)[A-Za-z0-9.-]+/[A-Za-z0-9._-]+")
+_VERSION_TEXT = re.compile(r"[^\x00-\x1f\x7f]+")
+
+
 def _unique(pairs):
     out = dict(pairs)
     if len(out) != len(pairs):
@@ -82,6 +93,43 @@ def canonical_text(text: str) -> str | None:
         return None
 
 
+def build_record(text: str, registry: str, official: str) -> dict:
+    """Canonical record of one raw list entry.
+
+    The entry itself is kept whole; its digest covers everything but the digest and the time.
+    """
+    entry, end = _CANONICAL.raw_decode(text, len(text) - len(text.lstrip(_SPACE)))
+    if text[end:].strip(_SPACE) or not isinstance(entry, dict):
+        raise Rejected("server list entry must be an object")
+    server = entry.get("server")
+    if not isinstance(server, dict):
+        raise Rejected("server list entry is missing server object")
+    name, version = server.get("name"), server.get("version")
+    if isinstance(name, _Spelled) or isinstance(version, _Spelled) or not (
+        isinstance(name, str) and _NAME.fullmatch(name) and isinstance(version, str) and _VERSION_TEXT.fullmatch(version)
+    ) or len(version.encode("utf-8")) > MAX_VERSION_BYTES:
+        raise Rejected("server record has invalid name or exact version")
+    record = {k: server[k] for k in RECORD_MEMBERS if k in server}
+    record.update(
+        record_version=_Spelled("1"), registry=registry, server_identifier=name, server_version=version, original=entry
+    )
+    digest = hashlib.sha256(_spell(record).encode("utf-8")).hexdigest()
+    meta = entry.get("_meta")
+    times = meta.get(official) if isinstance(meta, dict) else None
+    times = times if isinstance(times, dict) else {}
+    stamps = [times.get(k) for k in ("updatedAt", "publishedAt")]
+    good = [t for t in stamps if isinstance(t, str) and not isinstance(t, _Spelled) and _TIME_59.fullmatch(t)]
+    observed = good[0] if good else EPOCH
+    record.update(observed_at=observed, canonical_sha256=digest)
+    return {
+        "server_identifier": name,
+        "server_version": version,
+        "observed_at": observed,
+        "canonical_sha256": digest,
+        "canonical_json": _spell(record),
+    }
+
+
 _OUTSIDE = re.compile(r'("(?:[^"\\]|\\.)*")|[ \t\r\n]+', re.S)
 
 
@@ -208,11 +256,6 @@ def _inventory(text: str) -> tuple[str, list[dict]]:
     return executable, tools
 
 
-_TIME = re.compile(
-    r"[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])T(?:[01][0-9]|2[0-3]):[0-5][0-9]:(?:[0-5][0-9]|60)Z"
-)
-
-
 def parse_observation(text: str) -> dict:
     start = _body(text, MAX_OBSERVATION_BYTES)
     names = (
@@ -274,6 +317,10 @@ OBSERVATION = (
     "inventory_json string"
 )
 INVENTORY = f"error string, executable string, tools {_TOOLS}"
+RECORD = (
+    "error string, server_identifier string, server_version string, observed_at string, "
+    "canonical_sha256 string, canonical_json string"
+)
 TARGET = "error string, target_id string, source_type string, kind string"
 
 
@@ -302,6 +349,11 @@ def strict_observation():
     return _strict(parse_observation, OBSERVATION)
 
 
+def record_builder(registry: str, official: str):
+    """UDF: raw entry text -> identity, digest, time and canonical text, or ``error``."""
+    return _strict(lambda text: build_record(text, registry, official), RECORD)
+
+
 def strict_inventory():
     return _strict(parse_inventory, INVENTORY)
 

@@ -42,12 +42,18 @@ def percent_encode(value: Column | str) -> Column:
     return out
 
 
+def quote_pattern(literal: str) -> str:
+    """Regular expression for a literal text."""
+    return re.sub(r"([^A-Za-z0-9_\x80-\U0010ffff])", r"\\\1", literal)
+
+
 def contains_ascii_ci(value: Column | str, needle: str) -> Column:
-    return F.contains(lower_ascii(value), lower_ascii(F.lit(needle)))
+    """Substring test that folds A-Z only, like ``(?i)`` without its Unicode flag."""
+    return col(value).rlike("(?i)" + quote_pattern(needle))
 
 
 def startswith_ascii_ci(value: Column | str, needle: str) -> Column:
-    return F.startswith(lower_ascii(value), lower_ascii(F.lit(needle)))
+    return col(value).rlike(r"(?i)\A" + quote_pattern(needle))
 
 
 def query_terms(query: str) -> list[str]:
@@ -55,6 +61,19 @@ def query_terms(query: str) -> list[str]:
     return [t for t in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", query) if t]
 
 
+WORD = r"[\p{L}\p{N}]"
+
+
+def prefix_count(lowered: Column, term: str) -> Column:
+    """Number of words of a lower-cased text that start with ``term``."""
+    pattern = rf"(?<!{WORD}){quote_pattern(term)}"
+    return F.when(F.contains(lowered, F.lit(term)), F.regexp_count(lowered, F.lit(pattern))).otherwise(0)
+
+
+def word_count(lowered: Column) -> Column:
+    return F.regexp_count(lowered, F.lit(WORD + "+"))
+
+
 def tokens(value: Column | str) -> Column:
     """Lower-cased word tokens of a text, as an array without empty entries."""
     parts = F.split(F.lower(F.coalesce(col(value), F.lit(""))), r"[^\p{L}\p{N}]+")

@@ -6,7 +6,6 @@ narrow projection with no join, no shuffle and no Python.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import spread
 from ..sources.rules import Rule, RuleSet
 
 # How a call is told from other uses of a name.
@@ -24,21 +24,17 @@ SCANNED_TYPES = ("javascript", "typescript", "typescript_declaration")
 # End of fixed values.
 
 
-def _name(name: str) -> str:
-    return re.sub(r"([^A-Za-z0-9_])", r"\\\1", name)
-
-
 def call_pattern(name: str) -> str:
-    return rf"(^|{NOT_WORD}){_name(name)}\("
+    return rf"(^|{NOT_WORD}){text.quote_pattern(name)}\("
 
 
 def process_pattern(name: str, owners: tuple[str, ...]) -> str:
-    owner = "|".join(_name(o) for o in owners)
-    return rf"(^|{NOT_WORD_OR_DOT}){_name(name)}\(|(^|{NOT_WORD})(?i:{owner})\.{_name(name)}\("
+    owner = "|".join(text.quote_pattern(o) for o in owners)
+    return rf"(^|{NOT_WORD_OR_DOT}){text.quote_pattern(name)}\(|(^|{NOT_WORD})(?i:{owner})\.{text.quote_pattern(name)}\("
 
 
 def nonliteral_pattern(name: str) -> str:
-    return rf"(^|{NOT_WORD}){_name(name)}\s*\(\s*[^\s'\"]"
+    return rf"(^|{NOT_WORD}){text.quote_pattern(name)}\s*\(\s*[^\s'\"]"
 
 
 Detector = Callable[[Column, Rule, RuleSet], Column]
@@ -93,8 +89,9 @@ DETECTORS: dict[str, Detector] = {
 
 
 def documentation_context(line: Column, rules: RuleSet) -> Column:
-    lowered = text.lower_ascii(line)
-    return reduce(lambda a, b: a | b, [_contains(lowered, m.lower()) for m in rules.documentation_markers])
+    """True when any marker occurs, letters A-Z compared without case, in one pass."""
+    markers = "|".join(text.quote_pattern(m) for m in rules.documentation_markers)
+    return line.rlike(f"(?i)(?:{markers})")
 
 
 def rule_condition(line: Column, rule: Rule, rules: RuleSet) -> Column:
@@ -112,7 +109,7 @@ def matching_rules(line: Column, rules: RuleSet) -> Column:
 
 def numbered_lines(files: DataFrame, content: str, keep: list[str]) -> DataFrame:
     """Lines with 1-based numbers. Only a newline ends a line; a trailing empty line counts."""
-    return files.select(*keep, F.posexplode(F.split(F.col(content), "\n", -1)).alias("_pos", "line")).select(
+    return spread(files.select(*keep, content)).select(*keep, F.posexplode(F.split(F.col(content), "\n", -1)).alias("_pos", "line")).select(
         *keep, (F.col("_pos") + 1).alias("line_number"), "line"
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import newest_per_key, previous_in_key
@@ -100,25 +100,25 @@ def drift_verdict(counts: DataFrame, executables: DataFrame, keys: list[str]) ->
     )
 
 
+def with_predecessor(two: DataFrame, target: str = "target_id") -> DataFrame:
+    """Rows of the targets that have two observations. Rows are already grouped by target for
+    the ranking, so this adds no shuffle and does not read the log again."""
+    size = F.max("rank").over(Window.partitionBy(target))
+    return two.withColumn("_n", size).filter("_n = 2").drop("_n")
+
+
 def latest_drift(observations: DataFrame) -> DataFrame:
     """Tool changes between the two newest observations of each target that has two."""
-    two = latest_two(observations)
-    ready = two.filter("rank = 2").select("target_id").distinct()
-    rows = tool_rows(two, ["target_id", "rank"]).join(ready, "target_id", "left_semi")
+    rows = tool_rows(with_predecessor(latest_two(observations)), ["target_id", "rank"])
     return compare_tools(rows, ["target_id"], F.col("rank") == 1)
 
 
 def latest_verdicts(observations: DataFrame) -> DataFrame:
-    two = latest_two(observations)
-    sides = (
-        two.groupBy("target_id")
-        .agg(
-            F.max(F.when(F.col("rank") == 2, F.col("executable"))).alias("executable_before"),
-            F.max(F.when(F.col("rank") == 1, F.col("executable"))).alias("executable_after"),
-            F.max("rank").alias("n"),
-        )
-        .filter("n = 2")
-        .drop("n")
+    """Drift verdict per target with two observations."""
+    two = with_predecessor(latest_two(observations))
+    sides = two.groupBy("target_id").agg(
+        F.max(F.when(F.col("rank") == 2, F.col("executable"))).alias("executable_before"),
+        F.max(F.when(F.col("rank") == 1, F.col("executable"))).alias("executable_after"),
     )
     return drift_verdict(drift_counts(latest_drift(observations), ["target_id"]), sides, ["target_id"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.urls import url_parts
 from ..schemas import CANONICAL_RECORD
+from ..session import spread, staged
 from .ordering import newest_per_key
 
 # Page sizes and the published BM25 parameters.
@@ -316,21 +318,26 @@ def search_documents(records: DataFrame, record: str = "record") -> DataFrame:
 
 
 def match_terms(docs: DataFrame, query: str, fields: tuple[str, ...]) -> DataFrame:
-    """Documents in which every query term starts some token; adds ``tokens`` and ``tf``.
+    """Word counts of each document: ``words`` in all, and ``tf`` of words each term starts.
 
     Terms are few and come from the caller, so matching is a narrow projection: no term index
     is shuffled and a frequent term costs nothing extra.
     """
-    terms = [t.lower() for t in text.query_terms(query)]
+    terms = search_terms(query)
     if not terms:
         raise ValueError("search query has no terms")
-    tokens = F.concat(*[text.tokens(f) for f in fields])
-    counted = docs.withColumn("tokens", tokens)
+    lowered = F.lower(F.concat_ws("\n", *fields))
+    rows = spread(docs).withColumn("_low", lowered)
+    return rows.select(
+        *docs.columns,
+        text.word_count(F.col("_low")).alias("words"),
+        F.array(*[text.prefix_count(F.col("_low"), term) for term in terms]).alias("tf"),
+    )
 
-    def frequency(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: F.startswith(t, F.lit(term))))
 
-    return counted.withColumn("tf", F.array(*[frequency(term) for term in terms]))
+def search_terms(query: str) -> list[str]:
+    """Lower-cased query terms, split once more at marks that are no part of a word."""
+    return [w for t in text.query_terms(query) for w in re.findall(r"[^\W_]+", t.lower())]
 
 
 def all_terms(matched: DataFrame) -> DataFrame:
@@ -342,7 +349,7 @@ def bm25(matched: DataFrame, terms: int) -> DataFrame:
 
     Collection statistics are one global aggregate row, used as scalar subqueries.
     """
-    length = F.size("tokens")
+    length = F.col("words")
     stats = matched.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(length).alias("avg_length"),
@@ -360,16 +367,25 @@ def bm25(matched: DataFrame, terms: int) -> DataFrame:
 
 
 def search_ranked(
-    docs: DataFrame, query: str, fields: tuple[str, ...], limit: int = DEFAULT_SEARCH_LIMIT, offset: int = 0
+    docs: DataFrame,
+    query: str,
+    fields: tuple[str, ...],
+    keep: tuple[str, ...] = ("server_identifier", "server_version"),
+    limit: int = DEFAULT_SEARCH_LIMIT,
+    offset: int = 0,
 ) -> DataFrame:
-    """Full-text search: exact name, name prefix, score, then identifier and version."""
+    """Full-text search: exact name, name prefix, score, then identifier and version.
+
+    The texts are read once: counts per document are staged without them, and both the
+    collection statistics and the ranking come from the staged counts.
+    """
     if not query:
         raise ValueError("search query must not be empty")
     _page(limit, offset, MAX_SEARCH_LIMIT)
-    matched = match_terms(docs, query, fields)
-    scored = bm25(matched, len(text.query_terms(query)))
+    matched = staged(match_terms(docs, query, fields).select(*keep, "words", "tf"), "search")
     return (
-        scored.drop("tokens", "tf")
+        bm25(matched, len(search_terms(query)))
+        .drop("words", "tf")
         .orderBy(*_match_order(query), F.desc("score"), "server_identifier", "server_version")
         .offset(offset)
         .limit(limit)

@@ -27,10 +27,8 @@ _SIDES = {
 
 def _latest_changes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tools = v.tools(spark, sf)
-    two = drift.latest_two(v.observations(tools))
-    sided = tools.join(two.select("target_id", "observed_at", "rank"), ["target_id", "observed_at"])
-    ready = two.filter("rank = 2").select("target_id")
-    rows = sided.join(ready, "target_id", "left_semi")
+    two = drift.with_predecessor(drift.latest_two(v.observations(tools)))
+    rows = tools.join(two.select("target_id", "observed_at", "rank"), ["target_id", "observed_at"])
     return two, rows, drift.compare_tools(rows, ["target_id"], F.col("rank") == 1)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explore, imports, validation
 from ..schemas import OFFICIAL_META
-from ..session import scratch
+from ..session import scratch, staged
 from ..sinks.bundles import write_bundle, write_pages
 from ..sinks.publish import catalog_tables, write_canonical
 from ..sources import bundles
@@ -105,7 +105,7 @@ def _child_sql(kind: str) -> str:
 )
 def normalized_tables(spark: SparkSession, sf: str) -> DataFrame:
     parsed = bundles.parse_canonical(bundles.build_records(_entries(spark, sf)).select(F.col("canonical_json").alias("value")))
-    t = catalog_tables(parsed)
+    t = catalog_tables(staged(parsed, "records"))
     owner = t["server_versions"].select(F.col("id").alias("server_version_id"), F.col("server_identifier").alias("owner"))
     by_package = t["packages"].select(F.col("id").alias("package_id"), "server_version_id")
     parts = [

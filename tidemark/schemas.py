@@ -23,10 +23,6 @@ CANONICAL_RECORD = (
 PAGE = (
     "metadata struct<nextCursor:string,cursor:string>, servers array<string>"
 )
-RAW_ENTRY = (
-    f"server struct<name:string,version:string,description:string,repository:{_REPOSITORY},"
-    f"packages:array<{_PACKAGE}>,remotes:{_REMOTES}>, _meta {_META}"
-)
 MANIFEST = (
     "bundle_version int, collection_mode string, updated_since string, base_snapshot_sha256 string, "
     "base_snapshot_completed_at string, registry string, registry_base_url string, status string, "

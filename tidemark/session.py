@@ -15,6 +15,7 @@ def local_session(app: str = "tidemark", cpus: str | int = "*", **extra: str) ->
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
@@ -57,3 +58,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALL_PER_CORE = 32 * 1024 * 1024
+BYTES_PER_TASK = 16 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small input that CPU-heavy row work follows.
+
+    A file smaller than a split, or a shuffle that adaptive execution has coalesced, leaves most
+    cores idle. Inputs of some size already come in enough splits and are left alone, so no large
+    table is ever shuffled for this.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * SMALL_PER_CORE:
+        return df
+    return df.repartition(max(1, min(cores, size // BYTES_PER_TASK)))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MEMBERS
+from ..session import spread
 
 # Archive limits.
 MAX_FILES = 10_000
@@ -78,7 +79,7 @@ def archive_members(
             for data in batch["content"]:
                 yield pd.DataFrame(_unpack(bytes(data), max_archive_bytes, inflated), columns=names)
 
-    return archives.select(F.col(content).alias("content")).mapInPandas(unpack, MEMBERS)
+    return spread(archives.select(F.col(content).alias("content"))).mapInPandas(unpack, MEMBERS)
 
 
 def pack_archives(files: DataFrame) -> DataFrame:

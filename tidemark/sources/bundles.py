@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, documents, urls
-from ..schemas import CANONICAL_RECORD, MANIFEST, OFFICIAL_META, PAGE, PAGE_INDEX, RAW_ENTRY
+from ..schemas import CANONICAL_RECORD, MANIFEST, OFFICIAL_META, PAGE, PAGE_INDEX
+from ..session import spread
 from .lines import number_lines, read_lines
 
 # Fixed values.
@@ -71,72 +72,10 @@ def page_entries(pages: DataFrame) -> DataFrame:
     return pages.select("page", F.posexplode("servers").alias("position", "entry"))
 
 
-def build_records(entries: DataFrame, entry: Column | str = "entry", registry: str = REGISTRY_NAME) -> DataFrame:
-    """Canonical record text and digest of each raw entry.
-
-    The logical record is assembled from verbatim JSON pieces of the entry (numbers keep their
-    spelling), canonicalized, digested, and completed with the digest and the stable time.
-    """
-    canonical = documents.canonical_json()
-    text = F.col(entry) if isinstance(entry, str) else entry
-    doc = entries.withColumn("_canonical", canonical(text)).withColumn(
-        "_doc", F.from_json("_canonical", RAW_ENTRY)
-    )
-    whole = F.from_json("_canonical", "server string")["server"]
-    pieces = "description string, repository string, packages string, remotes string"
-    doc = doc.withColumn("_server", F.from_json(whole, pieces))
-    name, version = F.col("_doc.server.name"), F.col("_doc.server.version")
-
-    def quoted(value: Column) -> Column:
-        return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
-
-    def piece(key: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(f'"{key}":'), value))
-
-    body = F.concat_ws(
-        ",",
-        piece("description", quoted(F.col("_server.description"))),
-        piece("original", F.col("_canonical")),
-        piece("packages", F.col("_server.packages")),
-        F.lit('"record_version":1'),
-        F.lit(f'"registry":"{registry}"'),
-        piece("remotes", F.col("_server.remotes")),
-        piece("repository", F.col("_server.repository")),
-        piece("server_identifier", quoted(name)),
-        piece("server_version", quoted(version)),
-    )
-    official = F.col("_doc._meta")[OFFICIAL_META]
-    out = doc.withColumn("_logical", canonical(F.concat(F.lit("{"), body, F.lit("}")))).withColumn(
-        "canonical_sha256", F.sha2("_logical", 256)
-    )
-    out = out.withColumn(
-        "observed_at", checks.stable_observed_at(official["updatedAt"], official["publishedAt"])
-    )
-    stamped = F.concat(
-        F.lit('{"canonical_sha256":"'),
-        F.col("canonical_sha256"),
-        F.lit('","observed_at":"'),
-        F.col("observed_at"),
-        F.lit('",'),
-        F.substring("_logical", F.lit(2), F.lit(2**31 - 1)),
-    )
-    error = (
-        F.when(F.col("_canonical").isNull(), "server list entry is not strict JSON")
-        .when(F.col("_doc.server").isNull(), "server list entry is missing server object")
-        .when(
-            ~F.coalesce(checks.valid_server_name(name) & checks.valid_server_version(version), F.lit(False)),
-            "server record has invalid name or exact version",
-        )
-    )
-    return out.select(
-        *entries.columns,
-        name.alias("server_identifier"),
-        version.alias("server_version"),
-        "observed_at",
-        "canonical_sha256",
-        canonical(stamped).alias("canonical_json"),
-        error.alias("error"),
-    )
+def build_records(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """Canonical record of each raw entry, with identity, digest and stable time, or ``error``."""
+    build = documents.record_builder(REGISTRY_NAME, OFFICIAL_META)
+    return spread(entries).withColumn("_r", build(F.col(entry))).select(*entries.columns, "_r.*")
 
 
 def unique_records(records: DataFrame) -> DataFrame:
