@@ -25,9 +25,15 @@ def latest_snapshots(snapshots: DataFrame, count: int = 2, time: str = "complete
 
 
 def snapshot_pair(snapshots: DataFrame, time: str = "completed_at", id: str = "id") -> DataFrame:
-    """One row ``(latest_id, previous_id)``."""
-    ranked = latest_snapshots(snapshots, 2, time, id)
+    """One row ``(latest_id, previous_id, both_full)``.
+
+    ``both_full`` tells whether absence from the latest snapshot means removal; snapshots
+    without a recorded collection mode count as full.
+    """
+    mode = F.col("collection_mode") if "collection_mode" in snapshots.columns else F.lit("full")
+    ranked = latest_snapshots(snapshots.withColumn("_full", F.coalesce(mode, F.lit("full")) == "full"), 2, time, id)
     return ranked.agg(
+        F.bool_and("_full").alias("both_full"),
         F.max(F.when(F.col("ordinal") == 1, F.col(id))).alias("latest_id"),
         F.max(F.when(F.col("ordinal") == 2, F.col(id))).alias("previous_id"),
     )
@@ -74,7 +80,9 @@ def presence(links: DataFrame, pair: DataFrame, members: list[str], snapshot: st
             F.coalesce(F.bool_or("_previous"), F.lit(False)).alias("in_previous"),
         )
     )
-    return folded.withColumn("has_previous", previous.isNotNull())
+    return folded.withColumn("has_previous", previous.isNotNull()).withColumn(
+        "both_full", pair.select("both_full").scalar()
+    )
 
 
 def additions(marked: DataFrame) -> DataFrame:
@@ -82,14 +90,14 @@ def additions(marked: DataFrame) -> DataFrame:
     return marked.filter(F.col("in_latest") & ~F.col("in_previous") & F.col("has_previous"))
 
 
-def removals(marked: DataFrame, full_snapshots: bool = True) -> DataFrame:
+def removals(marked: DataFrame, raw: bool = False) -> DataFrame:
     """Members gone from the latest snapshot.
 
-    Absence from an incremental snapshot says nothing, so callers pass whether both snapshots
-    of the pair are full ones; ``True`` also gives the literal comparison.
+    Absence from an incremental snapshot says nothing, so only pairs of full snapshots have
+    removals; ``raw`` gives the literal comparison.
     """
     gone = F.col("in_previous") & ~F.col("in_latest")
-    return marked.filter(gone & F.lit(full_snapshots))
+    return marked.filter(gone if raw else gone & F.col("both_full"))
 
 
 def unchanged(marked: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def snapshot_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w2_snapshot_pair", with_views("SELECT * FROM pair", "day_snapshots", **DAY_PAIR))
 def snapshot_pair(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.snapshot_pair(v.day_snapshots(spark, sf))
+    return snapshots.snapshot_pair(v.day_snapshots(spark, sf)).select("latest_id", "previous_id")
 
 
 def _presence(spark: SparkSession, sf: str) -> DataFrame:

@@ -108,8 +108,10 @@ def read_canonical(spark: SparkSession, bundle: str, numbered: bool = False) ->
 
 
 def parse_canonical(lines: DataFrame) -> DataFrame:
-    options = {"mode": "PERMISSIVE"}
-    out = lines.withColumn("record", F.from_json("value", CANONICAL_RECORD, options))
+    # A member of another type lands in the reject column instead of being read as absent.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    schema = f"{CANONICAL_RECORD}, {CORRUPT} string"
+    out = lines.withColumn("record", F.from_json("value", schema, options))
     r = F.col("record")
     packages_ok = F.forall(
         F.coalesce(r["packages"], F.array()),
@@ -128,7 +130,7 @@ def parse_canonical(lines: DataFrame) -> DataFrame:
     )
     error = (
         F.when(F.col("value") == "", "canonical record is empty")
-        .when(r.isNull(), "canonical record must be an object")
+        .when(r.isNull() | r[CORRUPT].isNotNull(), "canonical record must be an object")
         .when(~F.coalesce(identity_ok, F.lit(False)), "invalid canonical identity")
         .when(~packages_ok, "invalid package declaration")
         .when(~remotes_ok, "invalid remote declaration")
