@@ -105,13 +105,41 @@ def test_source_window_is_centred_and_whole_characters(spark):
     text = "\n".join(["first"] * 6) + "\n" + "é" * 50_000 + "child_process.spawn(" + "é" * 50_000
     data = text.encode()
     df = spark.createDataFrame([(bytearray(data), 7, "spawn", "x")], "c binary, n int, s string, e string")
-    w = df.select(artifacts.source_window()("c", "n", "s", "e").alias("w")).first().w
+    w = df.select(artifacts.source_window(*[F.col(c) for c in "cnse"]).alias("w")).first().w
     assert w.start_line == 7 and w.truncated_before and w.truncated_after and w.starts_mid_line and w.ends_mid_line
     assert len(w.content.encode()) <= artifacts.MAX_SOURCE_BYTES and "spawn(" in w.content and "\ufffd" not in w.content
     middle = w.content.encode().index(b"spawn") / len(w.content.encode())
     assert 0.45 < middle < 0.55
 
 
+@pytest.mark.parametrize("limit", [7, 10, 16, 33])
+@pytest.mark.parametrize("number", [None, 1, 2, 3, 9])
+@pytest.mark.parametrize("symbol", ["ü", "cd", "nothing", None])
+def test_source_windows_against_a_plain_loop(spark, limit, number, symbol):
+    data = "aü\nbücd€€cd\n€xü".encode()
+    start, end = 0, len(data)
+    if len(data) > limit:
+        centre = 0
+        if number:
+            lines, at = data.split(b"\n"), 0
+            for done in lines[: number - 1]:
+                at = min(at + len(done) + 1, len(data))
+            line = lines[number - 1] if number <= len(lines) else b""
+            hit = line.find(symbol.encode()) if symbol else -1
+            centre = at + hit + len(symbol.encode()) // 2 if hit >= 0 else at + len(line) // 2
+        start = max(0, centre - limit // 2)
+        end = min(len(data), start + limit)
+        start = end - limit if end == len(data) else start
+        while start < end and data[start] & 0xC0 == 0x80:
+            start += 1
+        while start < end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+    df = spark.createDataFrame([(bytearray(data), number, symbol, None)], "c binary, n int, s string, e string")
+    w = df.select(artifacts.source_window(*[F.col(c) for c in "cnse"], limit=limit).alias("w")).first().w
+    assert (w.display_start, w.display_end, w.content) == (start, end, data[start:end].decode())
+    assert w.start_line == 1 + data.count(b"\n", 0, start)
+
+
 @pytest.mark.parametrize(
     ("line", "rules"),
     [

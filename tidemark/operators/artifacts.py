@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.checks import CONFIDENCES, DISPOSITIONS, SEVERITIES
 from ..schemas import PACKAGE_MANIFEST
+from ..session import join_measured
 from ..sources import archives
 from ..sources.rules import RuleSet
 from .detectors import SCANNED_TYPES, line_findings, numbered_lines
@@ -117,8 +116,9 @@ def archive_verdicts(
 
 def safe_members(members: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Members of accepted archives, paths in normal form."""
-    bad = verdicts.filter(F.col("rejected").isNotNull()).select("artifact_sha256")
-    return members.join(bad, "artifact_sha256", "left_anti").withColumn("path", text.normalize_archive_path("path"))
+    bad = verdicts.filter(F.col("rejected").isNotNull())
+    kept = join_measured(members, bad, ["artifact_sha256"], "left_anti")
+    return kept.withColumn("path", text.normalize_archive_path("path"))
 
 
 def file_type(path: Column | str, content: Column | str) -> Column:
@@ -459,67 +459,80 @@ def contract_violations(findings: DataFrame) -> DataFrame:
     return findings.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
-_WINDOW = (
-    "display_start int, display_end int, start_line int, truncated_before boolean, truncated_after boolean, "
-    "starts_mid_line boolean, ends_mid_line boolean, content string"
-)
+def _continues(content: Column, offset: Column) -> Column:
+    """True when the byte at a 0-based offset continues a UTF-8 character."""
+    return F.hex(F.substring(content, offset + 1, F.lit(1))).between("80", "BF")
 
 
-def _window(data: bytes, line_number, symbol, evidence, limit: int) -> tuple:
-    begin, end = 0, len(data)
-    if len(data) > limit:
-        middle = 0
-        if line_number:
-            line_start = 0
-            for _ in range(int(line_number) - 1):
-                at = data.find(b"\n", line_start)
-                if at < 0:
-                    line_start = len(data)
-                    break
-                line_start = at + 1
-            line_end = data.find(b"\n", line_start)
-            line_end = len(data) if line_end < 0 else line_end
-            needle = (symbol or evidence or "").removesuffix("...").encode("utf-8")
-            found = data.find(needle, line_start, line_end + len(needle)) if needle else -1
-            inside = 0 <= found < line_end
-            middle = found + len(needle) // 2 if inside else line_start + (line_end - line_start) // 2
-        begin = max(0, middle - limit // 2)
-        end = min(len(data), begin + limit)
-        if end == len(data):
-            begin = end - limit
-        while begin < end and data[begin] & 0xC0 == 0x80:
-            begin += 1
-        while begin < end < len(data) and data[end] & 0xC0 == 0x80:
-            end -= 1
-    before, after = begin > 0, end < len(data)
-    return (
-        begin,
-        end,
-        1 + data.count(b"\n", 0, begin),
-        before,
-        after,
-        before and data[begin - 1 : begin] != b"\n",
-        after and end > 0 and data[end - 1 : end] != b"\n",
-        data[begin:end].decode("utf-8", "replace"),
-    )
+def _let(value: Column, body) -> Column:
+    """Bind a value once and use it in an expression, so that nested uses do not multiply."""
+    return F.transform(F.array(value), body)[0]
 
 
-def source_window(limit: int = MAX_SOURCE_BYTES):
-    """UDF (content, line, symbol, evidence) -> window of at most ``limit`` bytes around a finding."""
-    schema = T.StructType.fromDDL(_WINDOW)
-    names = schema.names
+def source_window(content: Column, line_number: Column, symbol: Column, evidence: Column, limit: int = MAX_SOURCE_BYTES) -> Column:
+    """Window of at most ``limit`` bytes of a valid UTF-8 text, centred on a finding.
+
+    The centre is the symbol (or evidence) inside the finding's line, else the middle of the
+    line; both ends are moved to character boundaries. Offsets are bytes, lines count from 1.
+    """
+    number = F.coalesce(line_number.cast("int"), F.lit(0))
+    needle = F.regexp_replace(F.coalesce(F.nullif(symbol, F.lit("")), evidence, F.lit("")), r"\.\.\.\z", "")
+    total = F.octet_length(content)
+
+    def first_lines(count: Column) -> Column:
+        return F.octet_length(F.call_function("substring_index", content.cast("string"), F.lit("\n"), count))
+
+    line_start = F.when(number > 1, F.least(first_lines(number - 1) + 1, total)).otherwise(0)
+    span = F.struct(line_start.alias("start"), first_lines(number).alias("end"))
+
+    def centre(line: Column) -> Column:
+        body = F.substring(content, line["start"] + 1, line["end"] - line["start"]).cast("string")
+        at = F.when(needle != "", F.position(needle, body)).otherwise(0)
+        half = F.floor(F.octet_length(needle) / 2).cast("int")
+        hit = line["start"] + F.octet_length(F.substring(body, F.lit(1), at - 1)) + half
+        middle = line["start"] + F.floor((line["end"] - line["start"]) / 2).cast("int")
+        return F.when(at > 0, hit).otherwise(middle)
+
+    def rough(middle: Column) -> Column:
+        first = F.greatest(F.lit(0), middle - limit // 2)
+        at_end = first + limit >= total
+        return F.struct(
+            F.when(total <= limit, 0).when(at_end, total - limit).otherwise(first).alias("begin"),
+            F.when((total <= limit) | at_end, total).otherwise(first + limit).alias("end"),
+        )
 
-    def window(content: pd.Series, line: pd.Series, symbol: pd.Series, evidence: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, number, sym, ev in zip(content, line, symbol, evidence):
-            if data is None:
-                rows.append((None,) * len(names))
-                continue
-            number = None if pd.isna(number) else number
-            rows.append(_window(bytes(data), number, sym, ev, limit))
-        return pd.DataFrame(rows, columns=names)
+    def stepped(offset: Column, step: int) -> Column:
+        """The first of four neighbouring offsets that is a character boundary."""
+        return (
+            F.when(~_continues(content, offset), offset)
+            .when(~_continues(content, offset + step), offset + step)
+            .when(~_continues(content, offset + 2 * step), offset + 2 * step)
+            .otherwise(offset + 3 * step)
+        )
+
+    def exact(w: Column) -> Column:
+        return F.struct(
+            F.when(w["begin"] > 0, stepped(w["begin"], 1)).otherwise(w["begin"]).alias("begin"),
+            F.when(w["end"] < total, stepped(w["end"], -1)).otherwise(w["end"]).alias("end"),
+        )
+
+    def described(w: Column) -> Column:
+        begin, end = w["begin"], w["end"]
+        before, after = begin > 0, end < total
+        ahead = F.substring(content, F.lit(1), begin).cast("string")
+        return F.struct(
+            begin.alias("display_start"),
+            end.alias("display_end"),
+            (1 + text.newline_count(ahead)).alias("start_line"),
+            before.alias("truncated_before"),
+            after.alias("truncated_after"),
+            (before & (F.hex(F.substring(content, begin, F.lit(1))) != "0A")).alias("starts_mid_line"),
+            (after & (F.hex(F.substring(content, end, F.lit(1))) != "0A")).alias("ends_mid_line"),
+            F.substring(content, begin + 1, end - begin).cast("string").alias("content"),
+        )
 
-    return F.pandas_udf(window, schema)
+    middle = F.when(number < 1, 0).otherwise(_let(span, centre))
+    return _let(_let(_let(middle, rough), exact), described)
 
 
 def finding_sources(
@@ -582,7 +595,7 @@ def finding_sources(
     checked = joined.withColumn("error", problem).withColumn(
         "content", F.when(F.col("error").isNull(), F.col("content"))
     )
-    window = source_window(limit)(F.col("content"), F.col("line_number"), F.col("symbol"), F.col("evidence"))
+    window = source_window(F.col("content"), F.col("line_number"), F.col("symbol"), F.col("evidence"), limit)
     return checked.withColumn("window", window).select(
         F.col("id").alias("finding_id"), "analysis_run_id", "subject_path", "line_number", "error",
         F.col("file_sha256").alias("sha256"), F.octet_length("content").alias("byte_size"), "window.*",

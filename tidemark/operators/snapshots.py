@@ -65,23 +65,20 @@ def presence(links: DataFrame, pair: DataFrame, members: list[str], snapshot: st
     One aggregation over the two snapshots' links answers additions, removals and the unchanged
     set together; map-side combining keeps one row per member and task.
     """
-    latest = pair.select("latest_id").scalar()
-    previous = pair.select("previous_id").scalar()
-    rows = links.select(
-        *members,
-        (F.col(snapshot) == latest).alias("_latest"),
-        (F.col(snapshot) == previous).alias("_previous"),
-    )
+    # One struct subquery: every use below is the same subplan, which Spark runs once.
+    p = pair.select(F.struct(*pair.columns)).scalar()
+    at_latest, at_previous = F.col(snapshot) == p["latest_id"], F.col(snapshot) == p["previous_id"]
     folded = (
-        rows.filter(F.col("_latest") | F.col("_previous"))
+        links.select(*members, at_latest.alias("_latest"), at_previous.alias("_previous"))
+        .filter(F.col("_latest") | F.col("_previous"))
         .groupBy(*members)
         .agg(
             F.coalesce(F.bool_or("_latest"), F.lit(False)).alias("in_latest"),
             F.coalesce(F.bool_or("_previous"), F.lit(False)).alias("in_previous"),
         )
     )
-    return folded.withColumn("has_previous", previous.isNotNull()).withColumn(
-        "both_full", pair.select("both_full").scalar()
+    return folded.select(
+        "*", p["previous_id"].isNotNull().alias("has_previous"), p["both_full"].alias("both_full")
     )
 
 

@@ -431,7 +431,7 @@ def _finding_lines(spark: SparkSession, sf: str) -> DataFrame:
 )
 def source_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of at most 600 bytes; every window lies inside its text and respects the limit."""
-    window = artifacts.source_window(600)(F.col("content"), F.col("line_number"), F.col("symbol"), F.lit(None).cast("string"))
+    window = artifacts.source_window(F.col("content"), F.col("line_number"), F.col("symbol"), F.lit(None).cast("string"), 600)
     rows = _finding_lines(spark, sf).withColumn("w", window)
     size = F.col("w.display_end") - F.col("w.display_start")
     within = (size <= 600) & (F.octet_length("w.content") == size) & (size >= F.least(F.octet_length("content"), F.lit(600)) - 6)

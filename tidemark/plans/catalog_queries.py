@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explore, ordering, snapshots, summaries, validation
 from ..operators.explore import Filters
+from ..session import staged
 from . import views as v
 from .views import CATALOG_VIEWS, query, table, with_views
 
@@ -25,7 +26,7 @@ YEAR_PAIR = {"pair": PAIR.format("year_snapshots")}
     ),
 )
 def snapshot_order(spark: SparkSession, sf: str) -> DataFrame:
-    ordered = snapshots.order_snapshots(v.day_snapshots(spark, sf))
+    ordered = snapshots.order_snapshots(staged(v.day_snapshots(spark, sf), "snapshots"))
     return ordered.select("id", "completed_at", F.substring("snapshot_sha256", 1, 16).alias("sha256_prefix"), "ordinal")
 
 
@@ -116,8 +117,10 @@ def addition_listing(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def all_snapshot_diffs(spark: SparkSession, sf: str) -> DataFrame:
+    # A snapshot list is short and used several times: one pass over the events writes it.
+    days = staged(v.day_snapshots(spark, sf), "snapshots")
     numbered = ordering.global_position(
-        v.day_snapshots(spark, sf), [F.asc("completed_at"), F.asc("id")], F.substring("completed_at", 1, 7), False, "position"
+        days, [F.asc("completed_at"), F.asc("id")], F.substring("completed_at", 1, 7), False, "position"
     ).select(F.col("id").alias("snapshot_id"), "position")
     return snapshots.snapshot_diffs(v.day_links(spark, sf), numbered, "server_version_id")
 

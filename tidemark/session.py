@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tidemark", cpus: str | int = "*", **extra: str) -> SparkSession:
@@ -78,3 +79,17 @@ def spread(df: DataFrame) -> DataFrame:
     if size >= cores * SMALL_PER_CORE:
         return df
     return df.repartition(max(1, min(cores, size // BYTES_PER_TASK)))
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def join_measured(wide: DataFrame, keys: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Semi or anti join of wide rows (file contents, say) with a list of keys.
+
+    The keys are staged and counted first. A short list is broadcast, so the wide rows are not
+    shuffled; a longer one is joined by shuffle.
+    """
+    listed = staged(keys.select(*on).distinct(), "keys")
+    small = listed.count() <= max_rows
+    return wide.join(F.broadcast(listed) if small else listed, on, how)
