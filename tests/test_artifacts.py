@@ -112,11 +112,10 @@ def test_source_window_is_centred_and_whole_characters(spark):
     assert 0.45 < middle < 0.55
 
 
-@pytest.mark.parametrize("limit", [7, 10, 16, 33])
-@pytest.mark.parametrize("number", [None, 1, 2, 3, 9])
-@pytest.mark.parametrize("symbol", ["ü", "cd", "nothing", None])
-def test_source_windows_against_a_plain_loop(spark, limit, number, symbol):
-    data = "aü\nbücd€€cd\n€xü".encode()
+WINDOWED = "aü\nbücd€€cd\n€xü".encode()
+
+
+def plain_window(data, limit, number, symbol):
     start, end = 0, len(data)
     if len(data) > limit:
         centre = 0
@@ -134,10 +133,19 @@ def test_source_windows_against_a_plain_loop(spark, limit, number, symbol):
             start += 1
         while start < end < len(data) and data[end] & 0xC0 == 0x80:
             end -= 1
-    df = spark.createDataFrame([(bytearray(data), number, symbol, None)], "c binary, n int, s string, e string")
-    w = df.select(artifacts.source_window(*[F.col(c) for c in "cnse"], limit=limit).alias("w")).first().w
-    assert (w.display_start, w.display_end, w.content) == (start, end, data[start:end].decode())
-    assert w.start_line == 1 + data.count(b"\n", 0, start)
+    return start, end, data[start:end].decode(), 1 + data.count(b"\n", 0, start)
+
+
+@pytest.mark.parametrize("limit", [7, 10, 33])
+def test_source_windows_against_a_plain_loop(spark, limit):
+    cases = [(n, s) for n in (None, 1, 2, 3, 9) for s in ("ü", "cd", "nothing", None)]
+    rows = [(i, bytearray(WINDOWED), n, s, None) for i, (n, s) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, c binary, n int, s string, e string").repartition(2)
+    window = artifacts.source_window(*[F.col(c) for c in "cnse"], limit=limit)
+    got = {r.i: r.w for r in df.select("i", window.alias("w")).collect()}
+    for i, (number, symbol) in enumerate(cases):
+        w = got[i]
+        assert (w.display_start, w.display_end, w.content, w.start_line) == plain_window(WINDOWED, limit, number, symbol), cases[i]
 
 
 @pytest.mark.parametrize(
