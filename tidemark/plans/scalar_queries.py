@@ -619,3 +619,29 @@ def sdist_selection(spark: SparkSession, sf: str) -> DataFrame:
 def release_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = releases.pypi_candidates(_release_files(spark, sf), ["release"])
     return rows.select("release", "filename", "archive_format", "format_order")
+
+
+@query(
+    "s11_pypi_releases",
+    """SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'PyPI release metadata identity mismatch' END AS error,
+    CASE WHEN p_size % 7 <> 0 THEN position END AS position, CASE WHEN p_size % 7 <> 0 THEN 'd-' || p_partkey || (['.tar.gz', '.whl'])[position + 1] END AS filename,
+    CASE WHEN p_size % 7 <> 0 THEN position = 1 END AS yanked FROM part, range(0, 2) t(position) WHERE p_size % 7 <> 0 OR position = 0""",
+)
+def pypi_releases(spark: SparkSession, sf: str) -> DataFrame:
+    key = _s("p_partkey")
+
+    def file(ending: str, kind: str, yanked: str) -> Column:
+        return F.concat(
+            F.lit('{"filename":"d-'), key, F.lit(f'{ending}","packagetype":"{kind}","url":"https://f.example/d","size":5,"digests":{{"sha256":"a"}},"yanked":{yanked}}}')
+        )
+
+    version = F.when(F.col("p_size") % 7 == 0, "2.0").otherwise("1.0-beta")
+    body = F.concat(
+        F.lit('{"info":{"name":"Demo_'), key, F.lit('","version":"'), version, F.lit('"},"urls":['),
+        file(".tar.gz", "sdist", "false"), F.lit(","), file(".whl", "bdist_wheel", "true"), F.lit("]}"),
+    )
+    rows = table(spark, sf, "part").select(
+        "p_partkey", body.alias("body"), F.concat(F.lit("demo-"), key).alias("expected_name"), F.lit("1.0b0").alias("expected_version")
+    )
+    files = releases.pypi_files(rows)
+    return files.select("p_partkey", "error", F.col("position").cast("bigint").alias("position"), "filename", "yanked")
