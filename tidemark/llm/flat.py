@@ -130,3 +130,30 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Word
     first = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(start, stop, row, Prefix(data).ranges(start, stop), first)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, from batches in which they are adjacent. Only for groups of bounded size."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            cut[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(cut).tolist()
+        head = tuple(c[0] for c in columns)
+        if held and head != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        bounds = [0, *starts, batch.num_rows]
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            if low and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
