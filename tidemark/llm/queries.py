@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, quality, suffixes
+from . import contamination, jaccard, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,30 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_report(table(spark, sf_dir, "documents"))
+
+
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all(" + LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@registered(f"""
+WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, {WORDS.format("coalesce(text, '')")} AS w FROM benchmark),
+phrases AS (
+    SELECT DISTINCT item_id, list_slice(w, k, k + 9) AS p FROM (
+        SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT len(p) AS n FROM phrases),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d WHERE len(w) > 0),
+found AS (
+    SELECT s.doc_id, s.k, l.n, p.item_id FROM starts s JOIN lengths l ON s.k + l.n - 1 <= len(s.w)
+    JOIN phrases p ON p.p = list_slice(s.w, s.k, s.k + l.n - 1)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM found) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
