@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contamination, jaccard, quality, suffixes
+from . import contamination, jaccard, mixing, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,18 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """)
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Shares of tokens that the mixture is to have. The languages are the domains: source names say nothing about the text here.
+TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def by_language(documents: DataFrame) -> DataFrame:
+    """The labelled table of the mixing queries."""
+    return documents.select("doc_id", F.col("lang").alias("domain"))
+
+
+@registered()
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return mixing.rates(documents, by_language(documents), TARGETS)
