@@ -7,8 +7,10 @@
 3. In that order two sets can only link if they share a shingle among the first
    ``n - ceil(0.8 n) + 1``. Sets of compatible size that share such a shingle are chained, first
    within each task, then by one shuffle on the shingle; components of the chains hold every
-   possible link.
-4. The sets of a component meet in one task, or in blocks of about ``BLOCK`` sets if it is larger.
+   possible link. A component too large for one task is taken apart once more with the exact
+   counts of its own shingles as order, which leaves out chains through shared passages.
+4. The sets of a component meet in one task, or in blocks of about ``BLOCK`` sets and
+   ``BLOCK_SHINGLES`` shingles if it is larger.
    There they are stored in a prefix tree (most shared shingles first, so that near copies share
    long paths). Each set walks the tree once: a path's overlap is counted once for all sets below
    it, and a subtree is left as soon as the remaining lengths or set sizes rule a link out, or all
@@ -36,9 +38,10 @@ from .components import components
 from .flat import WHITE, flat, grouped, lowered, mix, pieces, words
 
 SHINGLE = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SLICES = 64  # of the sketch: so many tasks can add it up
 BLOCK = 512
+BLOCK_SHINGLES = 500_000
 PIVOTS = 16
 FLUSH = 2_000_000
 _STEPS = [np.uint64(pow(0x9E3779B97F4A7C13, k + 1, 1 << 64)) for k in range(SHINGLE)]
@@ -120,19 +123,20 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketch(profile: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up: 2**SKETCH_BITS numbers, whatever the input."""
+    """The counters of all tasks added up: 2**SKETCH_BITS numbers, whatever the input, in steps of their mean at least."""
     slices = profile.where("slice IS NOT NULL").select("slice", "counts").repartition("slice")
     counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
     for row in slices.mapInArrow(_added, "slice int, counts binary").collect():
         counts[row.slice] = np.frombuffer(row.counts, np.int64)
-    return counts.ravel()
+    whole = counts.ravel()
+    return np.minimum(whole // max(1, int(whole.mean()) >> 10), 0xFFFF).astype(np.uint16)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (4 * n + 4) // 5 + 1
 
 
-def _chained(token: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chained(token: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows sorted by (token, low): (whether a row continues the one before, largest size so far in its run of tokens)."""
     same = np.zeros(len(token), bool)
     same[1:] = token[1:] == token[:-1]
@@ -144,27 +148,21 @@ def _chained(token: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarr
 
 
 def _postings(counts: np.ndarray):
-    ranks = np.minimum(counts, 2**31).astype(np.int64)
+    """Rows (token, a, size): a set that has the token in its prefix (size: smallest << 32 | largest of the sets it
+    stands for), or an edge between the sets ``a`` and ``token`` (size: -1)."""
 
     def flushed(token, ids, sizes) -> Iterator[pa.RecordBatch]:
         token, ids, sizes = np.concatenate(token), np.concatenate(ids), np.concatenate(sizes)
         order = np.lexsort((ids, sizes, token))
         token, ids, sizes = token[order], ids[order], sizes[order]
-        joined, _ = _chained(token, ids, sizes, sizes)
+        joined, _ = _chained(token, sizes, sizes)
         to = np.flatnonzero(joined & (ids != np.roll(ids, 1)))
         edges = np.unique(np.stack([ids[to - 1], ids[to]], axis=1), axis=0) if len(to) else np.zeros((0, 2), np.int64)
         start = np.flatnonzero(~joined)
         last = np.r_[start[1:], len(token)] - 1
-        m = len(edges)
+        size = np.r_[(sizes[start] << 32) | sizes[last], np.full(len(edges), -1)]
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.r_[token[start], mix(edges[:, 0].view(np.uint64) if m else np.zeros(0, np.uint64)).view(np.int64)]),
-                pa.array(np.r_[ids[start], edges[:, 0]]),
-                pa.array(np.r_[np.zeros(len(start), np.int64), edges[:, 1]], mask=np.r_[np.ones(len(start), bool), np.zeros(m, bool)]),
-                pa.array(np.r_[sizes[start], np.zeros(m, np.int64)]),
-                pa.array(np.r_[sizes[last], np.zeros(m, np.int64)]),
-            ],
-            ["token", "a", "b", "low", "high"],
+            [pa.array(np.r_[token[start], edges[:, 1]]), pa.array(np.r_[ids[start], edges[:, 0]]), pa.array(size)], ["token", "a", "size"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +175,14 @@ def _postings(counts: np.ndarray):
                     if not len(s):
                         continue
                     take = int(prefix_length(np.int64(len(s))))
-                    rank = ranks[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    rank = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     if take < len(s):
                         cut = np.partition(rank, take - 1)[take - 1]
                         sure, tied = s[rank < cut], s[rank == cut]  # both in order of the hash
-                        s_prefix = np.concatenate([sure, tied[: take - len(sure)]])
+                        chosen = np.concatenate([sure, tied[: take - len(sure)]])
                     else:
-                        s_prefix = s
-                    token.append(s_prefix.view(np.int64))
+                        chosen = s
+                    token.append(chosen.view(np.int64))
                     ids.append(np.full(take, own))
                     sizes.append(np.full(take, len(s), np.int64))
                     held += take
@@ -201,15 +199,14 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges between neighbours of compatible size under one token; rows that are edges already pass."""
     carry = None
     for batch in batches:
-        known = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
-        token, a, low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "a", "low", "high"))
-        b = batch.column("b").fill_null(0).to_numpy(zero_copy_only=False)
-        out_a, out_b = a[known], b[known]
-        token, a, low, high = token[~known], a[~known], low[~known], high[~known]
+        token, a, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "a", "size"))
+        edge = size < 0
+        out_a, out_b = a[edge], token[edge]
+        token, a, low, high = token[~edge], a[~edge], size[~edge] >> 32, size[~edge] & 0xFFFFFFFF
         if len(token):
             if carry is not None:
                 token, a, low, high = (np.r_[np.array([c], x.dtype), x] for c, x in zip(carry, (token, a, low, high)))
-            joined, top = _chained(token, a, low, high)
+            joined, top = _chained(token, low, high)
             to = np.flatnonzero(joined)
             to = to[a[to] != a[to - 1]]
             out_a, out_b = np.r_[out_a, a[to - 1]], np.r_[out_b, a[to]]
@@ -335,7 +332,7 @@ def linked_across(sets: list[np.ndarray], sizes: list[int], label: list[int], se
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(comp, block, nblocks, rep, tokens) of texts whose digest is the wanted one."""
+    """(comp, blocks, sets, rep, tokens) of texts whose digest is the wanted one."""
     for batch in batches:
         for part in pieces(batch):
             sets = shingles(*flat(part.column("text")))
@@ -344,9 +341,8 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(same)
             kept = part.take(pa.array(at))
             tokens = pa.array([sets[i].tobytes() for i in at], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [kept.column(c) for c in ("comp", "blocks", "size", "rep")] + [tokens], ["comp", "blocks", "size", "rep", "tokens"]
-            )
+            names = ["comp", "blocks", "sets", "rep"]
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), tokens], [*names, "tokens"])
 
 
 def _joined(across: bool):
@@ -378,20 +374,21 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     profile = staged(texts.mapInArrow(_profile, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, hi long, lo long, slice int, counts binary"), "sets")
     counts = sketch(profile)
     docs = profile.where("slice IS NULL").select("doc_id", "n", "hi", "lo")
-    reps = docs.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    reps = docs.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
-    postings = texts.mapInArrow(_postings(counts), "token long, a long, b long, low long, high long")
-    chains = postings.repartition("token").sortWithinPartitions("token", "low").mapInArrow(_swept, "a long, b long")
-    near = components(chains).select(F.col("node").alias("lo"), F.col("root").alias("comp"))
+    postings = texts.mapInArrow(_postings(counts), "token long, a long, size long")
+    near = components(_chains(postings)).select(F.col("node").alias("lo"), F.col("root").alias("comp"))
     wanted = reps.where("rep IS NOT NULL").join(near, "lo")
-    size = wanted.groupBy("comp").agg(F.count("rep").alias("size")).where("size > 1")
-    wanted = wanted.join(size, "comp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    sets = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = staged(sets.select("rep", "text", "hi", "lo", "comp", "blocks", "size").mapInArrow(_sets_of, f"comp long, blocks int, size long, rep {kind}, tokens binary"), "shingles")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("size")) < PIVOTS)
+    sets = texts.join(_blocks(wanted).withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    sets = sets.select("rep", "text", "hi", "lo", "comp", "blocks", "sets")
+    sets = staged(sets.mapInArrow(_sets_of, f"comp long, blocks int, sets long, rep {kind}, tokens binary"), "shingles")
+    small, large = sets.where("blocks = 1"), sets.where("blocks > 1")
+    if large.isEmpty():
+        return docs, reps, _apply(small.withColumn("block", F.lit(0)), ["comp", "block"], False, kind)
+    large = _taken_apart(large, kind)
+    sets = small.unionByName(large).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("sets")) < PIVOTS)
     everywhere = sets.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     links = _apply(everywhere, ["comp", "block"], False, kind)
     large = sets.where("blocks > 1")
@@ -409,6 +406,40 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return docs, reps, links.unionByName(_apply(pairs, ["comp", "block", "other"], True, kind))
 
 
+def _chains(postings: DataFrame) -> DataFrame:
+    return postings.repartition("token").sortWithinPartitions("token", "size").mapInArrow(_swept, "a long, b long")
+
+
+def _blocks(wanted: DataFrame) -> DataFrame:
+    """Adds ``sets`` and ``blocks`` of each component; components of one set go. ``n`` is the size of a set."""
+    size = wanted.groupBy("comp").agg(F.count("rep").alias("sets"), F.sum("n").alias("total")).where("sets > 1")
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    return wanted.join(size.select("comp", "sets", blocks.alias("blocks")), "comp")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, "tokens"):
+            data, offsets = flat(part.column("tokens"))
+            sizes = np.diff(offsets) // 8
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), pa.array(data.view(np.int64)), pa.array(sizes[row])], ["rep", "token", "n"])
+
+
+def _taken_apart(large: DataFrame, kind: str) -> DataFrame:
+    """The sets of large components with new components, from prefixes in the order of exact shingle counts among them."""
+    rows = large.select("rep", "tokens").mapInArrow(_unpacked, f"rep {kind}, token long, n long")
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = rows.join(counts, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # a set each
+    # shingles of one set only come first in the order: they use up the prefix and link with nothing
+    length = F.size("held") - F.expr("(4 * n + 4) div 5") + 1
+    prefix = shared.where(length > 0).select(F.xxhash64("rep").alias("a"), "n", F.explode(F.slice("held", 1, length.cast("int"))).alias("x"))
+    near = components(_chains(prefix.select(F.col("x.token").alias("token"), "a", (F.shiftleft("n", 32) + F.col("n")).alias("size"))))
+    named = large.withColumn("node", F.xxhash64("rep")).drop("comp", "blocks", "sets").join(near.withColumnRenamed("root", "comp"), "node").drop("node")
+    sized = _blocks(named.withColumn("n", F.octet_length("tokens") / 8)).drop("n")
+    return staged(sized.select("comp", "blocks", "sets", "rep", "tokens"), "parts")
+
+
 def _apply(sets: DataFrame, keys: list[str], across: bool, kind: str) -> DataFrame:
     return sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_joined(across), f"a {kind}, b {kind}")
 
