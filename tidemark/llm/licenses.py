@@ -47,16 +47,26 @@ STRETCH = 1.5  # times the notice's length: the longest span
 
 
 def _pairs(words: Column) -> Column:
-    """Hash of each word and the next one."""
-    at = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))
+    """Each word with the next one (the last with null), as structs."""
+    following = F.slice(words, F.lit(2), F.size(words))
+    return F.arrays_zip(words.alias("word"), following.alias("next"))
+
+
+def _pair_hash() -> Column:
+    return F.when(F.col("pair.next").isNotNull(), F.xxhash64("pair.word", "pair.next"))
+
+
+def _words(text: str) -> Column:
+    """An empty word, the words of the text, and another empty one if it ends with a separator."""
+    return F.split(F.lower(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")))), SEPARATORS)
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(pair, template, label, exact, pairs, place): one row for each pair of words of each template."""
+    """(hash, template, label, exact, pairs, place): one row for each pair of words of each template."""
     rows = [(k, label, k < len(PHRASES), words.split()) for k, (label, words) in enumerate(PHRASES + NOTICES)]
     every = spark.createDataFrame(rows, "template int, label string, exact boolean, words array<string>")
-    return every.select("template", "label", "exact", (F.size("words") - 1).alias("pairs"), F.posexplode(_pairs(F.col("words"))).alias("place", "pair"))
+    pairs = every.select("template", "label", "exact", (F.size("words") - 1).alias("pairs"), F.posexplode(_pairs(F.col("words"))).alias("place", "pair"))
+    return pairs.select("template", "label", "exact", "pairs", "place", _pair_hash().alias("hash")).where("hash IS NOT NULL")
 
 
 HIT = "struct<label: string, exact: boolean, pairs: int, template: int, diagonal: int, votes: bigint, low: int, high: int>"
@@ -93,18 +103,18 @@ def license_spans(documents: DataFrame) -> DataFrame:
     ``places``: (label, first, last) word ranges where a phrase stands, inclusive. ``spans``: (label, first, last, share)
     of the notices, ``share`` of their pairs found.
     """
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS), lambda w: w != "")
-    rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), words.alias("words"))
-    # position -1 stands for the document itself
-    rows = rows.select("doc_id", "tag", F.size("words").alias("n"), F.posexplode(F.concat(F.array(F.lit(0).cast("long")), _pairs(F.col("words")))).alias("at", "pair"))
-    met = rows.withColumn("pair", F.when(F.col("at") > 0, F.col("pair"))).join(F.broadcast(templates(documents.sparkSession)), "pair", "left")
-    met = met.where("at = 0 OR template IS NOT NULL").withColumn("at", F.col("at") - 1)
+    rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), _words("text").alias("words"))
+    empty_last = (F.get("words", F.size("words") - 1) == "").cast("int")
+    rows = rows.select("doc_id", "tag", (F.size("words") - 1 - empty_last).alias("n"), F.posexplode(_pairs(F.col("words"))).alias("at", "pair"))
+    met = rows.select("doc_id", "tag", "n", "at", _pair_hash().alias("hash")).join(F.broadcast(templates(documents.sparkSession)), "hash", "left")
+    # the pair before the first word, which no template has, stands for the document itself
+    met = met.where("at = 0 OR template IS NOT NULL").withColumn("row", (F.col("at") == 0).cast("int")).withColumn("at", F.col("at") - 1)
     votes = met.groupBy("doc_id", "tag", "n", "template", "label", "exact", "pairs", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
+        F.count(F.lit(1)).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.sum("row").alias("rows")
     )
     hit = F.when(F.col("template").isNotNull(), F.struct("label", "exact", "pairs", "template", "diagonal", "votes", "low", "high").cast(HIT))
     each = votes.groupBy("doc_id", "tag", "n").agg(
-        F.sum(F.when(F.col("template").isNull(), F.col("votes"))).alias("copies"),
+        F.sum("rows").alias("copies"),
         F.array_sort(F.collect_list(hit), lambda a, b: F.when(a["template"] != b["template"], a["template"] - b["template"]).otherwise(a["diagonal"] - b["diagonal"])).alias("hits"),
     )
     places = F.transform(
