@@ -444,7 +444,11 @@ def test_release_documents(spark):
     good = rows.filter("error IS NULL")
     picked = releases.select_sdist(good, ["id", "expected_name", "expected_version"], "expected_name", "expected_version").first()
     assert (picked.error, picked.filename) == (None, "d-1.0.tar.gz")
-    assert releases.pypi_candidates(good, ["id"]).count() == 2
+    named = ["id", "expected_name", "expected_version"]
+    ranked = lambda files: releases.pypi_candidates(files, named, "expected_name", "expected_version")
+    assert [r.filename for r in ranked(good.where("id = 1")).orderBy("format_order", "filename").collect()] == ["d-1.0.tar.gz", "d-1.0.whl"]
+    twice = ranked(good.where("id = 1").unionByName(good.where("id = 1"))).collect()
+    assert [(r.error, r.filename) for r in twice] == [("duplicate PyPI release artifact identity", None)]
 
 
 # --- streams ---------------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.checks import CONFIDENCES, DISPOSITIONS, SEVERITIES
 from ..schemas import PACKAGE_MANIFEST
-from ..session import join_measured
 from ..sources import archives
 from ..sources.rules import RuleSet
 from .detectors import SCANNED_TYPES, line_findings, numbered_lines
@@ -117,7 +116,7 @@ def archive_verdicts(
 def safe_members(members: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Members of accepted archives, paths in normal form."""
     bad = verdicts.filter(F.col("rejected").isNotNull())
-    kept = join_measured(members, bad, ["artifact_sha256"], "left_anti")
+    kept = members.join(bad.select("artifact_sha256"), "artifact_sha256", "left_anti")
     return kept.withColumn("path", text.normalize_archive_path("path"))
 
 

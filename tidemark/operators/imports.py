@@ -83,9 +83,10 @@ def import_bundle(spark: SparkSession, bundle: str, root: str, imported_at: str,
     if any(f.endswith(f"-{digest}") for f in folders):
         return None
     if check:
-        problems = check_bundle(spark, bundle).limit(5).collect()
-        if problems:
-            raise InvalidBundle("; ".join(f"{p['check']}: {p['detail']}" for p in problems))
+        problems = staged(check_bundle(spark, bundle), "problems")
+        count = problems.count()
+        if count:
+            raise InvalidBundle(f"{count} problems, all in {problems.inputFiles()[0].rsplit('/', 1)[0]}")
     number = len(folders) + 1
     stored = read_catalog(spark, root)
     # Parsed once; every table below reads only its own columns of the staged records.

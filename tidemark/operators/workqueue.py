@@ -197,15 +197,16 @@ def register_profile(profiles: DataFrame, key: str, fields: dict[str, str], now:
 
 
 def candidates(
-    queue: DataFrame, packages: DataFrame, versions: DataFrame, now: str, max_attempts: int, retry_seconds: int, batch: int
+    queue: DataFrame, packages: DataFrame, versions: DataFrame, key: str, now: str, max_attempts: int, retry_seconds: int, batch: int
 ) -> DataFrame:
-    """Next packages to work on: newest discovery, eligible first, fewest attempts, highest id.
+    """Next packages of one profile (``key``) to work on: newest discovery, eligible first, fewest attempts, highest id.
 
     The batch is chosen by a top-k over the queue before the names are joined, so the joins see
     only ``batch`` rows. Queue rows of packages that do not exist are left out beforehand.
     """
     due = queue.filter(
-        F.col("state").isin("eligible", "failed")
+        (F.col("profile_key") == key)
+        & F.col("state").isin("eligible", "failed")
         & (F.col("attempt_count") < max_attempts)
         & text.retry_due("last_attempt_at", now, retry_seconds)
     ).join(packages.select(F.col("id").alias("package_id")), "package_id", "left_semi")
@@ -223,15 +224,15 @@ def candidates(
     return named.orderBy(*order).select("package_id", "server_identifier", "server_version", "package_identifier")
 
 
-def drill_down(queue: DataFrame, kind: str, limit: int = 50) -> DataFrame:
-    """Newest queue rows that are completed, never attempted, or eligible in the wide sense."""
+def drill_down(queue: DataFrame, kind: str, key: str, limit: int = 50) -> DataFrame:
+    """Newest queue rows of one profile (``key``) that are completed, never attempted, or eligible in the wide sense."""
     condition = {
         "completed": F.col("state") == "completed",
         "never_attempted": (F.col("state") == "eligible") & (F.col("attempt_count") == 0),
         "eligible": F.col("state").isin("eligible", "running", "completed", "failed"),
     }[kind]
     return (
-        queue.filter(condition)
+        queue.filter(condition & (F.col("profile_key") == key))
         .orderBy(F.desc("updated_at"), F.desc("package_id"))
         .limit(limit)
         .select("package_id")

@@ -239,19 +239,29 @@ def remaining_queue(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.remaining_queue(v.queue(spark, sf), 3)
 
 
+KEY = "profile-second"
+_TWO = f"(SELECT * FROM queue UNION ALL SELECT * REPLACE ('{KEY}' AS profile_key) FROM queue)"
+
+
+def two_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The queue, and every package once more under a second profile."""
+    queue = v.queue(spark, sf)
+    return queue.unionByName(queue.withColumn("profile_key", F.lit(KEY)))
+
+
 @query(
     "t5_drill_downs",
     with_views(
-        """(SELECT 'completed' AS kind, package_id FROM queue WHERE state = 'completed' ORDER BY updated_at DESC, package_id DESC LIMIT 50)
-        UNION ALL (SELECT 'never_attempted', package_id FROM queue WHERE state = 'eligible' AND attempt_count = 0 ORDER BY updated_at DESC, package_id DESC LIMIT 50)
-        UNION ALL (SELECT 'eligible', package_id FROM queue WHERE state IN ('eligible', 'running', 'completed', 'failed') ORDER BY updated_at DESC, package_id DESC LIMIT 50)""",
+        f"""(SELECT 'completed' AS kind, package_id FROM {_TWO} WHERE profile_key = '{KEY}' AND state = 'completed' ORDER BY updated_at DESC, package_id DESC LIMIT 50)
+        UNION ALL (SELECT 'never_attempted', package_id FROM {_TWO} WHERE profile_key = '{KEY}' AND state = 'eligible' AND attempt_count = 0 ORDER BY updated_at DESC, package_id DESC LIMIT 50)
+        UNION ALL (SELECT 'eligible', package_id FROM {_TWO} WHERE profile_key = '{KEY}' AND state IN ('eligible', 'running', 'completed', 'failed') ORDER BY updated_at DESC, package_id DESC LIMIT 50)""",
         "queue",
     ),
 )
 def drill_downs(spark: SparkSession, sf: str) -> DataFrame:
-    queue = v.queue(spark, sf)
+    queue = two_profiles(spark, sf)
     parts = [
-        workqueue.drill_down(queue, kind).select(F.lit(kind).alias("kind"), "package_id")
+        workqueue.drill_down(queue, kind, KEY).select(F.lit(kind).alias("kind"), "package_id")
         for kind in ("completed", "never_attempted", "eligible")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -261,8 +271,8 @@ def drill_downs(spark: SparkSession, sf: str) -> DataFrame:
     "t7_j18_candidates",
     with_views(
         f"""SELECT q.package_id, p_name AS server_identifier, p_brand AS server_version, 'pkg-' || CAST(q.package_id AS VARCHAR) AS package_identifier
-        FROM queue q JOIN orders ON o_orderkey = q.package_id JOIN part ON p_partkey = o_custkey
-        WHERE state IN ('eligible', 'failed') AND attempt_count < 4
+        FROM {_TWO} q JOIN orders ON o_orderkey = q.package_id JOIN part ON p_partkey = o_custkey
+        WHERE profile_key = '{KEY}' AND state IN ('eligible', 'failed') AND attempt_count < 4
           AND (last_attempt_at IS NULL OR CAST(last_attempt_at AS TIMESTAMP) <= TIMESTAMP '{NOW}' - INTERVAL 3600 SECOND)
         ORDER BY discovered_at DESC, CASE state WHEN 'eligible' THEN 0 ELSE 1 END, attempt_count, q.package_id DESC LIMIT 250""",
         "queue",
@@ -274,7 +284,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_custkey").alias("server_version_id"),
         F.concat(F.lit("pkg-"), F.col("o_orderkey").cast("string")).alias("identifier"),
     )
-    return workqueue.candidates(v.queue(spark, sf), packages, v.versions(spark, sf), NOW, 4, 3600, 250)
+    return workqueue.candidates(two_profiles(spark, sf), packages, v.versions(spark, sf), KEY, NOW, 4, 3600, 250)
 
 
 _ALL_RUNS = """SELECT o_orderkey AS id, o_custkey AS package_id, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status,

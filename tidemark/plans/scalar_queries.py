@@ -483,23 +483,24 @@ def runtime_eligibility(spark: SparkSession, sf: str) -> DataFrame:
     return _counted(_declared(spark, sf), checks.runtime_eligibility("registry", "transport", "identifier", "version"))
 
 
-_STDERR = "CASE doc_id % 6 WHEN 0 THEN 'Offline Install failed: ' WHEN 1 THEN 'npm integrity mismatch ' WHEN 2 THEN 'No unambiguous executable bin entry ' ELSE '' END || CASE WHEN doc_id % 6 = 5 THEN '' ELSE text END"
+_STDERR = "CASE doc_id % 6 WHEN 0 THEN 'Offline Install failed: ' WHEN 1 THEN 'npm integrity mismatch ' WHEN 2 THEN 'No unambiguous executable bin entry ' WHEN 3 THEN CASE WHEN doc_id % 4 = 1 THEN 'Sentry inspect failed ' ELSE 'entry inspect failed ' END ELSE '' END || CASE WHEN doc_id % 6 = 5 THEN '' ELSE text END"
 
 
 @query(
     "v23_failure_class",
     f"""WITH e AS (SELECT doc_id, {_STDERR} AS stderr FROM documents)
     SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'unresolvable' WHEN 2 THEN 'unsupported' ELSE 'failed' END AS state,
-    CASE doc_id % 6 WHEN 0 THEN 'install_failed' WHEN 1 THEN 'artifact_unresolvable' WHEN 2 THEN 'ambiguous_executable' ELSE 'runtime_discovery_failed' END AS reason_code,
+    CASE doc_id % 6 WHEN 0 THEN 'install_failed' WHEN 1 THEN 'artifact_unresolvable' WHEN 2 THEN 'ambiguous_executable' WHEN 3 THEN CASE WHEN doc_id % 4 = 1 THEN 'protocol_failed' ELSE 'runtime_discovery_failed' END ELSE 'runtime_discovery_failed' END AS reason_code,
     sha256(CASE WHEN doc_id % 6 = 5 THEN 'runtime discovery exited with status 5' ELSE stderr END) AS message_digest,
     CASE WHEN contains(lower(stderr), 'unsupported') OR contains(lower(stderr), 'wheel') OR contains(lower(stderr), 'yanked') OR contains(lower(stderr), 'zip sdist')
       THEN 'artifact_unsupported' ELSE 'artifact_unresolvable' END AS static_code FROM e""",
 )
 def failure_class(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("doc_id") % 6
-    head = F.when(kind == 0, "Offline Install failed: ").when(kind == 1, "npm integrity mismatch ").when(kind == 2, "No unambiguous executable bin entry ").otherwise("")
+    head = F.when(kind == 0, "Offline Install failed: ").when(kind == 1, "npm integrity mismatch ").when(kind == 2, "No unambiguous executable bin entry ")
+    head = head.when(kind == 3, F.when(F.col("doc_id") % 4 == 1, "Sentry inspect failed ").otherwise("entry inspect failed ")).otherwise("")
     rows = table(spark, sf, "documents").select("doc_id", F.concat(head, F.when(kind == 5, "").otherwise(F.col("text"))).alias("stderr"))
-    run, static = checks.runtime_failure("stderr", F.lit(5)), checks.static_failure("stderr", F.lit(5))
+    run, static = checks.runtime_failure("stderr", F.lit(5), "sentry"), checks.static_failure("stderr", F.lit(5))
     return rows.select(
         "doc_id",
         run["state"].alias("state"),
@@ -613,12 +614,18 @@ def sdist_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "t9_release_candidates",
-    f"""WITH f AS ({_RELEASE_FILES}) SELECT DISTINCT release, filename, CASE WHEN filename LIKE '%.tar.gz' THEN 'tar_gzip' ELSE 'zip' END AS archive_format,
-    CASE WHEN filename LIKE '%.tar.gz' THEN 0 ELSE 1 END AS format_order FROM f WHERE NOT yanked""",
+    f"""WITH f AS ({_RELEASE_FILES}), twice AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE release % 5 = 0 AND l_linenumber = 1),
+    v AS (SELECT release, CASE WHEN count(*) FILTER (WHERE NOT yanked AND release % 5 = 0 AND l_linenumber = 1) > 1 THEN 'duplicate PyPI release artifact identity'
+      WHEN count(*) FILTER (WHERE NOT yanked) = 0 THEN 'PyPI release has no supported non-yanked wheel or source distribution' END AS error FROM twice GROUP BY 1)
+    SELECT release, error, filename, CASE WHEN filename LIKE '%.tar.gz' THEN 'tar_gzip' ELSE 'zip' END AS archive_format,
+    CASE WHEN filename LIKE '%.tar.gz' THEN 0 ELSE 1 END AS format_order FROM twice JOIN v USING (release) WHERE error IS NULL AND NOT yanked
+    UNION ALL SELECT release, error, NULL, NULL, NULL FROM v WHERE error IS NOT NULL""",
 )
 def release_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = releases.pypi_candidates(_release_files(spark, sf), ["release"])
-    return rows.select("release", "filename", "archive_format", "format_order")
+    files = _release_files(spark, sf)
+    twice = files.unionByName(files.where("release % 5 = 0 AND filename LIKE 'f1-%'"))
+    rows = releases.pypi_candidates(twice, ["release"], "name", "version")
+    return rows.select("release", "error", "filename", "archive_format", "format_order")
 
 
 @query(

@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(app: str = "tidemark", cpus: str | int = "*", **extra: str) -> SparkSession:
@@ -22,6 +22,13 @@ def local_session(app: str = "tidemark", cpus: str | int = "*", **extra: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
+    if str(cpus).isdigit():
+        builder = builder.config(TASKS, str(cpus))
+    # Python workers import the package from where the driver has it
+    root = str(Path(__file__).resolve().parent.parent)
+    known = os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     for key, value in extra.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -50,6 +57,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``staged`` has written, in order; whoever knows when they are done with may ``remove`` them.
+STAGED: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back.
 
@@ -58,38 +69,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL_PER_CORE = 32 * 1024 * 1024
-BYTES_PER_TASK = 16 * 1024
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input that CPU-heavy row work follows.
+TASKS = "spark.tidemark.tasks"
 
-    A file smaller than a split, or a shuffle that adaptive execution has coalesced, leaves most
-    cores idle. Inputs of some size already come in enough splits and are left alone, so no large
-    table is ever shuffled for this.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * SMALL_PER_CORE:
-        return df
-    return df.repartition(max(1, min(cores, size // BYTES_PER_TASK)))
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out for CPU-heavy row work to as many tasks as the session names in ``spark.tidemark.tasks``.
 
-BROADCAST_ROWS = 1_000_000
-
-
-def join_measured(wide: DataFrame, keys: DataFrame, on: list[str], how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Semi or anti join of wide rows (file contents, say) with a list of keys.
-
-    The keys are staged and counted first. A short list is broadcast, so the wide rows are not
-    shuffled; a longer one is joined by shuffle.
+    A caller whose input is one small file sets it (local sessions do). Unset, as on a cluster, nothing is
+    shuffled: the width of a scan is that of its splits (``spark.sql.files.maxPartitionBytes``).
     """
-    listed = staged(keys.select(*on).distinct(), "keys")
-    small = listed.count() <= max_rows
-    return wide.join(F.broadcast(listed) if small else listed, on, how)
+    tasks = df.sparkSession.conf.get(TASKS, None)
+    if df.isStreaming or not tasks:
+        return df
+    return df.repartition(int(tasks))

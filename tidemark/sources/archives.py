@@ -23,28 +23,34 @@ MAX_ARCHIVE_BYTES = 32 * 1024 * 1024
 # End of fixed values.
 
 
-def read_archives(spark: SparkSession, path: str, glob: str = "*.tgz") -> DataFrame:
-    """``(path, content)``. Files over the archive limit keep their row without content read twice."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(path)
-        .select("path", "content")
-    )
+def read_archives(spark: SparkSession, path: str, glob: str = "*.{tgz,tar.gz}", max_archive_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
+    """``(path, length, content)``. A file over the limit keeps its row; its content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    fits = files.where(F.col("length") <= max_archive_bytes).select("path", "length", "content")
+    # only the listing is read of the others: the source drops the content of columns that are not asked for
+    large = files.where(F.col("length") > max_archive_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return fits.unionByName(large)
 
 
 def _inflate(data: bytes, limit: int) -> bytes:
-    inflater = zlib.decompressobj(31)
-    out = inflater.decompress(data, limit + 1)
-    if len(out) > limit:
-        raise ValueError("archive exceeds total uncompressed size limit")
-    if not inflater.eof:
-        raise ValueError("truncated gzip stream")
-    return out
-
-
-def _unpack(data: bytes, max_archive: int, max_inflated: int) -> list[tuple]:
+    """All gzip members, one after the other, under one limit; anything else behind a member is refused."""
+    parts, total = [], 0
+    while data:
+        inflater = zlib.decompressobj(31)
+        part = inflater.decompress(data, limit - total + 1)
+        total += len(part)
+        if total > limit:
+            raise ValueError("archive exceeds total uncompressed size limit")
+        if not inflater.eof:
+            raise ValueError("truncated gzip stream")
+        parts.append(part)
+        data = inflater.unused_data
+    return b"".join(parts)
+
+
+def _unpack(data: bytes | None, max_archive: int, max_inflated: int) -> list[tuple]:
+    if data is None:
+        return [(None, -1, None, None, None, None, None, None, "tarball exceeds configured size limit")]
     digest = hashlib.sha256(data).hexdigest()
     try:
         if len(data) > max_archive:
@@ -66,7 +72,7 @@ def archive_members(
     max_archive_bytes: int = MAX_ARCHIVE_BYTES,
     max_total_bytes: int = MAX_TOTAL_BYTES,
 ) -> DataFrame:
-    """Explode archives to members. An unreadable archive becomes one row with ``archive_error``.
+    """Explode archives to members. An unreadable archive becomes one row with ``archive_error``; so does one without content.
 
     The unit of work is one archive, whose packed and unpacked sizes are bounded by the limits;
     the tar framing is allowed on top of the member bytes.
@@ -77,7 +83,7 @@ def archive_members(
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                yield pd.DataFrame(_unpack(bytes(data), max_archive_bytes, inflated), columns=names)
+                yield pd.DataFrame(_unpack(None if data is None else bytes(data), max_archive_bytes, inflated), columns=names)
 
     return spread(archives.select(F.col(content).alias("content"))).mapInPandas(unpack, MEMBERS)
 

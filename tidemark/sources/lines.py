@@ -79,6 +79,17 @@ def accepted(parsed: DataFrame, strict: bool) -> DataFrame:
     return parsed.select("seq", *[F.col(f"doc.{f}").alias(f) for f in fields])
 
 
+def rejected(parsed: DataFrame) -> DataFrame:
+    """(seq, error, value) of the rows that ``accepted`` leaves out."""
+    return parsed.filter(F.col("error").isNotNull()).select("seq", "error", "value")
+
+
+def scan_observations(spark: SparkSession, path: str, max_line_bytes: int = MAX_LINE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(valid observations, rejected lines) of a log; nothing is dropped silently."""
+    parsed = parse_observations(read_lines(spark, path), max_line_bytes)
+    return accepted(parsed, strict=False), rejected(parsed)
+
+
 def parse_observations(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     return _split(lines.filter(F.col("value") != ""), strict_observation(), max_line_bytes)
 
