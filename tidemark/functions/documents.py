@@ -375,4 +375,5 @@ def canonical_json():
 
 
 def compact_json():
-    return _text_udf(compact_text)
+    """Column function: JSON text without the white space outside strings."""
+    return lambda c: F.regexp_replace(c, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|[ \t\r\n]+', "$1")

@@ -370,17 +370,24 @@ def metadata_findings(manifests: DataFrame, rules: RuleSet, registry: str = "npm
     )
 
 
-def all_findings(members: DataFrame, rules: RuleSet, registry: str = "npm") -> DataFrame:
-    """Every finding of the accepted archives of one registry."""
+def analyzed(members: DataFrame, registry: str = "npm") -> tuple[DataFrame, DataFrame]:
+    """(members, manifests) of the archives whose manifest is there and sound; the runs of the others fail without facts."""
     chosen = select_manifest(members, registry)
     manifests = npm_manifests(chosen) if registry == "npm" else pypi_manifests(chosen)
+    sound = manifests.filter(F.col("error").isNull())
+    return members.join(sound.select("artifact_sha256"), "artifact_sha256", "left_semi"), sound
+
+
+def all_findings(members: DataFrame, rules: RuleSet, registry: str = "npm") -> DataFrame:
+    """Every finding of the accepted archives of one registry; none of archives without a sound manifest."""
+    members, manifests = analyzed(members, registry)
     parts = [
         metadata_findings(manifests, rules, registry),
         file_type_findings(file_inventory(members, rules), rules),
         script_findings(members, rules),
     ]
     if registry == "npm":
-        parts.append(lifecycle_findings(manifests.filter(F.col("error").isNull()), rules))
+        parts.append(lifecycle_findings(manifests, rules))
     return reduce(DataFrame.unionByName, parts)
 
 

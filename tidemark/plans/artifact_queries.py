@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import artifacts, detectors, summaries
@@ -183,18 +187,50 @@ def _manifest_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _named_members(spark: SparkSession, sf: str, manifests: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Archives packed, written as files' rows, and unpacked; (names, members), both staged.
+def _members(spark: SparkSession, sf: str, manifests: bool = False, faults: bool = False) -> DataFrame:
+    """The members of the archives that the documents stand for, with the archive's name, straight from the table.
 
-    The members are written once and shared by all analyses of them.
+    With ``faults`` archives with b % 5 = 1 have no manifest, and those with b % 5 = 2 a broken one.
     """
     files = _document_files(spark, sf)
     if manifests:
-        files = files.unionByName(_manifest_files(spark, sf))
-    packed = staged(archives.pack_archives(files), "archives")
-    members = staged(archives.archive_members(packed), "members")
-    names = packed.select("archive", F.sha2("content", 256).alias("artifact_sha256"))
-    return names, members
+        own = _manifest_files(spark, sf)
+        bucket = F.substring("archive", 5, 20).cast("long")
+        if faults:
+            broken = F.when(bucket % 5 == 2, F.encode(F.lit("[1"), "UTF-8")).otherwise(F.col("content"))
+            own = own.where(bucket % 5 != 1).withColumn("content", broken)
+        files = files.unionByName(own)
+    order = F.row_number().over(Window.partitionBy("archive").orderBy("path"))  # an archive has few members
+    return files.select(
+        "archive",
+        F.sha2("archive", 256).alias("artifact_sha256"),
+        (order - 1).alias("member_index"),
+        "path",
+        F.lit("0").alias("typeflag"),
+        F.octet_length("content").cast("bigint").alias("size"),
+        "mode",
+        F.lit("").alias("linkname"),
+        "content",
+        F.lit(None).cast("string").alias("archive_error"),
+    )
+
+
+def _packed(files: DataFrame) -> DataFrame:
+    """One tar.gz of two gzip members for each archive; the input of the unpacking query."""
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        raw = io.BytesIO()
+        with tarfile.open(fileobj=raw, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+            for row in group.sort_values("path").itertuples():
+                info = tarfile.TarInfo(row.path)
+                info.size = len(row.content)
+                info.mode = row.mode
+                tar.addfile(info, io.BytesIO(row.content))
+        data = raw.getvalue()
+        half = len(data) // 2
+        return pd.DataFrame({"archive": [group["archive"].iloc[0]], "content": [gzip.compress(data[:half]) + gzip.compress(data[half:])]})
+
+    return files.groupBy("archive").applyInPandas(pack, "archive string, content binary")
 
 
 @query(
@@ -203,7 +239,8 @@ def _named_members(spark: SparkSession, sf: str, manifests: bool = False) -> tup
     mode, CASE WHEN doc_id % 16 <> 14 THEN sha256(text) END AS sha256 FROM f""",
 )
 def archive_members(spark: SparkSession, sf: str) -> DataFrame:
-    names, members = _named_members(spark, sf)
+    packed = staged(_packed(_document_files(spark, sf)), "archives")
+    names, members = packed.select("archive", F.sha2("content", 256).alias("artifact_sha256")), archives.archive_members(packed)
     magic = F.hex(F.substring("content", 1, 4)) == "7F454C46"
     return members.join(names, "artifact_sha256").select(
         "archive", "path", "size", "mode", F.when(~magic, F.sha2("content", 256)).alias("sha256")
@@ -218,7 +255,8 @@ def archive_members(spark: SparkSession, sf: str) -> DataFrame:
       WHEN max(strlen(text) + CASE WHEN doc_id % 16 = 14 THEN 4 ELSE 0 END) > 60000 THEN 'archive entry exceeds individual file size limit' END AS rejected FROM f GROUP BY 1""",
 )
 def archive_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    names, members = _named_members(spark, sf)
+    members = _members(spark, sf)
+    names = members.select("archive", "artifact_sha256").distinct()
     spoiled = members.withColumn("path", F.replace("path", F.lit("/src1/"), F.lit("/../")))
     verdicts = artifacts.archive_verdicts(spoiled, max_file_bytes=60000)
     return verdicts.join(names, "artifact_sha256").select("archive", "files", "total_bytes", "rejected")
@@ -233,7 +271,8 @@ _NATIVE = "file_type IN ('elf', 'native_node_module', 'shared_library', 'wasm')"
     file_type = 'source_map' AS generated, file_type IN ('javascript', 'typescript') AND strlen(text) > 4096 AND length(text) - length(replace(text, chr(10), '')) < 3 AS minified FROM f""",
 )
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    names, members = _named_members(spark, sf)
+    members = _members(spark, sf)
+    names = members.select("archive", "artifact_sha256").distinct()
     rows = artifacts.file_inventory(members, default_rules()).join(names, "artifact_sha256")
     return rows.select("archive", "archive_path", "file_type", "executable", "native_binary", "generated", "minified")
 
@@ -245,7 +284,7 @@ def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
     WHERE {_NATIVE} OR file_type IN ('shell_script', 'powershell_script', 'nested_archive')""",
 )
 def file_type_findings(spark: SparkSession, sf: str) -> DataFrame:
-    _, members = _named_members(spark, sf)
+    members = _members(spark, sf)
     rules = default_rules()
     found = artifacts.file_type_findings(artifacts.file_inventory(members, rules), rules)
     return found.select("subject_path", "rule_id", "severity", "evidence")
@@ -261,7 +300,7 @@ _B = "SELECT DISTINCT doc_id // 8 AS b FROM documents"
     CASE WHEN b % 2 = 0 THEN 'cli.js' ELSE 'run.js' END AS executable FROM ({_B})""",
 )
 def npm_manifests(spark: SparkSession, sf: str) -> DataFrame:
-    _, members = _named_members(spark, sf, manifests=True)
+    members = _members(spark, sf, manifests=True)
     rows = artifacts.npm_manifests(artifacts.select_manifest(members, "npm"))
     return rows.select(
         "package_name", "package_version", "license", "repository", "engines_node", F.size("bin_entries").alias("bins"),
@@ -274,7 +313,8 @@ def npm_manifests(spark: SparkSession, sf: str) -> DataFrame:
     f"""SELECT b.b AS bucket, 'lifecycle:install' AS rule_id, 'high' AS severity, 'install' AS symbol, 'node x' AS evidence FROM ({_B}) b""",
 )
 def lifecycle_findings(spark: SparkSession, sf: str) -> DataFrame:
-    names, members = _named_members(spark, sf, manifests=True)
+    members = _members(spark, sf, manifests=True)
+    names = members.select("archive", "artifact_sha256").distinct()
     manifests = artifacts.npm_manifests(artifacts.select_manifest(members, "npm"))
     found = artifacts.lifecycle_findings(manifests, default_rules()).join(names, "artifact_sha256")
     return found.select(
@@ -288,7 +328,8 @@ def lifecycle_findings(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT b, 'development', 'tool', '*', TRUE FROM ({_B})""",
 )
 def npm_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    names, members = _named_members(spark, sf, manifests=True)
+    members = _members(spark, sf, manifests=True)
+    names = members.select("archive", "artifact_sha256").distinct()
     manifests = artifacts.npm_manifests(artifacts.select_manifest(members, "npm"))
     rows = artifacts.npm_dependencies(manifests).join(names, "artifact_sha256")
     return rows.select(
@@ -299,14 +340,16 @@ def npm_dependencies(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "b17_a17_archive_summaries",
     f"""WITH f AS ({_FILES}) SELECT bucket, count(*) + 1 AS analyzed_file_count, 2 AS dependency_count, bool_or({_NATIVE}) AS has_native_code, 'install' AS lifecycle,
-    2 + count(*) FILTER (WHERE {_NATIVE} OR file_type IN ('shell_script', 'powershell_script', 'nested_archive')) AS finding_count FROM f GROUP BY 1""",
+    2 + count(*) FILTER (WHERE {_NATIVE} OR file_type IN ('shell_script', 'powershell_script', 'nested_archive')) AS finding_count FROM f WHERE bucket % 5 NOT IN (1, 2) GROUP BY 1""",
 )
 def archive_summaries(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata, lifecycle, file-type and line findings of every archive, folded per archive."""
-    names, members = _named_members(spark, sf, manifests=True)
+    members = _members(spark, sf, manifests=True, faults=True)
+    names = members.select("archive", "artifact_sha256").distinct()
     rules = default_rules()
+    members = staged(members.drop("archive"), "members")
     accepted = artifacts.safe_members(members, artifacts.archive_verdicts(members))
-    manifests = artifacts.npm_manifests(artifacts.select_manifest(accepted, "npm"))
+    accepted, manifests = artifacts.analyzed(accepted, "npm")
     rows = artifacts.archive_summaries(
         artifacts.file_inventory(accepted, rules), artifacts.all_findings(accepted, rules, "npm"), artifacts.npm_dependencies(manifests)
     ).join(names, "artifact_sha256")
@@ -447,7 +490,7 @@ def source_windows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def finding_sources(spark: SparkSession, sf: str) -> DataFrame:
     """File-type findings of text members, joined to run, file, evidence and member."""
-    _, members = _named_members(spark, sf)
+    members = _members(spark, sf)
     rules = default_rules()
     inventory = artifacts.file_inventory(members, rules)
     digests_ = members.select("artifact_sha256").distinct()
@@ -471,7 +514,7 @@ def finding_sources(spark: SparkSession, sf: str) -> DataFrame:
     WHERE {_NATIVE} OR file_type IN ('shell_script', 'powershell_script', 'nested_archive')""",
 )
 def exported_details(spark: SparkSession, sf: str) -> DataFrame:
-    _, members = _named_members(spark, sf)
+    members = _members(spark, sf)
     rules = default_rules()
     inventory = artifacts.file_inventory(members, rules)
     found = artifacts.file_type_findings(inventory, rules)

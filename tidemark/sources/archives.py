@@ -86,25 +86,3 @@ def archive_members(
                 yield pd.DataFrame(_unpack(None if data is None else bytes(data), max_archive_bytes, inflated), columns=names)
 
     return spread(archives.select(F.col(content).alias("content"))).mapInPandas(unpack, MEMBERS)
-
-
-def pack_archives(files: DataFrame) -> DataFrame:
-    """Write-side counterpart: ``(archive, path, content)`` rows to one tar.gz per archive name.
-
-    Members of one archive are limited in number and bytes by the archive limits, so a group is
-    bounded; used to stage archives from tables.
-    """
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        raw = io.BytesIO()
-        with tarfile.open(fileobj=raw, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for row in group.sort_values("path").itertuples():
-                info = tarfile.TarInfo(row.path)
-                info.size = len(row.content)
-                info.mode = row.mode
-                tar.addfile(info, io.BytesIO(row.content))
-        packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-        data = packer.compress(raw.getvalue()) + packer.flush()
-        return pd.DataFrame({"archive": [group["archive"].iloc[0]], "content": [data]})
-
-    return files.groupBy("archive").applyInPandas(pack, "archive string, content binary")
