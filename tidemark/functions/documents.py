@@ -369,6 +369,36 @@ def _text_udf(function):
     return F.pandas_udf(apply, T.StringType())
 
 
+def item_texts(text: str, member: str) -> list[str] | None:
+    """Items of an array member of a JSON object, each exactly as written; None if there is no such array."""
+    try:
+        start = len(text) - len(text.lstrip(_SPACE))
+        spans, _ = _required(text, start, (member,), "document")
+        pos, end = spans[member]
+        if text[pos] != "[":
+            return None
+        items, pos = [], pos + 1
+        while True:
+            while text[pos] in _SPACE or text[pos] == ",":
+                pos += 1
+            if text[pos] == "]":
+                return items
+            _, stop = _LENIENT.raw_decode(text, pos)
+            items.append(text[pos:stop])
+            pos = stop
+    except (ValueError, IndexError, RecursionError):
+        return None
+
+
+def item_list(member: str):
+    """UDF: JSON object -> the items of one array member as texts. A parser would respell their numbers."""
+
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: item_texts(t, member), na_action="ignore").astype(object)
+
+    return F.pandas_udf(apply, T.ArrayType(T.StringType()))
+
+
 def canonical_json():
     """UDF: JSON text -> canonical JSON text, NULL when the text is not strict JSON."""
     return _text_udf(canonical_text)

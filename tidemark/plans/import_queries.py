@@ -40,18 +40,6 @@ def _entries(spark: SparkSession, sf: str, description: Column | None = None) ->
     return table(spark, sf, "part").select(page.alias("page"), F.col("p_partkey").alias("position"), made.alias("entry"))
 
 
-@query(
-    "s5_raw_pages",
-    f"""SELECT p_partkey // {PAGE_SIZE} + 1 AS page, p_partkey % {PAGE_SIZE} AS position, 'io.example/part-' || p_partkey AS server_identifier,
-    p_size || '.0' AS server_version, CAST(NULL AS VARCHAR) AS error FROM part""",
-)
-def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
-    root = scratch(spark, "pages")
-    write_pages(_entries(spark, sf), root)
-    records = bundles.build_records(bundles.page_entries(bundles.read_pages(spark, root)))
-    return records.select("page", F.col("position").cast("bigint").alias("position"), "server_identifier", "server_version", "error")
-
-
 _ENTRY_CANON = f"""'{{"_meta":{{"{OFFICIAL_META}":{{"status":"active","updatedAt":"2024-01-01T00:00:00Z"}}}},"server":' ||
 '{{"description":"' || p_type || '","name":"io.example/part-' || p_partkey || '",' || pk || rm || rp || ',"version":"' || p_size || '.0","weight":1.50}}}}'"""
 _CANON = f"""WITH e AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN '' ELSE '"packages":[{{"environmentVariables":[{{"isRequired":true,"name":"TOKEN"}}],"identifier":"pkg-' || p_partkey ||
@@ -63,6 +51,20 @@ l AS (SELECT *, '{{"description":"' || p_type || '","original":' || {_ENTRY_CANO
   ',"server_identifier":"io.example/part-' || p_partkey || '","server_version":"' || p_size || '.0"}}' AS logical FROM e)"""
 
 
+@query(
+    "s5_raw_pages",
+    f"""{_CANON} SELECT p_partkey // {PAGE_SIZE} + 1 AS page, p_partkey % {PAGE_SIZE} AS position, 'io.example/part-' || p_partkey AS server_identifier,
+    p_size || '.0' AS server_version, sha256(logical) AS canonical_sha256, CAST(NULL AS VARCHAR) AS error FROM l""",
+)
+def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch(spark, "pages")
+    write_pages(_entries(spark, sf), root)
+    records = bundles.build_records(bundles.page_entries(bundles.read_pages(spark, root)))
+    return records.select(
+        "page", F.col("position").cast("bigint").alias("position"), "server_identifier", "server_version", "canonical_sha256", "error"
+    )
+
+
 @query(
     "f11_canonical_records",
     f"""{_CANON} SELECT 'io.example/part-' || p_partkey AS server_identifier, sha256(logical) AS canonical_sha256, '2024-01-01T00:00:00Z' AS observed_at,

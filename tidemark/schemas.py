@@ -21,7 +21,7 @@ CANONICAL_RECORD = (
     f"original struct<_meta:{_META}>, observed_at string, canonical_sha256 string"
 )
 PAGE = (
-    "metadata struct<nextCursor:string,cursor:string>, servers array<string>"
+    "metadata struct<nextCursor:string,cursor:string>"
 )
 MANIFEST = (
     "bundle_version int, collection_mode string, updated_since string, base_snapshot_sha256 string, "

@@ -63,7 +63,7 @@ def read_pages(spark: SparkSession, bundle: str) -> DataFrame:
         "body",
         F.col("doc.metadata.cursor").alias("declared_cursor"),
         F.nullif(F.col("doc.metadata.nextCursor"), F.lit("")).alias("next_cursor"),
-        F.col("doc.servers").alias("servers"),
+        documents.item_list("servers")("body").alias("servers"),
     )
 
 
