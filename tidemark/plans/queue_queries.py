@@ -367,6 +367,23 @@ def synchronized_queue(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("package_id", "state", "reason_code", "attempt_count", "analysis_run_id")
 
 
+_PROFILES = """SELECT c_mktsegment AS profile_key, min(c_name) AS analyzer_name, '2024-01-01 00:00:00' AS created_at, '2024-01-01 00:00:00' AS selected_at FROM customer GROUP BY 1"""
+
+
+@query(
+    "i9_registered_profiles",
+    f"""SELECT profile_key, analyzer_name, created_at, CASE WHEN profile_key = 'BUILDING' THEN '{NOW}' ELSE selected_at END AS selected_at FROM ({_PROFILES})
+    UNION ALL SELECT 'ADDED', 'later', '{NOW}', '{NOW}'""",
+)
+def registered_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """One known profile selected again, and one new one."""
+    start = F.lit("2024-01-01 00:00:00")
+    known = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("profile_key")).agg(F.min("c_name").alias("analyzer_name"))
+    known = known.withColumn("created_at", start).withColumn("selected_at", start)
+    renewed = workqueue.register_profile(known, "BUILDING", {"analyzer_name": "ignored"}, NOW)
+    return workqueue.register_profile(renewed, "ADDED", {"analyzer_name": "later"}, NOW).select(known.columns)
+
+
 @query(
     "i7_synchronized_runtime_queue",
     """WITH s AS (SELECT c_custkey AS package_id, c_nationkey % 5 AS kind, c_nationkey % 2 = 0 AS early, c_acctbal >= 5000 AS valid, c_mktsegment = 'MACHINERY' AS oci,
