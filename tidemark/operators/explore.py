@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,19 @@ class Catalog:
     environment: DataFrame | None = None
 
 
+def pruned(cat: Catalog, members: DataFrame) -> Catalog:
+    """The catalog with the children of the member versions only, so that no history is folded.
+
+    The semi-joins use the key of the aggregation above them, which then needs no further shuffle.
+    """
+    ids = members.select("server_version_id")
+
+    def own(children: DataFrame) -> DataFrame:
+        return children.join(ids, "server_version_id", "left_semi")
+
+    return replace(cat, repositories=own(cat.repositories), packages=own(cat.packages), remotes=own(cat.remotes))
+
+
 @dataclass
 class Filters:
     """Metadata conditions, combined with AND. NULL fields do not restrict."""
@@ -172,8 +185,10 @@ def summary_counts(rows: DataFrame) -> DataFrame:
 def grouped_counts(cat: Catalog, links: DataFrame) -> DataFrame:
     """``(dimension, value, count)`` for the six groupings of a snapshot; NULL values drop out.
 
-    All child values are stacked first, so one join with the links serves every grouping.
+    The tables are pruned to the snapshot, then all child values are stacked and counted at once.
     """
+    ids = links.select("server_version_id")
+    cat = replace(pruned(cat, ids), versions=cat.versions.join(ids, F.col("id") == F.col("server_version_id"), "left_semi"))
 
     def part(df: DataFrame, key: str, pairs: dict[str, str]) -> DataFrame:
         stacked = F.explode(
@@ -192,14 +207,7 @@ def grouped_counts(cat: Catalog, links: DataFrame) -> DataFrame:
         .unionByName(part(cat.repositories, "server_version_id", {"repository_host": "host"}))
         .filter(F.col("value").isNotNull())
     )
-    # Equal values of one version fold before the join, so a version with many children adds
-    # one row per distinct value to the shuffle.
-    folded = rows.groupBy("server_version_id", "dimension", "value").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        folded.join(links.select("server_version_id"), "server_version_id")
-        .groupBy("dimension", "value")
-        .agg(F.sum("n").alias("count"))
-    )
+    return rows.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def apply_filters(rows: DataFrame, filters: Filters) -> DataFrame:
@@ -256,7 +264,7 @@ def list_versions(
     """A page of member versions by identifier and version (bytewise)."""
     _page(limit, offset, MAX_LIST_LIMIT)
     filters.check()
-    rows = apply_filters(versions_with_facts(cat, members, child_facts(cat, filters)), filters)
+    rows = apply_filters(versions_with_facts(cat, members, child_facts(pruned(cat, members), filters)), filters)
     return (
         _row_columns(rows, cat)
         .select(*RESULT, "server_version_id")
@@ -287,7 +295,7 @@ def search_contains(
         raise ValueError("search query must not be empty")
     _page(limit, offset, MAX_SEARCH_LIMIT)
     filters.check()
-    rows = apply_filters(versions_with_facts(cat, members, child_facts(cat, filters, needle=query)), filters)
+    rows = apply_filters(versions_with_facts(cat, members, child_facts(pruned(cat, members), filters, needle=query)), filters)
     hit = _has("server_identifier", query) | _has("description", query) | F.col("text_hit")
     return (
         _row_columns(rows.filter(hit), cat)
@@ -373,20 +381,31 @@ def search_ranked(
     keep: tuple[str, ...] = ("server_identifier", "server_version"),
     limit: int = DEFAULT_SEARCH_LIMIT,
     offset: int = 0,
+    members: DataFrame | None = None,
+    cat: Catalog | None = None,
+    filters: Filters = Filters(),
 ) -> DataFrame:
     """Full-text search: exact name, name prefix, score, then identifier and version.
 
+    With ``members`` (a snapshot's versions) and ``cat`` only member versions that meet ``filters`` are
+    ranked, by the statistics of the whole collection, and come with their repository and child counts;
+    ``docs`` then needs ``server_version_id``.
+
     The texts are read once: counts per document are staged without them, and both the
     collection statistics and the ranking come from the staged counts.
     """
     if not query:
         raise ValueError("search query must not be empty")
     _page(limit, offset, MAX_SEARCH_LIMIT)
+    keep = tuple(dict.fromkeys([*keep, *(["server_version_id"] if members is not None else [])]))
     matched = staged(match_terms(docs, query, fields).select(*keep, "words", "tf"), "search")
+    ranked = bm25(matched, len(search_terms(query))).drop("words", "tf")
+    if members is not None:
+        fitting = apply_filters(versions_with_facts(cat, members, child_facts(pruned(cat, members), filters)), filters)
+        fitting = _row_columns(fitting.select("server_version_id", "registry_status", "packages", "remotes"), cat)
+        ranked = ranked.join(fitting, "server_version_id")
     return (
-        bm25(matched, len(search_terms(query)))
-        .drop("words", "tf")
-        .orderBy(*_match_order(query), F.desc("score"), "server_identifier", "server_version")
+        ranked.orderBy(*_match_order(query), F.desc("score"), "server_identifier", "server_version")
         .offset(offset)
         .limit(limit)
     )

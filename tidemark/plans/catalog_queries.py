@@ -182,8 +182,9 @@ def members_with_repository(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rows(spark: SparkSession, sf: str, filters: Filters = Filters(), environment: bool = False) -> DataFrame:
     cat = v.catalog(spark, sf)
-    facts = explore.child_facts(cat, filters, environment=environment)
-    return explore.versions_with_facts(cat, _members(spark, sf, cat), facts)
+    members = _members(spark, sf, cat)
+    facts = explore.child_facts(explore.pruned(cat, members), filters, environment=environment)
+    return explore.versions_with_facts(cat, members, facts)
 
 
 _HAS = "EXISTS (SELECT 1 FROM {0} c WHERE c.server_version_id = m.id)"
@@ -402,6 +403,35 @@ def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "t2_search_ranked_filtered",
+    with_views(
+        f"""SELECT m.id AS server_version_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl))
+          + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score, r.url AS repository,
+          (SELECT count(*) FROM packages c WHERE c.server_version_id = m.id) AS packages,
+          (SELECT count(*) FROM remotes c WHERE c.server_version_id = m.id) AS remotes
+        FROM f JOIN members m ON m.id = f.id LEFT JOIN repositories r ON r.server_version_id = m.id, s WHERE a > 0 AND b > 0 AND {_O} AND {_P}
+        ORDER BY ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / avgdl))
+          + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / avgdl)) DESC, m.server_identifier, m.server_version LIMIT 500""",
+        *CATALOG_VIEWS,
+        **YEAR_PAIR,
+        members=_MEMBERS,
+        t="SELECT id, list_filter(regexp_split_to_array(lower(description), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS tok FROM versions",
+        f="""SELECT id, len(tok) AS dl, len(list_filter(tok, lambda x: starts_with(x, 'size'))) AS a,
+            len(list_filter(tok, lambda x: starts_with(x, '1'))) AS b FROM t""",
+        s="SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM f",
+    ),
+)
+def search_ranked_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked search among the versions of a snapshot that have a repository and a package."""
+    cat = v.catalog(spark, sf)
+    docs = cat.versions.withColumnRenamed("id", "server_version_id")
+    found = explore.search_ranked(
+        docs, "size 1", ("description",), limit=500, members=_members(spark, sf, cat), cat=cat, filters=Filters(has_repository=True, has_package=True)
+    )
+    return found.select("server_version_id", F.round("score", 6).alias("score"), "repository", "packages", "remotes")
+
+
 @query(
     "t3_show_children",
     with_views(
