@@ -3,7 +3,8 @@
 Every step is joins and aggregations on edges, so no node's neighbours are ever gathered in one
 place: minima combine before the shuffle, and the join of a hub's edges with its one minimum is a
 plain equi-join that adaptive execution can split. Between steps each task contracts what it holds
-to a spanning forest, and the edges are written below ``spark.checkpoint.dir``.
+to a spanning forest, and the edges are written below ``spark.checkpoint.dir``. A graph of at most
+``FOREST_EDGES`` edges, given or contracted so far, is finished by one task.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         for batch in batches:
             kind = batch.schema.field(0).type
             held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            if len(held) >= FOREST_EDGES:
+            if len(held) > FOREST_EDGES:
                 yield out()
                 held = []
         if held:
@@ -82,13 +83,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Directions, repeated edges and loops do not matter; an edge with a null end is no edge.
     """
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = staged(_contracted(pairs.distinct()), "edges")
-    while True:
+    now = staged(pairs.distinct(), "edges")
+    small = now.count() <= FOREST_EDGES
+    if not small:
+        now = staged(_contracted(now), "edges")
+    while not small:
         parents = now.groupBy("u").agg(F.count("v").alias("n"))
-        unsettled = parents.where("n > 1").select("u").unionByName(now.join(parents.select(F.col("u").alias("v")), "v", "left_semi").select("u"))
+        above = parents.select(F.col("u").alias("v"))
+        unsettled = parents.where("n > 1").select("u").unionByName(now.join(above, "v", "left_semi").select("u"))
         if unsettled.isEmpty():
             break
         now = staged(_contracted(_star_step(now)), "edges")
+        small = now.count() <= FOREST_EDGES
+    if small:
+        now = staged(_contracted(now.coalesce(1)), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
