@@ -106,27 +106,31 @@ def pypi_candidates(files: DataFrame, release: list[str], name: str, version: st
     """Supported files that are not yanked, with their rank order, or one row with the ``error`` of a refused release.
 
     A release is refused as a whole if it has too many files, a file that is no valid artifact, a file
-    twice (name and digest), or no supported file. Its verdict folds to a few counts.
+    twice (name and digest), or no supported file. An ``error`` that the files carry already refuses it too.
+    Its verdict folds to a few counts.
     """
+    given = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    files = files.withColumn("_given", given).drop("error")
     kept = files.withColumn("archive_format", archive_format("package_type", "filename"))
     usable = ~F.coalesce("yanked", F.lit(False)) & F.col("archive_format").isNotNull()
     problem = checks.descriptor_error(text.normalize_project_name(F.col(name)), version, "filename", "url", "sha256", "size")
     kept = kept.withColumn("_usable", usable).withColumn("_problem", F.when(usable, problem))
     same = kept.groupBy(*release, "filename", "sha256").agg(
-        F.count(F.lit(1)).alias("_all"), F.count_if("_usable").alias("_n"), F.min("_problem").alias("_problem")
+        F.count(F.lit(1)).alias("_all"), F.count_if("_usable").alias("_n"), F.min("_problem").alias("_problem"), F.min("_given").alias("_given")
     )
     verdict = same.groupBy(*release).agg(
-        F.sum("_all").alias("_all"), F.sum("_n").alias("_usable"), F.max("_n").alias("_most"), F.min("_problem").alias("_problem")
+        F.sum("_all").alias("_all"), F.sum("_n").alias("_usable"), F.max("_n").alias("_most"), F.min("_problem").alias("_problem"), F.min("_given").alias("_given")
     )
     error = (
-        F.when(F.col("_all") > checks.MAX_RELEASE_FILES, "PyPI release contains too many files")
+        F.when(F.col("_given").isNotNull(), F.col("_given"))
+        .when(F.col("_all") > checks.MAX_RELEASE_FILES, "PyPI release contains too many files")
         .when(F.col("_problem").isNotNull(), F.col("_problem"))
         .when(F.col("_most") > 1, "duplicate PyPI release artifact identity")
         .when(F.col("_usable") == 0, "PyPI release has no supported non-yanked wheel or source distribution")
     )
     verdict = verdict.select(*release, error.alias("error"))
     order = F.when(F.col("archive_format") == "tar_gzip", 0).otherwise(1)
-    good = kept.where("_usable").drop("_usable", "_problem").withColumn("format_order", order)
+    good = kept.where("_usable").drop("_usable", "_problem", "_given").withColumn("format_order", order)
     good = good.join(verdict.where("error IS NULL"), release)
     return good.unionByName(verdict.where("error IS NOT NULL"), allowMissingColumns=True)
 
