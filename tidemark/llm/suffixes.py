@@ -41,7 +41,7 @@ LENGTH = 200
 GRAM = 32
 RUN = 512  # strings one sample stands for at most; a longer run is cut
 SEGMENT = 1 << 22
-HOT = 2000
+HOT = 20_000  # surroundings of about 300 bytes each, so that a group is some MB
 
 
 def samples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
