@@ -95,7 +95,7 @@ def import_bundle(spark: SparkSession, bundle: str, root: str, imported_at: str,
     versions = tables.pop("server_versions")
     keys = ["server_identifier", "server_version", "canonical_sha256"]
     existing = stored["server_versions"] if stored else versions.limit(0)
-    outcomes = split_incoming(versions, existing)
+    outcomes = staged(split_incoming(versions, existing), "outcomes")  # six tables and the statistics follow from it
     added = versions.join(outcomes.filter("outcome <> 'reused'").select(*keys), keys, "left_semi").select(versions.columns)
     new_ids = added.select(F.col("id").alias("server_version_id"))
     kept = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import global_position, newest_per_key
@@ -148,20 +148,19 @@ def snapshot_diffs(links: DataFrame, ordinals: DataFrame, member: str, snapshot:
 def split_incoming(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Classify incoming records by identity triple: ``reused``, ``changed`` or ``new``.
 
-    ``changed`` is a new digest under a known (identifier, version). One join on the pair
-    serves both questions: stored digests of a pair fold to a few variants first.
+    ``changed`` is a new digest under a known (identifier, version). Stored versions are read once;
+    one shuffle by the pair serves the fold to triples and the look at the pair's other variants.
     """
     pair = ["server_identifier", "server_version"]
     tagged = incoming.select(*pair, "canonical_sha256", F.lit(True).alias("incoming")).unionByName(
         existing.select(*pair, "canonical_sha256", F.lit(False).alias("incoming"))
     )
-    triples = tagged.groupBy(*pair, "canonical_sha256").agg(
+    triples = tagged.repartition(*pair).groupBy(*pair, "canonical_sha256").agg(
         F.bool_or("incoming").alias("incoming"), F.bool_or(~F.col("incoming")).alias("stored")
     )
-    known = existing.select(*pair).distinct().withColumn("known", F.lit(True))
     return (
-        triples.filter("incoming")
-        .join(known, pair, "left")
+        triples.withColumn("known", F.max("stored").over(Window.partitionBy(*pair)))
+        .filter("incoming")
         .select(
             *pair,
             "canonical_sha256",

@@ -171,13 +171,15 @@ def _path(spark: SparkSession, text: str):
 def publish_generation(tables: dict[str, DataFrame], root: str, generation: str) -> str:
     """Write tables as one generation; it becomes visible when its marker file exists.
 
-    All tables are complete before the marker is created, so readers see all or nothing, and a
-    repeated attempt of the same generation simply writes it again.
+    All tables are complete before the marker is created, so readers see all or nothing. An attempt
+    that broke off is written again; a generation that is visible is refused.
     """
     spark = next(iter(tables.values())).sparkSession
+    marker, fs = _path(spark, f"{root}/{generation}/_COMPLETE")
+    if fs.exists(marker):
+        raise FileExistsError(f"{root}/{generation} is published")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{generation}/{name}")
-    marker, fs = _path(spark, f"{root}/{generation}/_COMPLETE")
     fs.create(marker, True).close()
     return f"{root}/{generation}"
 

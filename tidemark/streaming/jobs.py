@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.documents import compact_text, item_texts
 from ..operators.imports import import_bundle
 from ..operators.summaries import detail_deltas, merge_counters
 from ..sources.bundles import completed_bundles
@@ -33,7 +34,9 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _tools(inventory: str | None) -> dict[str, str]:
-    return {t["name"]: json.dumps(t, sort_keys=True) for t in json.loads(inventory or "[]")}
+    """Tool definitions by name, as written but for white space: 1.0 and 1.00 differ, as in the batch form."""
+    items = item_texts(f'{{"tools":{inventory or "[]"}}}', "tools") or []
+    return {json.loads(t)["name"]: compact_text(t) for t in items}
 
 
 def _change_row(target: str, state: tuple) -> dict:
