@@ -125,9 +125,13 @@ def import_bundle(spark: SparkSession, bundle: str, root: str, imported_at: str,
     )
     links = versions.select(F.lit(number).cast("bigint").alias("snapshot_id"), F.col("id").alias("server_version_id"))
     statistics = import_statistics(outcomes).collect()[0].asDict()
-    publish_generation(
+    folder = publish_generation(
         {"snapshots": snapshot, "server_versions": added, "snapshot_server_versions": links, **kept},
         root,
         f"import-{number:08d}-{digest}",
     )
+    # counts of what was written come from the files' footers
+    for name in ("repositories", "packages", "remotes"):
+        statistics[name] = spark.read.parquet(f"{folder}/{name}").count()
+    statistics["links"] = spark.read.parquet(f"{folder}/snapshot_server_versions").count()
     return statistics
