@@ -312,7 +312,7 @@ def test_rates_reach_the_targets(spark, empty):
 def test_projected_gradient_is_least_squares(spark):
     rng = np.random.default_rng(6)
     p, t = rng.dirichlet([1, 1, 1], 50), rng.integers(1, 90, 50)
-    members = spark.createDataFrame([(int(n), 1, *map(float, x)) for n, x in zip(t, p)], "tokens long, copies long, p0 double, p1 double, p2 double")
+    members = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(t, p)], "tokens long, p0 double, p1 double, p2 double")
     rated, reached = mixing.fitted(members, [0.6, 0.3, 0.1], steps=100, tolerance=1e-5)
     rate = np.array([r.rate for r in rated.collect()])
     assert (rate >= 0).all() and np.allclose(reached, t.sum() * np.array([0.6, 0.3, 0.1]), rtol=1e-3)

@@ -8,10 +8,10 @@
    domain - target) move them, never below 0. A step needs one sum for each domain over all
    documents; only these sums reach the driver. With the expected tokens at rate 1 as weights, and
    each document's step divided by its tokens, a step of 1 can never overshoot (the Hessian is
-   dominated by its row sums).
+   dominated by its row sums). Momentum, dropped whenever the distance grows, shortens the way.
 
-Everything is DataFrame expressions. The words are exploded and met with a table of ``BUCKETS``
-rows at most by a broadcast join; only one row for each document and task is shuffled.
+Everything is DataFrame expressions. The weights of a domain are an array of ``BUCKETS`` numbers in the
+plan, and a text's words are summed up within its row: scoring is one pass without a shuffle.
 
 Documents without words (null and empty texts too) get the prior as posterior and keep what rate it
 leads to. Repeated rows count and are returned one by one. Labels outside the targets, null labels and labels of
@@ -36,20 +36,33 @@ MAX_SAMPLE_BYTES = 1 << 16
 EVIDENCE = 3
 SMOOTHING = 0.5
 STEPS = 60
-FOLD = 10  # steps between two written tables of rates
-TOLERANCE = 1e-6
+FOLD = 5  # steps between two written tables of rates
+STALL = 1e-12  # gain of a step, in tokens, from which on nothing is gained
+TOLERANCE = 1e-6  # of all tokens, within which every domain must reach its target
 
 
 def word_list(text: str = "text") -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \\t\\r\\n]+"), lambda w: w != "")
+    """The words, with an empty one at an end where white space stands."""
+    return F.split(F.coalesce(F.col(text), F.lit("")), "[ \\t\\r\\n]+")
+
+
+def word_count(words: str) -> Column:
+    """Number of words of a ``word_list``, without the empty ones."""
+    first, last = F.get(words, F.lit(0)) == "", F.get(words, F.size(words) - 1) == ""
+    return F.greatest(F.lit(0), F.size(words) - first.cast("int") - last.cast("int")).cast("long")
 
 
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def word_weights(documents: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> tuple[DataFrame, list[float]]:
-    """(bucket, w0, w1, ...): centred log likelihoods of a hashed word in each domain; and the log priors of the domains."""
+def _array(values: list[float]) -> Column:
+    """A constant array; written as one string, which the optimizer turns into a literal."""
+    return F.split(F.lit(",".join(f"{x:.7g}" for x in values)), ",").cast("array<double>")
+
+
+def word_weights(documents: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> tuple[list[list[float]], list[float]]:
+    """For each domain the centred log likelihoods of the hashed words (empty or unseen: 0), and the priors of the domains."""
     known = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain")
     counts = {r.domain: r.n for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values()) + len(domains)
@@ -57,59 +70,71 @@ def word_weights(documents: DataFrame, labelled: DataFrame, domains: list[str],
     order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_domain).select("doc_id", "domain")
     texts = documents.where(F.octet_length("text") <= MAX_SAMPLE_BYTES).select("doc_id", "text")
-    words = texts.join(F.broadcast(chosen), "doc_id").select("domain", F.explode(word_list()).alias("word"))
+    words = texts.join(F.broadcast(chosen), "doc_id").select("domain", F.explode(word_list()).alias("word")).where("word <> ''")
     seen = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(
         *[F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)]
     )
-    seen = staged(seen, "word-counts")  # one row for each bucket at most
-    totals = seen.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"t{k}") for k in range(len(domains))]).first()
-    logs = [F.log((F.col(f"c{k}") + SMOOTHING) / (float(totals[k]) + SMOOTHING * BUCKETS)) for k in range(len(domains))]
-    mean = reduce(lambda a, b: a + b, logs) / len(domains)
-    return seen.select("bucket", *[(x - mean).alias(f"w{k}") for k, x in enumerate(logs)]), priors
+    counts = seen.collect()  # a row for each bucket at most
+    totals = [sum(r[f"c{k}"] for r in counts) + SMOOTHING * BUCKETS for k in range(len(domains))]
+    weights = [[0.0] * BUCKETS for _ in domains]
+    for r in counts:
+        logs = [math.log((r[f"c{k}"] + SMOOTHING) / t) for k, t in enumerate(totals)]
+        for k, x in enumerate(logs):
+            weights[k][r.bucket] = x - sum(logs) / len(logs)
+    return weights, priors
 
 
 def posteriors(documents: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> DataFrame:
-    """(doc_id, tag, tokens, copies, p0, p1, ...) for each doc_id and text; ``tag`` is xxhash64(text)."""
+    """(doc_id, tag, tokens, p0, p1, ...) of every row; ``tag`` is xxhash64(text)."""
     weights, priors = word_weights(documents, labelled, domains, per_domain)
-    rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), F.posexplode_outer(word_list()).alias("pos", "word"))
-    met = rows.withColumn("bucket", _bucket(F.col("word"))).join(F.broadcast(weights), "bucket", "left")  # BUCKETS rows
     n = len(domains)
-    sums = met.groupBy("doc_id", "tag").agg(
-        F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies"),
-        F.count("word").alias("words"),
-        *[F.coalesce(F.sum(f"w{k}"), F.lit(0.0)).alias(f"s{k}") for k in range(n)],
-    )
-    share = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.lit(1.0), F.col("words") / F.col("copies"))) / F.col("copies")
-    logits = sums.select(
-        "doc_id", "tag", "copies", (F.col("words") / F.col("copies")).cast("long").alias("tokens"), *[(F.col(f"s{k}") * share + math.log(priors[k])).alias(f"z{k}") for k in range(n)]
-    )
+    rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), word_list().alias("words"))
+    rows = rows.select("doc_id", "tag", word_count("words").alias("tokens"), F.transform("words", _bucket).alias("buckets"))
+
+    def evidence(k: int) -> Column:
+        values = _array(weights[k])
+        return F.aggregate("buckets", F.lit(0.0), lambda total, bucket: total + F.get(values, bucket))
+
+    sums = rows.select("doc_id", "tag", "tokens", *[evidence(k).alias(f"s{k}") for k in range(n)])
+    share = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.lit(1), F.col("tokens")))
+    logits = sums.select("doc_id", "tag", "tokens", *[(F.col(f"s{k}") * share + math.log(priors[k])).alias(f"z{k}") for k in range(n)])
     top = F.greatest(*[F.col(f"z{k}") for k in range(n)]) if n > 1 else F.col("z0")
-    shifted = logits.select("doc_id", "tag", "copies", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(n)])
+    shifted = logits.select("doc_id", "tag", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(n)])
     norm = reduce(lambda a, b: a + b, [F.col(f"e{k}") for k in range(n)])
-    return shifted.select("doc_id", "tag", "copies", "tokens", *[(F.col(f"e{k}") / norm).alias(f"p{k}") for k in range(n)])
+    return shifted.select("doc_id", "tag", "tokens", *[(F.col(f"e{k}") / norm).alias(f"p{k}") for k in range(n)])
 
 
 def fitted(members: DataFrame, shares: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
-    """``members`` (p0, p1, ..., tokens, copies) with a column ``rate``, and the expected tokens of the domains at these rates."""
+    """``members`` (p0, p1, ..., tokens) with a column ``rate``, and the expected tokens of the domains at these rates."""
     n = len(shares)
-    mass = F.col("tokens") * F.col("copies")
-
     def expected(rated: DataFrame) -> list[float]:
-        row = rated.agg(*[F.coalesce(F.sum(mass * F.col("rate") * F.col(f"p{k}")), F.lit(0.0)) for k in range(n)]).first()
+        row = rated.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * F.col(f"p{k}")), F.lit(0.0)) for k in range(n)]).first()
         return [float(x) for x in row]
 
-    rated = members.withColumn("rate", F.lit(1.0))
-    now = first = expected(rated)
+    def distance(totals: list[float]) -> float:
+        return sum((e - t) ** 2 / w for e, t, w in zip(totals, target, first) if w > 0)
+
+    rated = members.withColumn("rate", F.lit(1.0)).withColumn("earlier", F.lit(1.0))
+    now = before = first = expected(rated)
     target = [s * sum(first) / sum(shares) for s in shares]
+    pace = 1.0
     for step in range(1, steps + 1):
-        move = [(e - t) / w if w > 0 else 0.0 for e, t, w in zip(now, target, first)]
+        following = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        momentum, pace = (pace - 1) / following, following
+        ahead = [e + momentum * (e - b) for e, b in zip(now, before)]  # totals are linear in the rates
+        move = [(e - t) / w if w > 0 else 0.0 for e, t, w in zip(ahead, target, first)]
         change = reduce(lambda a, b: a + b, [F.col(f"p{k}") * F.lit(m) for k, m in enumerate(move)])
-        rated = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - change))
+        moved = F.col("rate") + momentum * (F.col("rate") - F.col("earlier")) - change
+        rated = rated.select(*members.columns, F.greatest(F.lit(0.0), moved).alias("rate"), F.col("rate").alias("earlier"))
         if step % FOLD == 0:
             rated = staged(rated, "rates")
         before, now = now, expected(rated)
-        if max(abs(a - b) for a, b in zip(before, now)) <= tolerance * max(1.0, sum(first)):
+        if distance(now) > distance(before):
+            pace = 1.0  # begin anew without momentum
+        reached = max(abs(a - t) for a, t in zip(now, target)) <= tolerance * max(1.0, sum(first))
+        if reached or abs(distance(before) - distance(now)) <= STALL * max(1.0, sum(first)):
             break
+    rated = rated.drop("earlier")
     return rated, now
 
 
@@ -124,7 +149,6 @@ def _rated(documents: DataFrame, labelled: DataFrame, targets: dict[str, float],
     return rated.select(
         "doc_id",
         "tag",
-        "copies",
         "tokens",
         F.coalesce(*[F.when(p == top, F.lit(d)) for p, d in zip(columns, domains)]).alias("domain"),
         F.map_from_arrays(F.array(*map(F.lit, domains)), F.array(*columns)).alias("membership"),
@@ -144,7 +168,7 @@ def mixed(documents: DataFrame, labelled: DataFrame, targets: dict[str, float],
     Columns of ``documents`` with these names are replaced.
     """
     rated = _rated(documents, labelled, targets, per_domain)
-    named = rated.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *[F.col(c).alias(f"_{c}") for c in ADDED])
+    named = rated.dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *[F.col(c).alias(f"_{c}") for c in ADDED])
     same = documents["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(documents["text"]) == named["_tag"])
     kept = [documents[c] for c in documents.columns if c not in ADDED]
     return documents.join(named, same).select(*kept, *[F.col(f"_{c}").alias(c) for c in ADDED])
@@ -152,6 +176,4 @@ def mixed(documents: DataFrame, labelled: DataFrame, targets: dict[str, float],
 
 def rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], per_domain: int = PER_DOMAIN) -> DataFrame:
     """(doc_id, tokens, domain, membership, rate, draws) of every row; no text is shuffled for this."""
-    rated = _rated(documents, labelled, targets, per_domain)
-    every = rated.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return every.select("doc_id", *ADDED)
+    return _rated(documents, labelled, targets, per_domain).select("doc_id", *ADDED)
