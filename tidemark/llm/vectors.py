@@ -39,8 +39,9 @@ from .flat import grouped
 
 COSINE = 0.98
 BLOCKS = 4
-CELL = 1500
-FILL = 300  # vectors of one label that a cell should hold on average
+CELL = 4000
+ROWS = 512  # of a cell that are compared with the others at once
+FILL = 1000  # vectors of one label that a cell should hold on average
 SLACK = 1e-9
 SEED = 11
 CELL_KEYS = ["cell", "block", "part", "other", "label", "dim"]
@@ -116,9 +117,14 @@ def near_pairs(vectors: np.ndarray, left: np.ndarray, right: np.ndarray, block:
     low, high = cuts[block]
     own = turned[:, low:high]
     square = (own**2).sum(axis=1)
-    apart = square[left][:, None] + square[right][None, :] - 2 * own[left] @ own[right].T
-    i, j = np.nonzero(apart <= radius**2 + 1e-7)
-    i, j = left[i], right[j]
+    close_i, close_j = [], []
+    for s in range(0, len(left), ROWS):
+        some = left[s : s + ROWS]
+        apart = square[some][:, None] + square[right][None, :] - 2 * own[some] @ own[right].T
+        i, j = np.nonzero(apart <= radius**2 + 1e-7)
+        close_i.append(some[i])
+        close_j.append(right[j])
+    i, j = np.concatenate(close_i or [left[:0]]), np.concatenate(close_j or [left[:0]])
     one = i != j
     i, j = i[one], j[one]
     if not len(i):
@@ -194,11 +200,11 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     vectors = named.where("good").select("vec_id", "label", "hi", "lo", "embedding")
     kept = classes.select("label", "hi", "lo", "copies", F.col("rep").alias("vec_id"))
     reps = vectors.join(kept, ["label", "hi", "lo", "vec_id"]).dropDuplicates(["label", "hi", "lo"])
-    reps = reps.select(F.col("vec_id").alias("rep"), "label", "copies", F.size("embedding").alias("dim"), "embedding")
+    reps = staged(reps.select(F.col("vec_id").alias("rep"), "label", "copies", F.size("embedding").alias("dim"), "embedding"), "vectors")
     array = embeddings.schema["embedding"].dataType.simpleString()
     label = embeddings.schema["label"].dataType.simpleString()
     cells = reps.mapInArrow(_placed(grid, cosine), f"cell long, block int, rep {kind}, label {label}, copies long, dim int, embedding {array}")
-    cells = staged(cells, "cells")
+    # placed once to be counted and once to be dealt out: cheaper than keeping the copies of the vectors
     key = ["cell", "block", "label", "dim"]
     full = cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
     full = full.select(*key, F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
