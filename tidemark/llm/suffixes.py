@@ -180,7 +180,8 @@ def _compared(name: np.ndarray, whole: np.ndarray, number: np.ndarray, column: p
     key = mix((prefix.ranges(start, start + LENGTH)) ^ mix(name.view(np.uint64))[of])
     order = np.argsort(key)
     ranked = key[order]
-    equal = ranked[1:] == ranked[:-1]  # neighbours in sorted order
+    named = name[of[order]]
+    equal = (ranked[1:] == ranked[:-1]) & (named[1:] == named[:-1])  # neighbours in sorted order
     twice = number[of] > 1
     twice[order[1:][equal]] = True
     twice[order[:-1][equal]] = True
