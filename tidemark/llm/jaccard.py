@@ -118,16 +118,16 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total[at] = total.get(at, 0) + part
     if total:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "counts"]
+            [pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], ["slice", "counts"]
         )
 
 
 def sketch(profile: DataFrame) -> np.ndarray:
     """The counters of all tasks added up: 2**SKETCH_BITS numbers, whatever the input, in steps of their mean at least."""
     slices = profile.where("slice IS NOT NULL").select("slice", "counts").repartition("slice")
-    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
+    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint32)
     for row in slices.mapInArrow(_added, "slice int, counts binary").collect():
-        counts[row.slice] = np.frombuffer(row.counts, np.int64)
+        counts[row.slice] = np.frombuffer(row.counts, np.uint32)
     whole = counts.ravel()
     return np.minimum(whole // max(1, int(whole.mean()) >> 10), 0xFFFF).astype(np.uint16)
 
