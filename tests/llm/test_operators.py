@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import DOCUMENTS, ITEM, LONG, SCHEMA, contaminated, frame, near_groups, plain_words, repeats
+from cases import BASE, DOCUMENTS, ITEM, LONG, SCHEMA, contaminated, frame, near_groups, plain_words, repeats
 
 from tidemark.llm import components, contamination, jaccard, language, licenses, mixing, quality, suffixes, tokens, urls, vectors
 from tidemark.llm.queries import RULES
@@ -226,6 +226,36 @@ def test_one_of_each_group_stays(docs, empty):
     assert jaccard.near_duplicates(empty).collect() == [] and jaccard.deduplicated(empty).collect() == []
 
 
+def test_no_row_goes_with_a_repeated_one(spark):
+    near = BASE.replace("token7 ", "changed ")
+    given = [
+        *DOCUMENTS,
+        (None, "another row without an id, unlike the first", None),
+        (None, "another row without an id, unlike the first", None),
+        (None, BASE, None),  # equal to document 1
+        (19, "a second text under the id of a repeated row", None),
+        (30, near, None),  # goes with document 1
+        (30, "another text of document 30 that is like nothing else", None),
+        (31, None, None),
+        (31, None, None),
+        (31, "", None),
+        (32, "Case  and white space", None),
+        (32, "case and White space", None),
+    ]
+    got = sorted(((r.doc_id, (r.text or "").lower().split()) for r in jaccard.deduplicated(frame(spark, given)).collect()), key=repr)
+    gone = {(2, BASE), (3, near), DOCUMENTS[4][:2], (10, "Only FOUR words here"), (None, BASE), (30, near), (32, "case and White space")}
+    want = [(i, t) for i, t, _ in given if (i, t) not in gone]
+    want.remove(DOCUMENTS[-2][:2])
+    assert got == sorted(((i, (t or "").lower().split()) for i, t in want), key=repr)
+
+
+def test_texts_of_one_doc_id_link_on_their_own(spark):
+    other = " ".join(f"other{k} words" for k in range(60))
+    given = [(3, BASE, None), (7, BASE.replace("token9 ", "x "), None), (7, other, None), (8, other.replace("other5 ", "y "), None)]
+    found = rows(jaccard.near_duplicates(frame(spark, given)), "doc_id", "n_shingles", "component_id")
+    assert found == near_groups(given) and [r[2] for r in found] == [3, 7, 3, 7]
+
+
 def test_tree_connects_what_brute_force_connects():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, 40).astype(np.uint64)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import staged
@@ -86,7 +86,7 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, n, hi, lo) for each document, then the task's counters in slices."""
+    """A row (doc_id, tag, n, hi, lo) for each document, then the task's counters in slices."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     kind = None
     for batch in batches:
@@ -98,15 +98,15 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(low), none.cast(pa.int32()), none.cast(pa.binary())],
-                ["doc_id", "n", "hi", "lo", "slice", "counts"],
+                [part.column("doc_id"), part.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(low), none.cast(pa.int32()), none.cast(pa.binary())],
+                ["doc_id", "tag", "n", "hi", "lo", "slice", "counts"],
             )
     if counts.any():
         cut = counts.astype(np.uint32).reshape(SLICES, -1)
         none = pa.nulls(SLICES)
         yield pa.RecordBatch.from_arrays(
-            [none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())],
-            ["doc_id", "n", "hi", "lo", "slice", "counts"],
+            [none.cast(kind), *[none.cast(pa.int64())] * 4, pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())],
+            ["doc_id", "tag", "n", "hi", "lo", "slice", "counts"],
         )
 
 
@@ -332,7 +332,7 @@ def linked_across(sets: list[np.ndarray], sizes: list[int], label: list[int], se
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(comp, blocks, sets, rep, tokens) of texts whose digest is the wanted one."""
+    """(comp, blocks, sets, rep, tokens) of texts whose digest is the wanted one; ``lo`` names the set from here on."""
     for batch in batches:
         for part in pieces(batch):
             sets = shingles(*flat(part.column("text")))
@@ -341,8 +341,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(same)
             kept = part.take(pa.array(at))
             tokens = pa.array([sets[i].tobytes() for i in at], pa.binary())
-            names = ["comp", "blocks", "sets", "rep"]
-            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), tokens], [*names, "tokens"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("comp", "blocks", "sets", "lo")), tokens], ["comp", "blocks", "sets", "rep", "tokens"])
 
 
 def _joined(across: bool):
@@ -351,7 +350,7 @@ def _joined(across: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, keys):
             rep = group.column("rep").to_numpy()
-            _, first = np.unique(rep, return_index=True)  # repeated rows of one document
+            _, first = np.unique(rep, return_index=True)  # repeated rows of one set
             group, rep = group.take(pa.array(first)), rep[first]
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("tokens")]
             sizes = [len(s) for s in sets]
@@ -366,31 +365,31 @@ def _joined(across: bool):
 
 
 def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile of every document, classes of equal sets with their smallest doc_id, links between these).
+    """(profile of every document, classes of equal sets with their smallest doc_id, links between these by ``lo``).
 
     The links are enough to connect everything that links connect, they are not all links.
     """
     texts = documents.select("doc_id", "text")
-    profile = staged(texts.mapInArrow(_profile, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, hi long, lo long, slice int, counts binary"), "sets")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    tagged = texts.withColumn("tag", F.xxhash64("text"))
+    profile = staged(tagged.mapInArrow(_profile, f"doc_id {kind}, tag long, n long, hi long, lo long, slice int, counts binary"), "sets")
     counts = sketch(profile)
-    docs = profile.where("slice IS NULL").select("doc_id", "n", "hi", "lo")
+    docs = profile.where("slice IS NULL").select("doc_id", "tag", "n", "hi", "lo")
     reps = docs.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
 
     postings = texts.mapInArrow(_postings(counts), "token long, a long, size long")
     near = components(_chains(postings)).select(F.col("node").alias("lo"), F.col("root").alias("comp"))
     wanted = reps.where("rep IS NOT NULL").join(near, "lo")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = texts.join(_blocks(wanted).withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
-    sets = sets.select("rep", "text", "hi", "lo", "comp", "blocks", "sets")
-    sets = staged(sets.mapInArrow(_sets_of, f"comp long, blocks int, sets long, rep {kind}, tokens binary"), "shingles")
+    sets = texts.join(_blocks(wanted).withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "hi", "lo", "comp", "blocks", "sets")
+    sets = staged(sets.mapInArrow(_sets_of, "comp long, blocks int, sets long, rep long, tokens binary"), "shingles")
     small, large = sets.where("blocks = 1"), sets.where("blocks > 1")
     if large.isEmpty():
-        return docs, reps, _apply(small.withColumn("block", F.lit(0)), ["comp", "block"], False, kind)
-    large = _taken_apart(large, kind)
+        return docs, reps, _apply(small.withColumn("block", F.lit(0)), ["comp", "block"], False)
+    large = _taken_apart(large)
     sets = small.unionByName(large).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("sets")) < PIVOTS)
     everywhere = sets.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    links = _apply(everywhere, ["comp", "block"], False, kind)
+    links = _apply(everywhere, ["comp", "block"], False)
     large = sets.where("blocks > 1")
     if large.isEmpty():
         return docs, reps, links
@@ -403,7 +402,7 @@ def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = large.select(
         "comp", F.least("block", "with").alias("block"), F.greatest("block", "with").alias("other"), (F.col("block") > F.col("with")).alias("second"), "rep", "label", "tokens"
     )
-    return docs, reps, links.unionByName(_apply(pairs, ["comp", "block", "other"], True, kind))
+    return docs, reps, links.unionByName(_apply(pairs, ["comp", "block", "other"], True))
 
 
 def _chains(postings: DataFrame) -> DataFrame:
@@ -426,9 +425,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(row)), pa.array(data.view(np.int64)), pa.array(sizes[row])], ["rep", "token", "n"])
 
 
-def _taken_apart(large: DataFrame, kind: str) -> DataFrame:
+def _taken_apart(large: DataFrame) -> DataFrame:
     """The sets of large components with new components, from prefixes in the order of exact shingle counts among them."""
-    rows = large.select("rep", "tokens").mapInArrow(_unpacked, f"rep {kind}, token long, n long")
+    rows = large.select("rep", "tokens").mapInArrow(_unpacked, "rep long, token long, n long")
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = rows.join(counts, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))  # a set each
     # shingles of one set only come first in the order: they use up the prefix and link with nothing
@@ -440,30 +439,46 @@ def _taken_apart(large: DataFrame, kind: str) -> DataFrame:
     return staged(sized.select("comp", "blocks", "sets", "rep", "tokens"), "parts")
 
 
-def _apply(sets: DataFrame, keys: list[str], across: bool, kind: str) -> DataFrame:
-    return sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_joined(across), f"a {kind}, b {kind}")
+def _apply(sets: DataFrame, keys: list[str], across: bool) -> DataFrame:
+    return sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_joined(across), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links lead to."""
+def _labelled(documents: DataFrame) -> DataFrame:
+    """(doc_id, tag, hi, lo, n_shingles, component_id) of every row; ``tag`` is a hash of the text."""
     docs, reps, links = classes(documents)
-    root = components(links).select(F.col("node").alias("rep"), "root")
-    named = reps.join(root, "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component"))
+    nodes = components(links).withColumnRenamed("node", "lo")
+    least = nodes.join(reps.where("rep IS NOT NULL").select("lo", "rep"), "lo").groupBy("root").agg(F.min("rep").alias("component"))
+    named = reps.join(nodes.join(least, "root").select("lo", "component"), "lo", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     return docs.join(named, ["hi", "lo"], "left").select(
         "doc_id",
+        "tag",
+        "hi",
+        "lo",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the smallest doc_id that links lead to."""
+    return _labelled(documents).select("doc_id", "n_shingles", "component_id")
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The documents, with all their columns, without those that link (through others) to a smaller doc_id.
 
-    Documents without shingles all stay. Of rows that repeat one doc_id and its shingles one stays.
+    Documents without shingles all stay, and so do rows with a null doc_id, unless a row with a doc_id has
+    the same shingles. Of rows that repeat one doc_id and its shingles one stays; different texts of one
+    doc_id are different documents.
     """
-    found = staged(near_duplicates(documents.select("doc_id", "text")), "near")
-    kept = found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
-    repeated = kept.where("rows > 1 AND n > 0")
-    if repeated.isEmpty():
-        return documents.join(kept.select("doc_id"), documents["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return documents.join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = staged(_labelled(documents.select("doc_id", "text")), "near")
+    stays = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
+    kept = found.where("doc_id <=> component_id").withColumn("own", F.when(stays, F.col("tag")))
+    kept = kept.groupBy("doc_id", "hi", "lo", "own").agg(F.min("tag").alias("tag"))
+    id_ = F.coalesce("doc_id", F.lit(0).cast(documents.schema["doc_id"].dataType)).alias("id")
+    keys = [id_, F.col("doc_id").isNull().alias("none")]  # equal keys, so that the join and the ranks share a shuffle
+    rows = documents.select(F.struct("*").alias("row"), *keys, F.xxhash64("text").alias("tag"))
+    rows = rows.join(kept.select(*keys, "tag", F.col("own").isNotNull().alias("stays")), ["id", "none", "tag"])
+    each = F.when(F.col("stays"), F.monotonically_increasing_id()).otherwise(-1)
+    nth = F.row_number().over(Window.partitionBy("id", "none", "tag", "each").orderBy("tag"))
+    return rows.withColumn("each", each).withColumn("nth", nth).where("nth = 1").select("row.*")
