@@ -86,6 +86,28 @@ def test_cleaning_leaves_no_phrase_and_clean_texts_alone(spark, docs, empty):
     assert contamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_blocks_are_collected_one_at_a_time(spark, docs, monkeypatch):
+    item = " ".join(LONG.split()[3000:3400])  # one item of many blocks
+    bench = spark.createDataFrame([(1, item), (2, "short words")], "item_id long, text string")
+    sizes = [len(p.length) for p in contamination.PhraseBlocks(bench, 100)]
+    assert len(sizes) > 3 and max(sizes) < 300 and sum(sizes) == 400 - 9 + 1
+    held, most, init = [], [], contamination.Phrases.__init__
+
+    def counted(self, *a):
+        import gc
+        import weakref
+
+        gc.collect()
+        held.append(weakref.ref(self))
+        most.append(sum(x() is not None for x in held))
+        init(self, *a)
+
+    monkeypatch.setattr(contamination.Phrases, "__init__", counted)
+    got = rows(contamination.contamination(docs, bench, 200), "doc_id", "n_hit")
+    assert got == sorted(((i, n) for i, _, n, _ in contaminated(DOCUMENTS, [("1", item), ("2", "short words")])), key=repr)
+    assert max(most) <= 2  # the one made and the one whose pass was just written
+
+
 def test_index_finds_all_places():
     rng = random.Random(5)
     for _ in range(30):

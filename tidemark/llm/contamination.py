@@ -8,8 +8,8 @@ are searched backward at once, their rows are walked to sampled positions, and t
 are merged for each document. Nothing is shuffled and no document is split between shards.
 
 A phrase is a window of ``WINDOW`` consecutive words of a benchmark item, or all words of a shorter
-item. Words are compared by 64-bit hash. The phrases of ``PHRASES`` at most travel to the tasks; a
-larger benchmark is searched in as many passes as needed.
+item. Words are compared by 64-bit hash. The phrases of about ``PHRASES`` words travel to the tasks; a
+larger benchmark is searched in as many passes as needed, one block of it at a time on the driver.
 
 Null and empty texts have no words and are never hit. Repeated rows are judged one by one. Items
 with a null id or without words count for nothing; rows that repeat an item_id are one item.
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
+
 from .flat import PUNCTUATION, Words, flat, lowered, pieces, words
 
 WINDOW = 10
@@ -210,23 +212,44 @@ class Shard:
         return edge.reshape(-1, 2).tolist()
 
 
-def phrase_blocks(benchmark: DataFrame, limit: int = PHRASES) -> Iterator[Phrases]:
-    """The phrases of the benchmark in blocks of about ``limit``, each small enough to travel to every task."""
+class PhraseBlocks:
+    """The phrases of the benchmark in blocks of about ``limit`` words, each small enough to travel to every task.
+
+    Items are stored as stretches of words that share ``WINDOW - 1`` words with the next one, so a long item
+    is spread over the blocks. A block is collected when it is asked for and not kept here.
+    """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                w = Shard.words(part.column("text"))
-                lists = pa.ListArray.from_arrays(pa.array(w.first, pa.int32()), pa.array(w.hash.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("item"), lists], ["item", "words"])
+    def __init__(self, benchmark: DataFrame, limit: int = PHRASES):
+        step = max(1, min(limit // 8, 4096))
 
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    items = items.mapInArrow(hashed, "item string, words array<long>").where(F.size("words") > 0)
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = -(-total // limit)
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        yield Phrases([(r.item, np.array(r.words, np.int64).view(np.uint64).tolist()) for r in rows])
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch):
+                    w = Shard.words(part.column("text"))
+                    rows, lists = [], []
+                    for row, (low, high) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                        for k in range(low, max(low, high - WINDOW) + 1, step):
+                            rows.append(row)
+                            lists.append(w.hash[k : min(k + step + WINDOW - 1, high)].view(np.int64))
+                    item = part.column("item").take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([item, pa.array(lists, pa.list_(pa.int64()))], ["item", "words"])
+
+        items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+        self.items = items.mapInArrow(hashed, "item string, words array<long>").where(F.size("words") > 0)
+        total = self.items.agg(F.sum(F.least(F.size("words"), F.lit(step)))).first()[0] or 0
+        self.blocks = -(-total // limit)
+        if self.blocks > 1:
+            block = F.pmod(F.xxhash64("item", "words"), F.lit(self.blocks))
+            self.items = staged(self.items.withColumn("block", block), "phrases")
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def __getitem__(self, k: int) -> Phrases:
+        if not 0 <= k < self.blocks:
+            raise IndexError(k)
+        rows = (self.items.where(F.col("block") == k) if self.blocks > 1 else self.items).collect()
+        return Phrases([(r.item, np.array(r.words, np.int64).view(np.uint64).tolist()) for r in rows])
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, limit: int = PHRASES) -> DataFrame:
@@ -256,11 +279,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, limit: int = PHRASES) -> Da
         extra = ", tag long" if "tag" in ids else ""
         return source.mapInArrow(run, f"doc_id {kind}{extra}, n_words long, hit array<array<long>>, items array<string>")
 
-    blocks = list(phrase_blocks(benchmark, limit)) or [Phrases([])]
-    if len(blocks) == 1:
-        return searched(rows, blocks[0], ["doc_id"])
+    blocks = PhraseBlocks(benchmark, limit)
+    if len(blocks) < 2:
+        return searched(rows, blocks[0] if len(blocks) else Phrases([]), ["doc_id"])
     tagged = rows.withColumn("tag", F.xxhash64("text"))
-    passes = [searched(tagged, p, ["doc_id", "tag"]).withColumn("pass", F.lit(k)) for k, p in enumerate(blocks)]
+    # a pass is written before the next block is collected: the driver holds one
+    passes = [staged(searched(tagged, blocks[k], ["doc_id", "tag"]), "pass").withColumn("pass", F.lit(k)) for k in range(len(blocks))]
     every = passes[0]
     for more in passes[1:]:
         every = every.unionByName(more)
@@ -330,9 +354,9 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, limit: int = PHRA
 
         return run
 
-    out = documents
-    for phrases in phrase_blocks(benchmark, limit):
-        out = out.mapInArrow(cleaned(phrases), documents.schema)
+    out, blocks = documents, PhraseBlocks(benchmark, limit)
+    for k in range(len(blocks)):
+        out = out.mapInArrow(cleaned(blocks[k]), documents.schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out
