@@ -86,6 +86,26 @@ def test_cleaning_leaves_no_phrase_and_clean_texts_alone(spark, docs, empty):
     assert contamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_cleaning_does_not_depend_on_the_blocks(spark):
+    a, b = [f"a{k}" for k in range(30)], [f"b{k}" for k in range(12)]
+    context = " ".join(a[:12])
+    items = [(1, f"{context} what is it"), (2, f"{context} who was that then"), (3, " ".join(b)), (4, "mean short words"), (5, "x1 x2"), (6, "x2 x3")]
+    given = [
+        (1, f"Before. {context} who was that then, after", None),  # overlapping items
+        (2, f"{' '.join(b[:6])} x1 x2 x3 {' '.join(b[6:])} end", None),  # a cut joins a phrase of another block
+        (3, f"mean x1 x2 short {' '.join(b)} words mean short", None),
+        (3, f"mean x1 x2 short {' '.join(b)} words mean short", None),
+        (4, f"{' '.join(b[:5])} mean x2 x3 short words {' '.join(b[5:])}", None),
+        (5, None, None),
+        (None, "x1 x2 x3", None),
+    ]
+    docs, bench = frame(spark, given), spark.createDataFrame(items, "item_id long, text string")
+    whole = rows(contamination.decontaminated(docs, bench), *docs.columns)
+    for limit in (12, 3):
+        assert rows(contamination.decontaminated(docs, bench, limit), *docs.columns) == whole
+    assert [r[1].split() if r[1] else r[1] for r in whole][:2] == [["Before.", ",", "after"], ["end"]]
+
+
 def test_blocks_are_collected_one_at_a_time(spark, docs, monkeypatch):
     item = " ".join(LONG.split()[3000:3400])  # one item of many blocks
     bench = spark.createDataFrame([(1, item), (2, "short words")], "item_id long, text string")

@@ -320,28 +320,56 @@ def contamination(documents: DataFrame, benchmark: DataFrame, limit: int = PHRAS
     )
 
 
+def _cut(text: str, spans: list[list[int]]) -> str:
+    """The text without the bytes of some [first, last) word spans."""
+    w, raw = Shard.words(pa.array([text], pa.string())), text.encode()
+    kept, at = [], 0
+    for low, high in spans:
+        kept.append(raw[at : w.start[low]])
+        at = int(w.stop[high - 1])
+    return b"".join([*kept, raw[at:]]).decode()
+
+
 def _cleaned(texts: pa.Array, phrases: Phrases) -> list[str | None]:
     """The texts without the bytes of their hit spans, searched again until nothing is hit (a cut can join words to a new phrase)."""
     out = texts.to_pylist()
     todo = list(range(len(out)))
     while todo:
-        column = pa.array([out[i] for i in todo], pa.string())
-        s = Shard(column, phrases)
-        again = []
-        for k, i in enumerate(todo):
-            if not s.n_hit[k]:
-                continue
-            w, raw = Shard.words(column.slice(k, 1)), out[i].encode()
-            kept, at = [], 0
-            for low, high in s.spans(k):
-                kept.append(raw[at : w.start[low]])
-                at = int(w.stop[high - 1])
-            out[i] = b"".join([*kept, raw[at:]]).decode()
-            again.append(i)
-        todo = again
+        s = Shard(pa.array([out[i] for i in todo], pa.string()), phrases)
+        again = [(k, i) for k, i in enumerate(todo) if s.n_hit[k]]
+        for k, i in again:
+            out[i] = _cut(out[i], s.spans(k))
+        todo = [i for _, i in again]
     return out
 
 
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [_cut(t, x) for t, x in zip(batch.column("text").to_pylist(), batch.column("hit").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(texts, pa.string())], ["name", "text"])
+
+
+def _cleaned_texts(texts: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
+    """(name, text) of the texts that change, for a benchmark of several blocks; ``texts`` has the same columns.
+
+    As ``_cleaned``: the spans of all blocks are found in one text and cut together, and what was cut is searched again.
+    """
+    now, rounds = texts, []
+    while True:
+        # equal texts have equal spans
+        found = hits(now.withColumnRenamed("name", "doc_id"), benchmark, limit).where(F.size("hit") > 0)
+        found = found.groupBy(F.col("doc_id").alias("name")).agg(F.first("hit").alias("hit"))
+        cut = now.dropDuplicates(["name"]).join(found, "name").select("name", "text", "hit").mapInArrow(_cut_texts, "name string, text string")
+        now = staged(cut, "cut")
+        if now.isEmpty():
+            break
+        rounds.append(now.withColumn("round", F.lit(len(rounds))))
+    every = rounds[0] if rounds else now.withColumn("round", F.lit(0))
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("name").agg(F.max_by("text", "round").alias("text"))
+
+
 def decontaminated(documents: DataFrame, benchmark: DataFrame, limit: int = PHRASES) -> DataFrame:
     """The documents, with all their columns, their text without benchmark phrases (``n_chars`` follows, if present)."""
     columns = documents.columns
@@ -354,9 +382,16 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, limit: int = PHRA
 
         return run
 
-    out, blocks = documents, PhraseBlocks(benchmark, limit)
-    for k in range(len(blocks)):
-        out = out.mapInArrow(cleaned(blocks[k]), documents.schema)
+    blocks = PhraseBlocks(benchmark, limit)
+    if len(blocks) == 1:
+        out = documents.mapInArrow(cleaned(blocks[0]), documents.schema)
+    elif len(blocks) == 0:
+        out = documents
+    else:
+        name = F.md5(F.col("text").cast("binary"))
+        texts = _cleaned_texts(documents.where("text IS NOT NULL").select(name.alias("name"), "text"), benchmark, limit)
+        rows = documents.select(F.struct("*").alias("row"), name.alias("name"))
+        out = rows.join(texts, "name", "left").select(*[F.coalesce("text", f"row.{c}").alias(c) if c == "text" else f"row.`{c}`" for c in columns])
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out
