@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, language, licenses, mixing, quality, suffixes, tokens, urls, vectors
+from . import alignment, centroids, contamination, jaccard, language, licenses, mixing, perfect, quality, suffixes, tokens, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,3 +142,61 @@ SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h
 """)
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"), RULES)
+
+
+@registered(f"""
+WITH d AS (SELECT doc_id, sha256({LOWER.format("coalesce(text, '')")}) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+    row_number() OVER (PARTITION BY h ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, h AS text_sha256
+FROM d
+""")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row takes part: about half of them, by a digest of the id, are the history, the others come in."""
+    historical = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return perfect.exact_duplicates(table(spark, sf_dir, "documents"), historical).drop("historical", "known")
+
+
+def _cluster_sql(rounds: int = 10) -> str:
+    """Lloyd's rounds with full distances, one after the other."""
+    nearest = """{name} AS MATERIALIZED (
+    SELECT vec_id, x, arg_min(k, d * 1000 + k) AS cluster, min(d) AS distance FROM (
+        SELECT v.vec_id, v.x, c.k, list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c.c[j]) * (v.x[j] - c.c[j])))::BIGINT AS d
+        FROM v CROSS JOIN c{r} c) GROUP BY vec_id, x)"""
+    moved = """c{n} AS MATERIALIZED (
+    SELECT c.k, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN (
+        SELECT cluster, list(part ORDER BY j) AS c FROM (
+            SELECT cluster, j, ((sum(x[j]) - ((sum(x[j]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS part
+            FROM a{r}, range(1, 65) AS parts(j) GROUP BY cluster, j) GROUP BY cluster) m ON m.cluster = c.k)"""
+    steps = []
+    for r in range(rounds):
+        steps += [nearest.format(name=f"a{r}", r=r), moved.format(r=r, n=r + 1)]
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT vec_id, [floor(1024 * y::DOUBLE)::BIGINT FOR y IN embedding] AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, x AS c FROM v ORDER BY sha256('3:' || vec_id) LIMIT 8),
+{", ".join(steps)}, {nearest.format(name="last", r=rounds)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM last JOIN c{rounds} c ON c.k = last.cluster
+"""
+
+
+@registered(_cluster_sql())
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+
+
+def both_vocabularies() -> tuple[alignment.ByteBpe, alignment.PieceBpe]:
+    """The encoders of the alignment query, made in each task."""
+    path = public_tokenizers.path
+    return (
+        alignment.ByteBpe(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        alignment.PieceBpe(path("piece_bpe_32k.model")),
+    )
+
+
+@registered()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), both_vocabularies)
