@@ -441,6 +441,20 @@ def test_repeats_are_brute_force(spark, docs, monkeypatch, hot):
     assert got == repeats(DOCUMENTS)
 
 
+def test_repeats_of_repeated_rows(spark):
+    same = " ".join(f"line{k} of one text" for k in range(60))
+    given = [(1, same, "en")] * 40 + [(None, same, "en")] * 30 + [(k, f"{k} starts here {same[100:400]} ends {k}", "en") for k in range(2, 6)] + DOCUMENTS
+    got = rows(suffixes.removal_report(frame(spark, given).repartition(3)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == repeats(given)
+
+
+def test_repeats_of_many_repeated_rows(spark):
+    same = " ".join(f"word{k * k % 7919}" for k in range(600))
+    given = frame(spark, [(None, same, "en")] * 5_000 + [(7, same, "en")] * 5_000 + [(8, "alone " * 3, "en")]).repartition(8)
+    got = suffixes.removal_report(given).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert {tuple(r) for r in got} == {(None, len(same), 1, 5_000), (7, len(same), 1, 5_000), (8, 0, 0, 1)}
+
+
 def test_texts_without_repeats(docs, empty):
     kept = suffixes.without_repeats(docs)
     assert kept.columns == docs.columns and kept.count() == len(DOCUMENTS)

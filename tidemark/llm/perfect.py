@@ -29,10 +29,10 @@ from pyspark.sql.types import DataType
 from tidemark.session import staged
 
 from .flat import flat, lowered, mix, pieces
+from .skew import with_class
 
 SLOTS = 1 << 15  # digests of a shard, on average; the rows of one lookup task are bounded by it too
 ROOM = 2.0  # positions of a level for each digest that reaches it
-HOT = 1000  # classes with more than 1/HOT of all rows meet their rows by broadcast: they are fewer than HOT
 
 
 class PerfectHash:
@@ -190,12 +190,7 @@ def merged(index: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def classified(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of ``digested`` with their class: keep_id, keep_place, rows, known."""
-    bound = rows.count() / HOT
-    hot = F.broadcast(classes.where(F.col("rows") > bound))
-    cold = classes.where(F.col("rows") <= bound)
-    of_hot = rows.join(hot, "digest")
-    others = rows.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest")
-    return of_hot.unionByName(others)
+    return with_class(rows, classes, ["digest"], "rows")
 
 
 def _put_together(flagged: DataFrame, *columns: str) -> DataFrame:

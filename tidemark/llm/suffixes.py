@@ -13,7 +13,13 @@ needs:
    first to the last string that the sample stands for. Equal surroundings count once from here on.
 4. *Remaining suffixes.* The strings that start between samples belong to the sample they hold.
    They are merged by (sample name, content), sorted, and neighbours are compared.
-5. Repeated starts go back to the documents and the bytes they cover are removed.
+5. Repeated starts go back to the texts and the bytes they cover are removed.
+
+From step 3 on, rows with equal texts are one text with a number of copies, which counts for each of its
+strings: work and results do not grow with the square of copies. The texts find their rows again at the end,
+where a text with a large part of all rows is not shuffled (such a text loses all, so nothing but its name is
+broadcast). There is no total order of suffixes: what a suffix array would put next to each other is brought
+together by names.
 
 Names shared by more than ``HOT`` samples take the same steps as rows of one string each, added up
 by Spark with map-side sums, so that no task receives a hot name whole. Names are two independent
@@ -30,17 +36,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import staged
 
 from .flat import Prefix, flat, mix, pieces
+from .skew import with_class
 
 LENGTH = 200
 GRAM = 32
 RUN = 512  # strings one sample stands for at most; a longer run is cut
 SEGMENT = 1 << 22
+KEYS = ["tag", "twin"]  # two 64-bit hashes of the text, which name it
 HOT = 20_000  # surroundings of about 300 bytes each, so that a group is some MB
 
 
@@ -93,13 +101,13 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = flat(part.column("text"))
             start, count, name = samples(data, offsets)
             row = np.searchsorted(offsets, start, side="right") - 1
-            ids = part.select(["doc_id", "tag"]).take(pa.array(row))
+            keys = part.select(KEYS).take(pa.array(row))
             at = ((start - offsets[row]) << 16) | count
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *ids.columns, pa.array(at)], ["name", "doc_id", "tag", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *keys.columns, pa.array(at)], ["name", *KEYS, "at"])
 
 
 class _Stretches:
-    """The surroundings of the candidate samples of some documents."""
+    """The surroundings of the candidate samples of some texts."""
 
     def __init__(self, part: pa.RecordBatch):
         self.data, self.offsets = flat(part.column("text"))
@@ -112,6 +120,7 @@ class _Stretches:
         self.hot = inner.field("hot").to_numpy(zero_copy_only=False)
         self.start = self.offsets[self.row] + (self.at >> 16)
         self.strings = self.at & 0xFFFF
+        self.copies = part.column("copies").to_numpy()[self.row]
         self.prefix = Prefix(self.data)
         self.whole = self.prefix.ranges(self.start, self.start + self.strings + LENGTH - 1).view(np.int64)
 
@@ -128,7 +137,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             fresh = np.ones(len(order), bool)
             fresh[1:] = (s.name[order[1:]] != s.name[order[:-1]]) | (s.whole[order[1:]] != s.whole[order[:-1]])
             first = order[fresh]
-            number = np.diff(np.r_[np.flatnonzero(fresh), len(order)])
+            number = np.add.reduceat(s.copies[order], np.flatnonzero(fresh))
             raw = s.data.tobytes()
             text = [raw[a : a + k] for a, k in zip(s.start[first].tolist(), (s.strings[first] + LENGTH - 1).tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -144,7 +153,8 @@ def _hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.flatnonzero(s.hot)
             if not len(keep):
                 continue
-            _, first, number = np.unique(s.whole[keep] ^ mix(s.name[keep].view(np.uint64)).view(np.int64), return_index=True, return_counts=True)
+            _, first, same = np.unique(s.whole[keep] ^ mix(s.name[keep].view(np.uint64)).view(np.int64), return_index=True, return_inverse=True)
+            number = np.bincount(same, s.copies[keep]).astype(np.int64)
             keep = keep[first]
             size = s.strings[keep]
             of = np.repeat(keep, size)
@@ -160,8 +170,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
             s = _Stretches(part)
-            ids = part.select(["doc_id", "tag"]).take(pa.array(s.row))
-            yield pa.RecordBatch.from_arrays([pa.array(s.name), pa.array(s.whole), *ids.columns, pa.array(s.at)], ["name", "whole", "doc_id", "tag", "at"])
+            keys = part.select([*KEYS, "copies"]).take(pa.array(s.row))
+            yield pa.RecordBatch.from_arrays([pa.array(s.name), pa.array(s.whole), *keys.columns, pa.array(s.at)], ["name", "whole", *KEYS, "copies", "at"])
 
 
 def _compared(name: np.ndarray, whole: np.ndarray, number: np.ndarray, column: pa.Array) -> pa.RecordBatch:
@@ -219,8 +229,8 @@ def _compared_table(t: pa.Table) -> pa.RecordBatch:
     return _compared(t.column("name").to_numpy(), t.column("whole").to_numpy(), t.column("n").to_numpy(), t.column("bytes").combine_chunks())
 
 
-def _cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[list[int]]]:
-    """What is left of a text, and the maximal removed spans [start, stop]."""
+def _merged_spans(runs: list[tuple[int, int]]) -> list[list[int]]:
+    """The maximal [start, stop) byte ranges that repeated strings (start, number of starts) cover."""
     spans: list[list[int]] = []
     for start, count in sorted(runs):
         stop = start + count - 1 + LENGTH
@@ -228,49 +238,57 @@ def _cut(data: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, list[list[int
             spans[-1][1] = max(spans[-1][1], stop)
         else:
             spans.append([start, stop])
+    return spans
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = [
+            _merged_spans([((h["at"] >> 16) + (r >> 16), r & 0xFFFF) for h in hits for r in h["runs"]]) for hits in batch.column("hits").to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*KEYS, "copies"]), pa.array(out, pa.list_(pa.list_(pa.int64())))], [*KEYS, "copies", "spans"])
+
+
+def _cut(data: bytes, spans: list[list[int]]) -> bytes:
     kept, at = [], 0
     for start, stop in spans:
         kept.append(data[at:start])
         at = stop
-    return b"".join([*kept, data[at:]]), spans
+    return b"".join([*kept, data[at:]])
+
 
+def _rest(part: pa.RecordBatch) -> list[bytes]:
+    """What is left of each text; a row without spans keeps all."""
+    return [_cut((t or "").encode(), s or []) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            out = []
-            for text, hits in zip(part.column("text").to_pylist(), part.column("hits").to_pylist()):
-                runs = [((h["at"] >> 16) + (r >> 16), r & 0xFFFF) for h in hits for r in h["runs"]]
-                out.append(_cut((text or "").encode(), runs))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    part.column("tag"),
-                    pa.array([k.decode("utf-8", "ignore") for k, _ in out], pa.string()),
-                    pa.array([hashlib.sha256(k).hexdigest() for k, _ in out], pa.string()),
-                    pa.array([s for _, s in out], pa.list_(pa.list_(pa.int64()))),
-                ],
-                ["doc_id", "tag", "kept", "kept_sha256", "spans"],
-            )
+            found = [hashlib.sha256(k).hexdigest() for k in _rest(part)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), pa.array(found, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def _named(text: str = "text") -> list[Column]:
+    filled = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(filled).alias("tag"), F.xxhash64(F.lit(1), filled).alias("twin")]
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, tag, kept, kept_sha256, spans) of the documents that lose something.
+    """(tag, twin, copies, spans) of the distinct texts that lose something, written once.
 
-    ``tag`` is ``xxhash64(text)`` and tells rows apart that repeat a doc_id with another text. ``spans`` are the
-    removed [start, stop) byte ranges. ``kept`` is the rest as text; a character cut in two is not in it, while
-    ``kept_sha256`` is over the remaining bytes as they are.
+    ``tag`` and ``twin`` (``xxhash64(text)``, ``xxhash64(1, text)``) name the text, ``copies`` is its number of rows,
+    ``spans`` are the removed [start, stop) byte ranges.
     """
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.where(F.octet_length("text") >= LENGTH).withColumn("tag", F.xxhash64("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.where(F.octet_length("text") >= LENGTH).select("text", *_named())
     name_counts = texts.select("text").mapInArrow(_names, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
     shared = staged(name_counts.select("name", (F.col("n") > HOT).alias("hot")), "names")
-    places = texts.mapInArrow(_places, f"name long, doc_id {kind}, tag long, at long").join(shared, "name")
-    marks = places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "name", "hot")).alias("marks"))  # bounded by the text
-    marks = marks.withColumnRenamed("doc_id", "id").withColumnRenamed("tag", "mark_tag")
-    marked = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("mark_tag")))
-    marked = staged(marked.select("doc_id", "tag", "text", "marks"), "marked")
+    places = texts.mapInArrow(_places, "name long, tag long, twin long, at long").join(shared, "name")
+    # a set, since copies of a text bring the same marks; bounded by the text
+    marks = places.groupBy(*KEYS).agg(F.collect_set(F.struct("at", "name", "hot")).alias("marks"))
+    distinct = texts.groupBy(*KEYS).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    marked = staged(distinct.join(marks, KEYS).select(*KEYS, "copies", "text", "marks"), "marked")
 
     near = marked.mapInArrow(_surroundings, "name long, whole long, n long, bytes binary")
     runs = near.repartition("name").sortWithinPartitions("name", "whole").mapInArrow(_merged, "name long, whole long, runs array<long>")
@@ -280,49 +298,44 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         hot = strings.select("name", "whole", "place", "string").join(repeated, ["name", "string"]).groupBy("name", "whole")
         hot = hot.agg(F.transform(F.collect_set("place"), lambda p: p * 65536 + 1).alias("runs"))  # RUN strings at most
         runs = runs.unionByName(hot)
-    members = marked.select("doc_id", "tag", "text", "marks").mapInArrow(_members, f"name long, whole long, doc_id {kind}, tag long, at long")
-    hits = members.join(runs, ["name", "whole"]).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "runs")).alias("hits"))
-    hits = hits.withColumnRenamed("doc_id", "id").withColumnRenamed("tag", "hit_tag")
-    joined = marked.select("doc_id", "tag", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("hit_tag")))
-    found = joined.select("doc_id", "tag", "text", "hits")
-    return found.mapInArrow(_removed, f"doc_id {kind}, tag long, kept string, kept_sha256 string, spans array<array<long>>")
-
-
-def _with_spans(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents left-joined with their removals, once for each (doc_id, text)."""
-    found = repeated_spans(documents).dropDuplicates(["doc_id", "tag"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *[F.col(c).alias(f"_{c}") for c in columns])
-    tag = F.xxhash64(F.coalesce("text", F.lit("")))
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["_id"]) & (tag == found["_tag"]), "left")
+    members = marked.mapInArrow(_members, "name long, whole long, tag long, twin long, copies long, at long")
+    hits = members.join(runs, ["name", "whole"]).groupBy(*KEYS).agg(F.max("copies").alias("copies"), F.collect_list(F.struct("at", "runs")).alias("hits"))
+    return staged(hits.mapInArrow(_spans, "tag long, twin long, copies long, spans array<array<long>>"), "spans")
 
 
 def removal_report(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    facts = texts.select(
-        "doc_id", F.xxhash64("text").alias("tag"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole")
-    )
-    found = repeated_spans(documents).select(
-        F.col("doc_id").alias("id"),
-        F.col("tag").alias("found_tag"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0]).alias("removed"),
-        F.size("spans").cast("long").alias("spans"),
-        "kept_sha256",
-    ).dropDuplicates(["id", "found_tag"])
-    both = facts.join(found, facts["doc_id"].eqNullSafe(found["id"]) & (facts["tag"] == found["found_tag"]), "left")
-    zero = F.lit(0).cast("long")
-    return both.select(
+    rows = documents.select("doc_id", "text", *_named())
+    both = with_class(rows, repeated_spans(documents), KEYS, "copies", "left").select(
         "doc_id",
-        "n_bytes",
-        F.coalesce("removed", zero).alias("n_removed"),
-        F.coalesce("spans", zero).alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        "text",
+        "spans",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0]), F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
     )
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return both.mapInArrow(_digests, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """The documents, with all their columns, their text less the repeated strings (``n_chars`` follows, if present)."""
-    both = _with_spans(documents, ["kept"])
-    text = F.coalesce("_kept", "text")
-    new = {"text": text} | ({"n_chars": F.length(text).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {})
-    return both.select(*[new[c].alias(c) if c in new else documents[c] for c in documents.columns])
+    """The documents, with all their columns, their text less the repeated strings (``n_chars`` follows, if present).
+
+    A character cut in two goes as a whole.
+    """
+    columns = documents.columns
+    rows = documents.select(F.struct("*").alias("row"), *_named())
+    both = with_class(rows, repeated_spans(documents), KEYS, "copies", "left").select("row.text", "spans", "row")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                text = [k.decode("utf-8", "ignore") if s else t for k, s, t in zip(_rest(part), part.column("spans").to_pylist(), part.column("text").to_pylist())]
+                row = part.column("row")
+                fields = [pa.array(text, pa.string()) if c == "text" else row.field(k) for k, c in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays(fields, columns)
+
+    out = both.mapInArrow(cut, documents.schema)
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return out
