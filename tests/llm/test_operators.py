@@ -239,6 +239,61 @@ def test_changed_notice_is_found_and_scattered_words_are_not(spark):
     assert found[3].labels == found[3].base_labels == "apache" and found[3].score == 1
 
 
+def notices(words: list[str]) -> dict[str, float]:
+    """The best share by label, with plain loops."""
+    out: dict[str, float] = {}
+    for label, wording in licenses.NOTICES:
+        t = wording.split()
+        pairs = list(zip(t, t[1:]))
+        hits = [(at, p) for at, two in enumerate(zip(words, words[1:])) for p, pair in enumerate(pairs) if two == pair]
+        diagonals = sorted(d for d in {at - p for at, p in hits} if sum(at - p == d for at, p in hits) >= 2)
+        places: list[list[int]] = []
+        for d in diagonals:
+            if places and d - places[-1][-1] <= licenses.GAP:
+                places[-1].append(d)
+            else:
+                places.append([d])
+        for own in places:
+            met = [h for h in hits if h[0] - h[1] in own]
+            for low in {at for at, _ in met}:
+                part = sorted(h for h in met if low <= h[0] < low + int(len(pairs) * licenses.STRETCH + 1))
+                longest = [1] * len(part)
+                for i, (at, p) in enumerate(part):
+                    longest[i] = 1 + max((longest[j] for j in range(i) if part[j][0] < at and part[j][1] < p), default=0)
+                share = max(longest) / len(pairs)
+                if share >= licenses.SHARE:
+                    out[label] = max(out.get(label, 0), share)
+    return out
+
+
+def test_notices_are_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["licensed under a licensed under a licensed under a licensed under a", "Released under the \u212aMIT License, released under the mit license"]
+    for k in range(150):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            notice = rng.choice(licenses.NOTICES)[1].split()
+            if rng.random() < 0.4:
+                notice = notice[: len(notice) // 2] * rng.randint(1, 4)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randint(0, 1)] = [rng.choice(["x", "the", "license", "under"])] * rng.randint(0, 2)
+                notice = notice or ["x"]
+            words += notice + ["filler"] * rng.randint(0, 3)
+        texts.append(" ".join(words))
+    found = licenses.license_spans(frame(spark, [(k, t, None) for k, t in enumerate(texts)] + [(0, texts[0], None)])).collect()
+    assert len(found) == len(texts) + 1
+    labelled = 0
+    for r in found:
+        best: dict[str, float] = {}
+        for s in r.spans:
+            best[s.label] = max(best.get(s.label, 0), s.share)
+        want = notices([w.decode() for w in plain_words(texts[r.doc_id])])
+        assert best == pytest.approx(want), texts[r.doc_id]
+        labelled += bool(want)
+    assert [r.spans for r in found if r.doc_id == 0] == [[], []] and 20 < labelled < len(texts)
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
@@ -381,6 +436,29 @@ def test_rates_reach_the_targets(spark, empty):
     assert mixing.rates(empty, labelled.limit(0), shares).collect() == []
 
 
+def test_evidence_is_calibrated_on_unseen_documents(spark):
+    rng = random.Random(3)
+    # three of four words say nothing, and the telling ones repeat within a document: naive Bayes is too sure
+    texts = []
+    for k in range(300):
+        d = "ab"[k % 2]
+        telling = rng.choice(["apple", "pear"] if rng.random() < (0.8 if d == "a" else 0.2) else ["iron", "zinc"])
+        texts.append((k, " ".join([telling] * 10 + rng.choices(["the", "of", "and"], k=30)), d))
+    docs = frame(spark, texts)
+    labelled = docs.selectExpr("doc_id", "lang AS domain")
+    domains = ["a", "b"]
+    weights, priors = mixing.word_weights(docs, labelled, domains)
+    scale = mixing.calibrated(docs, labelled, domains, weights, priors)
+    sampled = {(r.doc_id, r.held_out) for r in mixing.sampled(labelled, domains, 40).collect()}
+    assert len(sampled) == 160 and sum(h for _, h in sampled) == 80 and len({i for i, _ in sampled}) == 160
+    found = mixing.posteriors(docs, labelled, domains).collect()
+    sure = [max(r.p0, r.p1) for r in found]
+    right = [(r.p0 > r.p1) == (r.doc_id % 2 == 0) for r in found]
+    assert abs(sum(sure) / len(sure) - sum(right) / len(right)) < 0.06  # as sure as it is right
+    assert scale != (1.0, 0.0)
+    assert mixing.calibrated(docs, labelled.limit(0), domains, weights, priors) == (1.0, 0.0)
+
+
 def test_projected_gradient_is_least_squares(spark):
     rng = np.random.default_rng(6)
     p, t = rng.dirichlet([1, 1, 1], 50), rng.integers(1, 90, 50)

@@ -4,8 +4,10 @@ Every license phrase and notice is a template: a sequence of words. All rolling
 text are hashed and joined with the pairs of the templates; a hit votes for its diagonal, the
 difference of its positions in text and template. Votes are added up by (document, template,
 diagonal). A diagonal with all pairs of a template is a place where it stands word for word. For the
-longer notices neighbouring diagonals (an inserted or dropped word shifts the rest by one) are merged
-into one span, which is verified by the share of the template's pairs and by its length.
+longer notices neighbouring diagonals (an inserted or dropped word shifts the rest by one) are merged,
+and each such place is verified: in a stretch of the text no longer than ``STRETCH`` allows, the pairs that
+rise in the text and in the notice at once, each pair of the notice counted once, must be ``SHARE`` of the
+notice's pairs. So words that merely recur, or stand in another order, verify nothing.
 
 The templates are fixed and few, so the join is a broadcast; of the exploded pairs only hits, and one
 row for each document, are shuffled. What is gathered for a document is bounded by its text.
@@ -17,6 +19,8 @@ by one, with equal results.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +47,7 @@ NOTICES = [
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = 3  # diagonals at most so far apart are neighbours
 SHARE = 0.7  # of a notice's pairs
-STRETCH = 1.5  # times the notice's length: the longest span
+STRETCH = 1.5  # times the notice's pairs, and one: the longest span, in pairs
 
 
 def _pairs(words: Column) -> Column:
@@ -58,7 +62,8 @@ def _pair_hash() -> Column:
 
 def _words(text: str) -> Column:
     """An empty word, the words of the text, and another empty one if it ends with a separator."""
-    return F.split(F.lower(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit("")))), SEPARATORS)
+    lower = F.translate(F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit(""))), string.ascii_uppercase, string.ascii_lowercase)
+    return F.split(lower, SEPARATORS)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -69,31 +74,64 @@ def templates(spark: SparkSession) -> DataFrame:
     return pairs.select("template", "label", "exact", "pairs", "place", _pair_hash().alias("hash")).where("hash IS NOT NULL")
 
 
-HIT = "struct<label: string, exact: boolean, pairs: int, template: int, diagonal: int, votes: bigint, low: int, high: int>"
+HIT = "struct<label: string, exact: boolean, pairs: int, template: int, diagonal: int, votes: int, met: array<struct<at: int, turned: int>>>"
+CHAIN = "struct<n: int, first: int, last: int>"
 
 
-def _spans(hits: Column, copies: Column) -> Column:
-    """Sorted diagonals of inexact templates, neighbours merged; ``votes`` count each row once."""
+def _merged(hits: Column) -> Column:
+    """Sorted diagonals of inexact templates, neighbours merged."""
     start = F.array().cast(f"array<{HIT}>")
 
     def step(held: Column, hit: Column) -> Column:
         last = F.element_at(held, -1)
         near = (F.size(held) > 0) & (last["template"] == hit["template"]) & (hit["diagonal"] - last["diagonal"] <= GAP)
         joined = F.struct(
-            hit["label"].alias("label"),
-            hit["exact"].alias("exact"),
-            hit["pairs"].alias("pairs"),
-            hit["template"].alias("template"),
-            hit["diagonal"].alias("diagonal"),
+            *[hit[c].alias(c) for c in ("label", "exact", "pairs", "template", "diagonal")],
             (last["votes"] + hit["votes"]).alias("votes"),
-            F.least(last["low"], hit["low"]).alias("low"),
-            F.greatest(last["high"], hit["high"]).alias("high"),
+            F.concat(last["met"], hit["met"]).alias("met"),
         )
         return F.when(near, F.concat(F.slice(held, 1, F.size(held) - 1), F.array(joined))).otherwise(F.concat(held, F.array(hit)))
 
-    merged = F.aggregate(F.filter(hits, lambda h: ~h["exact"] & (h["votes"] >= 2 * copies)), start, step)
-    return F.filter(
-        merged, lambda h: (h["votes"] >= copies * h["pairs"] * SHARE) & (h["high"] - h["low"] + 1 <= h["pairs"] * STRETCH + 1)
+    return F.aggregate(F.filter(hits, lambda h: ~h["exact"] & (h["votes"] >= 2)), start, step)
+
+
+def _longest(met: Column, pairs: Column) -> Column:
+    """The longest chain of sorted hits that rises in text and template at once: (n, first, last) with places in the text."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).alias("last")).cast(CHAIN)
+
+    def step(best: Column, hit: Column) -> Column:  # best[p]: the longest chain up to now that ends with the template's pair p
+        place = -hit["turned"]
+        before = F.coalesce(F.array_max(F.slice(best, F.lit(1), place)), none)
+        longer = F.struct(
+            (before["n"] + 1).alias("n"), F.when(before["n"] > 0, before["first"]).otherwise(hit["at"]).alias("first"), hit["at"].alias("last")
+        ).cast(CHAIN)
+        return F.transform(best, lambda b, p: F.when((p == place) & (longer > b), longer).otherwise(b))
+
+    return F.array_max(F.aggregate(met, F.array_repeat(none, pairs), step))
+
+
+def _verified(hit: Column) -> Column:
+    """The longest chain of a merged diagonal within any stretch of the allowed length; null where none is long enough."""
+    met, length = F.array_sort(hit["met"]), F.floor(hit["pairs"] * STRETCH + 1).cast("int")
+    stretches = F.transform(
+        F.array_distinct(F.transform(met, lambda h: h["at"])),
+        lambda at: F.filter(met, lambda h: (h["at"] >= at) & (h["at"] < at + length)),
+    )
+    full = F.filter(stretches, lambda s: F.size(s) >= hit["pairs"] * SHARE)
+    best = F.array_max(F.transform(full, lambda s: _longest(s, hit["pairs"])))
+    return F.when(best["n"] >= hit["pairs"] * SHARE, best)
+
+
+def _spans(hits: Column) -> Column:
+    found = F.transform(_merged(hits), lambda h: F.struct(h["label"].alias("label"), h["pairs"].alias("pairs"), _verified(h).alias("chain")))
+    return F.transform(
+        F.filter(found, lambda f: f["chain"].isNotNull()),
+        lambda f: F.struct(
+            f["label"].alias("label"),
+            f["chain"]["first"].cast("long").alias("first"),
+            (f["chain"]["last"] + 1).cast("long").alias("last"),
+            (f["chain"]["n"] / f["pairs"]).alias("share"),
+        ),
     )
 
 
@@ -109,28 +147,22 @@ def license_spans(documents: DataFrame) -> DataFrame:
     met = rows.select("doc_id", "tag", "n", "at", _pair_hash().alias("hash")).join(F.broadcast(templates(documents.sparkSession)), "hash", "left")
     # the pair before the first word, which no template has, stands for the document itself
     met = met.where("at = 0 OR template IS NOT NULL").withColumn("row", (F.col("at") == 0).cast("int")).withColumn("at", F.col("at") - 1)
+    # a hit as (at, -place): hits of one place in the text come with falling places of the template, so that a chain takes one
+    place = F.struct("at", (-F.col("place")).alias("turned"))
     votes = met.groupBy("doc_id", "tag", "n", "template", "label", "exact", "pairs", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.sum("row").alias("rows")
+        F.collect_set(F.when(F.col("template").isNotNull(), place)).alias("met"), F.sum("row").alias("rows")
     )
-    hit = F.when(F.col("template").isNotNull(), F.struct("label", "exact", "pairs", "template", "diagonal", "votes", "low", "high").cast(HIT))
+    votes = votes.withColumn("votes", F.size("met"))  # equal rows of a document vote once
+    hit = F.when(F.col("template").isNotNull(), F.struct("label", "exact", "pairs", "template", "diagonal", "votes", "met").cast(HIT))
     each = votes.groupBy("doc_id", "tag", "n").agg(
         F.sum("rows").alias("copies"),
         F.array_sort(F.collect_list(hit), lambda a, b: F.when(a["template"] != b["template"], a["template"] - b["template"]).otherwise(a["diagonal"] - b["diagonal"])).alias("hits"),
     )
     places = F.transform(
-        F.filter("hits", lambda h: h["exact"] & (h["votes"] == F.col("copies") * h["pairs"])),
+        F.filter("hits", lambda h: h["exact"] & (h["votes"] == h["pairs"])),
         lambda h: F.struct(h["label"].alias("label"), h["diagonal"].cast("long").alias("first"), (h["diagonal"] + h["pairs"]).cast("long").alias("last")),
     )
-    spans = F.transform(
-        _spans(F.col("hits"), F.col("copies")),
-        lambda h: F.struct(
-            h["label"].alias("label"),
-            h["low"].cast("long").alias("first"),
-            (h["high"] + 1).cast("long").alias("last"),
-            F.least(F.lit(1.0), h["votes"] / F.col("copies") / h["pairs"]).alias("share"),
-        ),
-    )
-    found = each.select("doc_id", F.col("n").cast("long").alias("n_words"), "copies", places.alias("places"), spans.alias("spans"))
+    found = each.select("doc_id", F.col("n").cast("long").alias("n_words"), "copies", places.alias("places"), _spans(F.col("hits")).alias("spans"))
     return found.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("copy", "copies")
 
 

@@ -2,8 +2,9 @@
 
 1. A naive Bayes classifier over hashed words is fitted on a bounded sample of a labelled table
    (``per_domain`` documents of each domain, chosen by hash) and gives every document a posterior over
-   the domains of the targets. Evidence counts as ``EVIDENCE`` words at most, so that long documents
-   keep soft memberships.
+   the domains of the targets. The words of a text are not independent, so their evidence is scaled by
+   ``weight * words ** -power``; both numbers are those of ``SCALES`` with the least log loss on as many other
+   labelled documents, which the classifier has not seen. Without such documents evidence counts as it is.
 2. The rates start at 1. Projected gradient steps on the weighted squares of (expected tokens of a
    domain - target) move them, never below 0. A step needs one sum for each domain over all
    documents; only these sums reach the driver. With the expected tokens at rate 1 as weights, and
@@ -33,7 +34,8 @@ from tidemark.session import staged
 BUCKETS = 8192
 PER_DOMAIN = 400
 MAX_SAMPLE_BYTES = 1 << 16
-EVIDENCE = 3
+#: (weight, power) that are tried: from all words as independent to one word's evidence for any length.
+SCALES = [(w, p) for p in (0.0, 0.25, 0.5, 0.75, 1.0) for w in (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)]
 SMOOTHING = 0.5
 STEPS = 60
 FOLD = 5  # steps between two written tables of rates
@@ -61,14 +63,21 @@ def _array(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{x:.7g}" for x in values)), ",").cast("array<double>")
 
 
+def sampled(labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> DataFrame:
+    """(doc_id, domain, held_out): at most ``per_domain`` labelled documents of each domain to learn from and as many to calibrate with."""
+    known = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain")
+    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
+    nth = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * per_domain)
+    return nth.select("doc_id", "domain", (F.col("nth") % 2 == 0).alias("held_out"))
+
+
 def word_weights(documents: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> tuple[list[list[float]], list[float]]:
     """For each domain the centred log likelihoods of the hashed words (empty or unseen: 0), and the priors of the domains."""
-    known = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain")
+    known = labelled.where(F.col("domain").isin(domains))
     counts = {r.domain: r.n for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values()) + len(domains)
     priors = [float((counts.get(d, 0) + 1) / total) for d in domains]
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_domain).select("doc_id", "domain")
+    chosen = sampled(labelled, domains, per_domain).where("NOT held_out")
     texts = documents.where(F.octet_length("text") <= MAX_SAMPLE_BYTES).select("doc_id", "text")
     words = texts.join(F.broadcast(chosen), "doc_id").select("domain", F.explode(word_list()).alias("word")).where("word <> ''")
     seen = words.groupBy(_bucket(F.col("word")).alias("bucket")).agg(
@@ -84,23 +93,56 @@ def word_weights(documents: DataFrame, labelled: DataFrame, domains: list[str],
     return weights, priors
 
 
+def _evidence(documents: DataFrame, weights: list[list[float]], *columns: str) -> DataFrame:
+    """The given columns, tokens, and s0, s1, ...: the summed word weights of every row."""
+    rows = documents.select(*columns, word_list().alias("words"))
+    rows = rows.select(*columns, word_count("words").alias("tokens"), F.transform("words", _bucket).alias("buckets"))
+
+    def evidence(values: list[float]) -> Column:
+        array = _array(values)
+        return F.aggregate("buckets", F.lit(0.0), lambda total, bucket: total + F.get(array, bucket))
+
+    return rows.select(*columns, "tokens", *[evidence(w).alias(f"s{k}") for k, w in enumerate(weights)])
+
+
+def _logits(priors: list[float], scale: tuple[float, float]) -> list[Column]:
+    share = F.lit(scale[0]) * F.pow(F.greatest(F.lit(1), F.col("tokens")).cast("double"), F.lit(-scale[1]))
+    return [F.col(f"s{k}") * share + math.log(p) for k, p in enumerate(priors)]
+
+
+def _total(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, columns)
+
+
+def calibrated(documents: DataFrame, labelled: DataFrame, domains: list[str], weights: list[list[float]], priors: list[float], per_domain: int = PER_DOMAIN) -> tuple[float, float]:
+    """The (weight, power) of ``SCALES`` with the least log loss on held-out labelled documents; (1, 0) without any."""
+    held = sampled(labelled, domains, per_domain).where("held_out").select(F.col("doc_id"), "domain")
+    texts = documents.where(F.octet_length("text") <= MAX_SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(held), "doc_id")
+    scores = _evidence(texts, weights, "domain").where("tokens > 0")
+
+    def loss(scale: tuple[float, float]) -> Column:
+        logits = _logits(priors, scale)
+        top = F.greatest(*logits) if len(logits) > 1 else logits[0]
+        own = _total([F.when(F.col("domain") == d, z).otherwise(0.0) for d, z in zip(domains, logits)])
+        return F.sum(top + F.log(_total([F.exp(z - top) for z in logits])) - own)
+
+    row = staged(scores, "held-out").agg(F.count(F.lit(1)).alias("n"), *[loss(s).alias(f"l{k}") for k, s in enumerate(SCALES)]).first()
+    if not row.n:
+        return 1.0, 0.0
+    return min((row[f"l{k}"], s) for k, s in enumerate(SCALES))[1]
+
+
 def posteriors(documents: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> DataFrame:
     """(doc_id, tag, tokens, p0, p1, ...) of every row; ``tag`` is xxhash64(text)."""
     weights, priors = word_weights(documents, labelled, domains, per_domain)
+    scale = calibrated(documents, labelled, domains, weights, priors, per_domain)
     n = len(domains)
-    rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), word_list().alias("words"))
-    rows = rows.select("doc_id", "tag", word_count("words").alias("tokens"), F.transform("words", _bucket).alias("buckets"))
-
-    def evidence(k: int) -> Column:
-        values = _array(weights[k])
-        return F.aggregate("buckets", F.lit(0.0), lambda total, bucket: total + F.get(values, bucket))
-
-    sums = rows.select("doc_id", "tag", "tokens", *[evidence(k).alias(f"s{k}") for k in range(n)])
-    share = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.lit(1), F.col("tokens")))
-    logits = sums.select("doc_id", "tag", "tokens", *[(F.col(f"s{k}") * share + math.log(priors[k])).alias(f"z{k}") for k in range(n)])
+    rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    sums = _evidence(rows, weights, "doc_id", "tag")
+    logits = sums.select("doc_id", "tag", "tokens", *[z.alias(f"z{k}") for k, z in enumerate(_logits(priors, scale))])
     top = F.greatest(*[F.col(f"z{k}") for k in range(n)]) if n > 1 else F.col("z0")
     shifted = logits.select("doc_id", "tag", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(n)])
-    norm = reduce(lambda a, b: a + b, [F.col(f"e{k}") for k in range(n)])
+    norm = _total([F.col(f"e{k}") for k in range(n)])
     return shifted.select("doc_id", "tag", "tokens", *[(F.col(f"e{k}") / norm).alias(f"p{k}") for k in range(n)])
 
 
@@ -168,10 +210,11 @@ def mixed(documents: DataFrame, labelled: DataFrame, targets: dict[str, float],
     Columns of ``documents`` with these names are replaced.
     """
     rated = _rated(documents, labelled, targets, per_domain)
-    named = rated.dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), *[F.col(c).alias(f"_{c}") for c in ADDED])
-    same = documents["doc_id"].eqNullSafe(named["_id"]) & (F.xxhash64(documents["text"]) == named["_tag"])
-    kept = [documents[c] for c in documents.columns if c not in ADDED]
-    return documents.join(named, same).select(*kept, *[F.col(f"_{c}").alias(c) for c in ADDED])
+    facts = rated.dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", F.struct(*ADDED).alias("added"))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_tag"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_tag") == F.col("tag"))
+    kept = [F.col(f"row.`{c}`") for c in documents.columns if c not in ADDED]
+    return rows.join(facts, same).select(*kept, *[F.col(f"added.{c}") for c in ADDED])
 
 
 def rates(documents: DataFrame, labelled: DataFrame, targets: dict[str, float], per_domain: int = PER_DOMAIN) -> DataFrame:
