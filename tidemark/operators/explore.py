@@ -235,7 +235,7 @@ def apply_filters(rows: DataFrame, filters: Filters) -> DataFrame:
     return rows.filter(keep)
 
 
-def _row_columns(rows: DataFrame, cat: Catalog) -> DataFrame:
+def row_columns(rows: DataFrame, cat: Catalog) -> DataFrame:
     urls = cat.repositories.select("server_version_id", F.col("url").alias("repository"))
     return rows.join(urls, "server_version_id", "left")
 
@@ -251,7 +251,7 @@ RESULT = [
 ]
 
 
-def _page(limit: int, offset: int, top: int) -> None:
+def check_page(limit: int, offset: int, top: int) -> None:
     if not 1 <= limit <= top:
         raise ValueError(f"limit must be between 1 and {top}")
     if offset < 0:
@@ -262,11 +262,11 @@ def list_versions(
     cat: Catalog, members: DataFrame, filters: Filters = Filters(), limit: int = DEFAULT_LIST_LIMIT, offset: int = 0
 ) -> DataFrame:
     """A page of member versions by identifier and version (bytewise)."""
-    _page(limit, offset, MAX_LIST_LIMIT)
+    check_page(limit, offset, MAX_LIST_LIMIT)
     filters.check()
     rows = apply_filters(versions_with_facts(cat, members, child_facts(pruned(cat, members), filters)), filters)
     return (
-        _row_columns(rows, cat)
+        row_columns(rows, cat)
         .select(*RESULT, "server_version_id")
         .orderBy("server_identifier", "server_version", "server_version_id")
         .offset(offset)
@@ -274,7 +274,7 @@ def list_versions(
     )
 
 
-def _match_order(query: str) -> list[Column]:
+def match_order(query: str) -> list[Column]:
     name = F.col("server_identifier")
     return [
         F.when(name == query, 0).otherwise(1),
@@ -293,14 +293,14 @@ def search_contains(
     """Case-insensitive substring search over names, descriptions, packages, URLs and hosts."""
     if not query:
         raise ValueError("search query must not be empty")
-    _page(limit, offset, MAX_SEARCH_LIMIT)
+    check_page(limit, offset, MAX_SEARCH_LIMIT)
     filters.check()
     rows = apply_filters(versions_with_facts(cat, members, child_facts(pruned(cat, members), filters, needle=query)), filters)
     hit = _has("server_identifier", query) | _has("description", query) | F.col("text_hit")
     return (
-        _row_columns(rows.filter(hit), cat)
+        row_columns(rows.filter(hit), cat)
         .select(*RESULT, "server_version_id")
-        .orderBy(*_match_order(query), "server_identifier", "server_version", "server_version_id")
+        .orderBy(*match_order(query), "server_identifier", "server_version", "server_version_id")
         .offset(offset)
         .limit(limit)
     )
@@ -353,25 +353,30 @@ def all_terms(matched: DataFrame) -> DataFrame:
 
 
 def bm25(matched: DataFrame, terms: int) -> DataFrame:
-    """Score documents by BM25 over prefix terms; larger is better.
+    """Score documents by BM25 over prefix terms; larger is better. ``matched`` is the whole collection."""
+    stats = matched.agg(F.count(F.lit(1)).alias("n"), F.avg("words").alias("avg_length"))
+    return scored(matched, stats, document_frequencies(matched, terms), terms)
 
-    Collection statistics are one global aggregate row, used as scalar subqueries.
+
+def document_frequencies(matched: DataFrame, terms: int) -> DataFrame:
+    return matched.agg(*[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(terms)])
+
+
+def scored(matched: DataFrame, collection: DataFrame, frequencies: DataFrame, terms: int) -> DataFrame:
+    """The documents that hold all terms, with their BM25 score.
+
+    ``collection`` (n, avg_length) and ``frequencies`` (df0, df1, ...) are one row each, used as scalar subqueries.
     """
-    length = F.col("words")
-    stats = matched.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(length).alias("avg_length"),
-        *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(terms)],
-    )
-    packed = stats.select(F.struct(*stats.columns)).scalar()
-    rows = all_terms(matched).withColumn("_s", packed)
+    rows = all_terms(matched)
+    for name, stats in (("_c", collection), ("_f", frequencies)):
+        rows = rows.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
     score = F.lit(0.0)
     for i in range(terms):
-        df, tf = F.col(f"_s.df{i}"), F.col("tf")[i]
-        idf = F.log(1 + (F.col("_s.n") - df + 0.5) / (df + 0.5))
-        norm = 1 - BM25_B + BM25_B * length / F.col("_s.avg_length")
+        df, tf = F.col(f"_f.df{i}"), F.col("tf")[i]
+        idf = F.log(1 + (F.col("_c.n") - df + 0.5) / (df + 0.5))
+        norm = 1 - BM25_B + BM25_B * F.col("words") / F.col("_c.avg_length")
         score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * norm)
-    return rows.withColumn("score", score).drop("_s")
+    return rows.withColumn("score", score).drop("_c", "_f")
 
 
 def search_ranked(
@@ -396,16 +401,16 @@ def search_ranked(
     """
     if not query:
         raise ValueError("search query must not be empty")
-    _page(limit, offset, MAX_SEARCH_LIMIT)
+    check_page(limit, offset, MAX_SEARCH_LIMIT)
     keep = tuple(dict.fromkeys([*keep, *(["server_version_id"] if members is not None else [])]))
     matched = staged(match_terms(docs, query, fields).select(*keep, "words", "tf"), "search")
     ranked = bm25(matched, len(search_terms(query))).drop("words", "tf")
     if members is not None:
         fitting = apply_filters(versions_with_facts(cat, members, child_facts(pruned(cat, members), filters)), filters)
-        fitting = _row_columns(fitting.select("server_version_id", "registry_status", "packages", "remotes"), cat)
+        fitting = row_columns(fitting.select("server_version_id", "registry_status", "packages", "remotes"), cat)
         ranked = ranked.join(fitting, "server_version_id")
     return (
-        ranked.orderBy(*_match_order(query), F.desc("score"), "server_identifier", "server_version")
+        ranked.orderBy(*match_order(query), F.desc("score"), "server_identifier", "server_version")
         .offset(offset)
         .limit(limit)
     )

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import KEYS
 from ..session import staged
-from ..sinks.publish import _path, catalog_tables, publish_generation
+from ..sinks.publish import catalog_tables, generations, publish_generation, version_id
 from ..sources import bundles
-from . import validation
+from . import explore, textindex, validation
 from .snapshots import import_statistics, split_incoming
 
 
@@ -23,8 +23,7 @@ class InvalidBundle(ValueError):
 
 
 def _imports(spark: SparkSession, root: str) -> list[str]:
-    pattern, fs = _path(spark, f"{root}/import-*/_COMPLETE")
-    return sorted(s.getPath().getParent().toString() for s in (fs.globStatus(pattern) or []))
+    return generations(spark, root, "import-*")
 
 
 def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -33,6 +32,11 @@ def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(*[f"{f}/{name}" for f in folders]) for name in KEYS} if folders else {}
 
 
+def read_index(spark: SparkSession, root: str) -> textindex.TextIndex:
+    """The full-text index of a catalog: one segment for each import, over the versions it added."""
+    return textindex.TextIndex.read(spark, root, "import-*", "search_")
+
+
 def check_bundle(spark: SparkSession, bundle: str) -> DataFrame:
     """All problems of a bundle as ``(check, detail)`` rows; empty for a valid bundle."""
     manifest = bundles.read_manifest(spark, bundle)
@@ -124,11 +128,17 @@ def import_bundle(spark: SparkSession, bundle: str, root: str, imported_at: str,
         "base_snapshot_sha256",
     )
     links = versions.select(F.lit(number).cast("bigint").alias("snapshot_id"), F.col("id").alias("server_version_id"))
+    texts = explore.search_documents(records).select(
+        "record.server_identifier", "record.server_version", "record.canonical_sha256", "record.description", *explore.SEARCH_FIELDS[2:]
+    )
+    texts = texts.withColumn("server_version_id", version_id()).join(new_ids, "server_version_id", "left_semi")
+    segment = textindex.segment(texts, "server_version_id", explore.SEARCH_FIELDS)
     statistics = import_statistics(outcomes).collect()[0].asDict()
     folder = publish_generation(
-        {"snapshots": snapshot, "server_versions": added, "snapshot_server_versions": links, **kept},
+        {"snapshots": snapshot, "server_versions": added, "snapshot_server_versions": links, **kept, **{f"search_{n}": df for n, df in segment.items()}},
         root,
         f"import-{number:08d}-{digest}",
+        {f"search_{n}": column for n, column in textindex.FOLDERED.items()},
     )
     # counts of what was written come from the files' footers
     for name in ("repositories", "packages", "remotes"):

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import explore, ordering, snapshots, summaries, validation
+from ..operators import explore, ordering, snapshots, summaries, textindex, validation
 from ..operators.explore import Filters
-from ..session import staged
+from ..session import scratch, staged
 from . import views as v
-from .views import CATALOG_VIEWS, query, table, with_views
+from .views import CATALOG_VIEWS, ORACLES, query, table, with_views
 
 PAIR = """SELECT max(CASE WHEN o = 1 THEN id END) AS latest_id, max(CASE WHEN o = 2 THEN id END) AS previous_id
 FROM (SELECT id, row_number() OVER (ORDER BY completed_at DESC, id DESC) AS o FROM {0})"""
@@ -432,6 +432,38 @@ def search_ranked_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("server_version_id", F.round("score", 6).alias("score"), "repository", "packages", "remotes")
 
 
+def _text_index(spark: SparkSession, docs: DataFrame, doc: str, segments: int = 3) -> textindex.TextIndex:
+    """A stored index over the descriptions, put together from several segments."""
+    root = scratch(spark, "text-index")
+    for k in range(segments):
+        own = docs.filter(F.pmod(F.xxhash64(doc), F.lit(segments)) == k)
+        textindex.add_segment(textindex.segment(own, doc, ("description",)), root, k)
+    return textindex.TextIndex.read(spark, root)
+
+
+@query("j23_index_terms", ORACLES["j23_term_match"])
+def index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The same matches, from stored postings of three segments."""
+    found = textindex.match_index(_text_index(spark, _documents(spark, sf), "doc_id"), "the, or")
+    return found.select(F.col("doc").alias("doc_id"), F.col("tf")[0].alias("tf_first"), F.col("tf")[1].alias("tf_second"))
+
+
+@query("t2_search_indexed", ORACLES["t2_search_ranked"])
+def search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    found = textindex.search_index(_text_index(spark, _documents(spark, sf), "doc_id"), "the erst", limit=500)
+    return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("t2_search_indexed_filtered", ORACLES["t2_search_ranked_filtered"])
+def search_indexed_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    cat = v.catalog(spark, sf)
+    index = _text_index(spark, cat.versions, "id")
+    found = textindex.search_index(
+        index, "size 1", limit=500, members=_members(spark, sf, cat), cat=cat, filters=Filters(has_repository=True, has_package=True)
+    )
+    return found.select(F.col("doc").alias("server_version_id"), F.round("score", 6).alias("score"), "repository", "packages", "remotes")
+
+
 @query(
     "t3_show_children",
     with_views(

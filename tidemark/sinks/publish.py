@@ -168,26 +168,35 @@ def _path(spark: SparkSession, text: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def publish_generation(tables: dict[str, DataFrame], root: str, generation: str) -> str:
+def publish_generation(tables: dict[str, DataFrame], root: str, generation: str, foldered: dict[str, str] | None = None) -> str:
     """Write tables as one generation; it becomes visible when its marker file exists.
 
     All tables are complete before the marker is created, so readers see all or nothing. An attempt
-    that broke off is written again; a generation that is visible is refused.
+    that broke off is written again; a generation that is visible is refused. ``foldered`` names the
+    column by whose values a table is put into folders.
     """
     spark = next(iter(tables.values())).sparkSession
     marker, fs = _path(spark, f"{root}/{generation}/_COMPLETE")
     if fs.exists(marker):
         raise FileExistsError(f"{root}/{generation} is published")
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{generation}/{name}")
+        writer = df.write.mode("overwrite")
+        if name in (foldered or {}):
+            writer = writer.partitionBy(foldered[name])
+        writer.parquet(f"{root}/{generation}/{name}")
     fs.create(marker, True).close()
     return f"{root}/{generation}"
 
 
+def generations(spark: SparkSession, root: str, pattern: str = "*") -> list[str]:
+    """Folders of the complete generations, in the order of their names."""
+    markers, fs = _path(spark, f"{root}/{pattern}/_COMPLETE")
+    return sorted(s.getPath().getParent().toString() for s in (fs.globStatus(markers) or []))
+
+
 def current_generation(spark: SparkSession, root: str) -> str | None:
     """Newest complete generation (names sort in time)."""
-    pattern, fs = _path(spark, f"{root}/*/_COMPLETE")
-    found = sorted(s.getPath().getParent().toString() for s in (fs.globStatus(pattern) or []))
+    found = generations(spark, root)
     return found[-1] if found else None
 
 
