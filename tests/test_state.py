@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import drift, explore, imports, ordering, reviews, snapshots, summaries, validation, workqueue
+from tidemark.operators import drift, explore, imports, ordering, reviews, snapshots, summaries, textindex, validation, workqueue
 from tidemark.session import scratch
 from tidemark.sinks import publish
 from tidemark.sinks.bundles import write_bundle
@@ -185,6 +185,18 @@ def test_import_statistics_and_idempotence(catalog):
     assert [r.argument_value for r in t["package_arguments"].orderBy("position").select("position", "argument_value").distinct().orderBy("position").collect()] == ["serve", "--safe", None]
 
 
+def test_imports_write_their_part_of_the_text_index(spark, catalog):
+    cat, t, _, _, root = catalog
+    index = imports.read_index(spark, root)
+    assert index.names.count() == t["server_versions"].count() == index.totals().first().n
+    texts = bundles.parse_canonical(t["server_versions"].select(F.col("canonical_json").alias("value")))
+    docs = explore.search_documents(texts).select("record.*", *explore.SEARCH_FIELDS[2:])
+    for query in ("github", "example", "changed", "no such word"):
+        want = explore.search_ranked(docs, query, explore.SEARCH_FIELDS).collect()
+        got = textindex.search_index(index, query).collect()
+        assert [(r.server_identifier, r.server_version, round(r.score, 9)) for r in got] == [(r.server_identifier, r.server_version, round(r.score, 9)) for r in want]
+
+
 def test_summary_golden(catalog):
     cat = catalog[0]
     members = snapshots.snapshot_members(cat.links, snapshots.select_snapshot(cat.snapshots, 1), cat.versions)
