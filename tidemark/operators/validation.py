@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import documents
 from ..sources.bundles import record_digest
+from ..sources.files import ordered_digest
 from .ordering import previous_in_key
 
 
@@ -133,16 +134,12 @@ def page_provenance(index: DataFrame, artifacts: DataFrame) -> DataFrame:
 def snapshot_digest(artifacts: DataFrame) -> DataFrame:
     """Digest of the canonical file; of the list of part digests when it is a folder of parts.
 
-    One digest per part file is gathered, never file content.
+    The part digests pass one task in order; neither they nor file contents are gathered.
     """
     parts = artifacts.filter(F.startswith("path", F.lit("canonical/servers.jsonl")))
-    ordered = F.array_sort(F.collect_list(F.struct("path", "sha256")))
-    listed = parts.agg(ordered.alias("p"))
-    single = F.get("p", F.lit(0))
-    joined = F.array_join(F.transform("p", lambda x: x["sha256"]), "\n")
-    return listed.select(
-        F.when(single["path"] == "canonical/servers.jsonl", single["sha256"]).otherwise(F.sha2(joined, 256)).alias("digest")
-    )
+    listed = ordered_digest(parts, "path", "sha256")
+    single = parts.filter(F.col("path") == "canonical/servers.jsonl").agg(F.max("sha256").alias("d")).scalar()
+    return listed.select(F.when(F.col("first") == "canonical/servers.jsonl", single).otherwise(F.col("digest")).alias("digest"))
 
 
 def bundle_totals(manifest: DataFrame, records: DataFrame, index: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import explore, ordering, snapshots, summaries, textindex, validation
 from ..operators.explore import Filters
 from ..session import scratch, staged
+from ..sinks import keyed
 from . import views as v
 from .views import CATALOG_VIEWS, ORACLES, query, table, with_views
 
@@ -626,6 +627,26 @@ def table_sync(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.sync_table(*_sync_pair(spark, sf), ["o_orderkey"])
 
 
+@query("j19_keyed_sync", ORACLES["j19_table_sync"])
+def keyed_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same outcomes against a table kept in files by key range."""
+    source, target = _sync_pair(spark, sf)
+    root = scratch(spark, "keyed")
+    keyed.create(target, ["o_orderkey"], root, "g1")
+    return keyed.compare(source, ["o_orderkey"], root)
+
+
+@query("u4_keyed_sync", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def keyed_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and source share rows; each has rows of its own, and all are there in the end."""
+    source, _ = _sync_pair(spark, sf)
+    target = table(spark, sf, "orders").filter("o_orderstatus <> 'O'").select(*source.columns)
+    root = scratch(spark, "keyed")
+    keyed.create(target, ["o_orderkey"], root, "g1")
+    keyed.sync(source, ["o_orderkey"], root, "g2")
+    return keyed.read(spark, root)
+
+
 @query(
     "a20_sync_statistics",
     with_views(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.documents import strict_inventory
@@ -265,3 +265,22 @@ def line_numbers(spark: SparkSession, sf: str) -> DataFrame:
     placed = numbered.select(F.col("value").cast("bigint").alias("doc_id"), "file", "line_no")
     whole = ordering.global_position(placed, [F.asc("line_no")], F.struct("file", F.floor(F.col("line_no") / 100_000)), False, "position")
     return whole.select("doc_id", F.col("position").alias("line_no"))
+
+
+@query(
+    "w11_numbered_texts",
+    """SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line_no, translate(coalesce(text, ''), chr(10) || chr(13), '  ') AS text FROM documents""",
+)
+def numbered_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts written in order, one to a line, and read back with their line numbers; as wide as the input asks for."""
+    path = scratch(spark, "numbered")
+    texts = table(spark, sf, "documents").select("doc_id", F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ").alias("text"))
+    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered.select(F.concat_ws("\t", F.col("doc_id").cast("string"), "text")).write.text(path)
+    numbered = lines.number_lines(lines.read_lines(spark, path))
+    cut = F.locate("\t", F.col("value"))
+    rows = numbered.select(F.substring("value", F.lit(1), cut - 1).cast("bigint").alias("doc_id"), F.substring("value", cut + 1, F.length("value")).alias("text"), "file", "line_no")
+    counts = numbered.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    earlier = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return rows.join(F.broadcast(earlier), "file").select("doc_id", (F.col("line_no") + F.col("earlier")).alias("line_no"), "text")

@@ -9,9 +9,9 @@ from ..functions.checks import SEVERITIES
 from ..operators import reviews, summaries, workqueue
 from ..schemas import READ_MODEL
 from ..session import scratch
-from ..sinks import publish
+from ..sinks import keyed, publish
 from . import views as v
-from .views import query, table, with_views
+from .views import ORACLES, query, table, with_views
 
 NOW = "2000-06-01 00:00:00"
 PROFILE = {"analysis_type": "archive", "analyzer_name": "scan", "analyzer_version": "1", "ruleset_version": "BUILDING"}
@@ -556,6 +556,17 @@ def published_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return publish.read_generation(spark, root, "orders")
 
 
+@query("k4_k5_keyed_upsert", ORACLES["k4_k5_published_upsert"])
+def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same two generations as files by key range: only files with changed keys are written again."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    root, keys = scratch(spark, "keyed"), ["o_orderkey"]
+    first = orders.filter("o_orderstatus = 'F' OR o_orderpriority = '1-URGENT'").filter("o_orderstatus <> 'P'").select("o_orderkey", "o_orderpriority")
+    keyed.create(first, keys, root, "g1")
+    keyed.upsert(orders.filter("o_orderstatus = 'O'").select("o_orderkey", F.lit("published").alias("o_orderpriority")), keys, root, "g2")
+    return keyed.read(spark, root)
+
+
 @query(
     "k6_a19_read_model",
     with_views(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, documents, urls
 from ..schemas import CANONICAL_RECORD, MANIFEST, OFFICIAL_META, PAGE, PAGE_INDEX
 from ..session import spread
+from .files import file_digests
 from .lines import number_lines, read_lines
 
 # Fixed values.
@@ -158,12 +159,7 @@ def read_artifacts(spark: SparkSession, bundle: str) -> DataFrame:
     """
     relative = F.regexp_extract("path", r"/((?:raw|canonical)/.*)\z", 1)
     name = F.regexp_replace(relative, r"\A(raw/page=[0-9]+)/.*\z", "$1")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(f"{bundle}/{{raw/page[-=]*,canonical}}")
-        .select(name.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    )
+    return file_digests(spark, f"{bundle}/{{raw/page[-=]*,canonical}}").withColumn("path", name)
 
 
 def expected_request_urls(index: DataFrame, base: str, updated_since: str | None) -> DataFrame:

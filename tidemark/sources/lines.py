@@ -35,19 +35,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add the 1-based ``line_no`` within each file.
 
-    Rows are counted per split, split counts are summed in order (one row per split), and the
-    offset is added back; no file is ever sorted as one group.
+    A file is read in as many byte ranges as its size asks for. One pass counts the lines of each range; the
+    counts, one row for each range, are summed up in order; a second pass adds what came before to the place
+    of a line in its range. Lines stay in the task that reads them: only the offsets travel.
     """
     keyed = lines.select("*", F.col("seq.block").alias("_block"), F.col("seq.row").alias("_row"))
     splits = keyed.groupBy("file", "_block").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
     )
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = splits.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # one row for each spark.sql.files.maxPartitionBytes of input: a bound that the scan's plan has as well
     return (
-        keyed.join(offsets, ["file", "_block"])
+        keyed.join(F.broadcast(offsets), ["file", "_block"])
         .withColumn("line_no", F.col("_offset") + F.col("_row") - F.col("_first") + 1)
-        .drop("_block", "_row", "_n", "_first", "_offset")
+        .select(*lines.columns, "line_no")
     )
 
 
