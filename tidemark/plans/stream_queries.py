@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import imports
 from ..session import scratch
-from ..streaming import jobs
+from ..streaming import counters, jobs
 from . import views as v
 from .import_queries import _bundle
 from .queue_queries import _FINDING_NAMES, _FINDING_SQL
-from .views import query, table, with_views
+from .views import ORACLES, query, table, with_views
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,6 +62,31 @@ def streamed_run_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.streamed_counters(spark, path).select("analysis_run_id", *_FINDING_NAMES)
 
 
+def _table_stream(spark: SparkSession, sf: str, name: str, files: int) -> DataFrame:
+    """A table as a stream of several batches: its rows dealt to files, one file to a batch."""
+    path = scratch(spark, f"{name}-stream")
+    source = table(spark, sf, name)
+    source.repartition(files).write.parquet(path)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("i4_streamed_summaries", ORACLES["a7_i10_run_summaries"])
+def streamed_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs, files, dependencies and findings arrive as four streams of several batches; a compaction comes in between."""
+    log = scratch(spark, "counters")
+    streams = {
+        "findings": v.findings_of(_table_stream(spark, sf, "lineitem", 3)),
+        "files": v.files_of(_table_stream(spark, sf, "documents", 3)),
+        "dependencies": v.dependencies_of(_table_stream(spark, sf, "supplier", 2)),
+        "runs": v.runs_of(_table_stream(spark, sf, "customer", 2)).select("id"),
+    }
+    for kind, rows in streams.items():
+        counters.keep_counters(kind, rows, log, scratch(spark, f"{kind}-state"))
+        if kind == "dependencies":
+            counters.compact(spark, log)
+    return counters.counters(spark, log)
+
+
 @query("i14_streamed_import", "SELECT 1 AS snapshot_id, count(*) AS members, count(DISTINCT p_partkey) AS identifiers FROM part")
 def streamed_import(spark: SparkSession, sf: str) -> DataFrame:
     """A bundle arrives, is imported by the stream, and imported again to no effect."""

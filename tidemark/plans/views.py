@@ -340,7 +340,11 @@ def queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(
+    return runs_of(table(spark, sf, "customer"))
+
+
+def runs_of(customer: DataFrame) -> DataFrame:
+    return customer.select(
         F.col("c_custkey").alias("id"),
         F.col("c_nationkey").alias("package_id"),
         F.when(F.col("c_acctbal") < 0, "failed").otherwise("completed").alias("status"),
@@ -373,7 +377,11 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return files_of(table(spark, sf, "documents"))
+
+
+def files_of(documents: DataFrame) -> DataFrame:
+    return documents.select(
         (F.col("doc_id") % 50).alias("analysis_run_id"),
         F.octet_length("text").cast("bigint").alias("byte_size"),
         (F.col("n_chars") > 2000).alias("executable"),
@@ -384,6 +392,10 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "supplier").select(
+    return dependencies_of(table(spark, sf, "supplier"))
+
+
+def dependencies_of(supplier: DataFrame) -> DataFrame:
+    return supplier.select(
         F.col("s_suppkey").alias("analysis_run_id"), F.col("s_name").alias("dependency_name")
     )
