@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import imports
 from ..session import scratch
-from ..streaming import counters, jobs
+from ..streaming import counters, jobs, keyed_state
 from . import views as v
 from .import_queries import _bundle
 from .queue_queries import _FINDING_NAMES, _FINDING_SQL
@@ -62,6 +62,24 @@ def streamed_run_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.streamed_counters(spark, path).select("analysis_run_id", *_FINDING_NAMES)
 
 
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "newest-two")
+    # each file holds events of all times: most rows of the later batches come late
+    keyed_state.run(keyed_state.newest_two(_observations(_table_stream(spark, sf, "events", 4))), path, scratch(spark, "newest-two-state"))
+    return jobs.newest_states(spark, path)
+
+
+@query("i12_keyed_state", ORACLES["i12_streamed_latest_two"])
+def keyed_latest_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Four batches with events of all times in each; the state keeps two entries of tool digests."""
+    return _keyed(spark, sf).select("target_id", "latest_at", "latest_seq", "previous_at", "previous_seq")
+
+
+@query("i13_keyed_state", ORACLES["i13_streamed_drift_alerts"])
+def keyed_drift_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.drift_alerts(_keyed(spark, sf)).select("target_id", "added", "removed", "modified", "unchanged")
+
+
 def _table_stream(spark: SparkSession, sf: str, name: str, files: int) -> DataFrame:
     """A table as a stream of several batches: its rows dealt to files, one file to a batch."""
     path = scratch(spark, f"{name}-stream")
