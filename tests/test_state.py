@@ -301,6 +301,36 @@ def test_streamed_arrivals(spark, catalog):
     assert imports.read_catalog(spark, root)["snapshots"].count() == 2
 
 
+def test_a_batch_looks_at_its_own_bundles(spark, monkeypatch):
+    folder, root, state = scratch(spark, "arrive"), scratch(spark, "cat"), scratch(spark, "ck")
+    looked, taken = [], []
+    completed, imported = jobs.is_completed, jobs.import_bundle
+    monkeypatch.setattr(jobs, "is_completed", lambda spark, b: looked.append(b.rsplit("/", 1)[1]) or completed(spark, b))
+    monkeypatch.setattr(jobs, "import_bundle", lambda spark, b, *a: taken.append(b.rsplit("/", 1)[1]) or imported(spark, b, *a))
+    bundle(spark, folder, "a", three(), "2024-01-01T00:00:00Z")
+    late = bundle(spark, folder, "b", three("changed"), "2024-01-02T00:00:00Z")
+    marker, fs = publish._path(spark, f"{late}/_SUCCESS")
+    fs.delete(marker, False)
+    jobs.import_stream(spark, folder, root, state, "2024-03-01T00:00:00Z")
+    assert taken == ["a"] and looked == ["a", "b", "b"]  # b once more at the end
+    bundle(spark, folder, "c", three(), "2024-01-01T00:00:00Z")  # the snapshot of a, in another folder
+    looked.clear()
+    jobs.import_stream(spark, folder, root, state, "2024-03-02T00:00:00Z")
+    assert "a" not in looked and taken == ["a"]  # a known bundle is not looked at, a known snapshot not imported
+    fs.create(marker, True).close()
+    bundle(spark, folder, "d", three("more"), "2024-01-04T00:00:00Z")
+    jobs.import_stream(spark, folder, root, state, "2024-03-03T00:00:00Z")
+    assert taken == ["a", "b", "d"]
+    snapshots_ = imports.read_catalog(spark, root)["snapshots"]
+    assert sorted(r.id for r in snapshots_.collect()) == [1, 2, 3]
+
+
+def test_numbers_are_claimed_once(spark):
+    root = scratch(spark, "cat")
+    assert [imports.claim_number(spark, root, d) for d in ("x", "y", "x", "z", "y")] == [1, 2, 1, 3, 2]
+    assert imports.claim_number(spark, root, "x", 2) == 4
+
+
 # --- summaries, queue, reviews ---------------------------------------------------------------
 
 

@@ -7,12 +7,13 @@ no visible rows.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS
 from ..session import staged
-from ..sinks.publish import catalog_tables, generations, publish_generation, version_id
+from ..sinks.publish import _path, catalog_tables, generations, publish_generation, version_id
 from ..sources import bundles
 from . import explore, textindex, validation
 from .snapshots import import_statistics, split_incoming
@@ -32,6 +33,41 @@ def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(*[f"{f}/{name}" for f in folders]) for name in KEYS} if folders else {}
 
 
+def claim_number(spark: SparkSession, root: str, digest: str, first: int = 1) -> int:
+    """A snapshot number that no other import has, from ``first`` on.
+
+    A claim is a file that only one job can create. An import that broke off finds its own claim again if no later number
+    is taken yet.
+    """
+    number = first
+    while True:
+        path, fs = _path(spark, f"{root}/_claims/{number:08d}")
+        try:
+            out = fs.create(path, False)
+            out.write(digest.encode())
+            out.close()
+            return number
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName() and not fs.exists(path):
+                raise
+        held = spark.read.text(path.toString()).first()
+        if held is not None and held[0] == digest:
+            return number
+        number += 1
+
+
+def not_imported(spark: SparkSession, found: list[str], root: str) -> list[str]:
+    """Of some bundles those whose snapshot the catalog lacks, one for each digest, in name order: one anti-join."""
+    if not found:
+        return []
+    digests = bundles.read_manifest(spark, found).groupBy("snapshot_sha256").agg(F.min("bundle").alias("bundle"))
+    folders = _imports(spark, root)
+    if folders:
+        known = spark.read.parquet(*[f"{f}/snapshots" for f in folders]).select("snapshot_sha256")
+        digests = digests.join(known, "snapshot_sha256", "left_anti")
+    return sorted(r.bundle for r in digests.select("bundle").collect())  # of one batch
+
+
 def read_index(spark: SparkSession, root: str) -> textindex.TextIndex:
     """The full-text index of a catalog: one segment for each import, over the versions it added."""
     return textindex.TextIndex.read(spark, root, "import-*", "search_")
@@ -91,7 +127,7 @@ def import_bundle(spark: SparkSession, bundle: str, root: str, imported_at: str,
         count = problems.count()
         if count:
             raise InvalidBundle(f"{count} problems, all in {problems.inputFiles()[0].rsplit('/', 1)[0]}")
-    number = len(folders) + 1
+    number = claim_number(spark, root, digest, len(folders) + 1)
     stored = read_catalog(spark, root)
     # Parsed once; every table below reads only its own columns of the staged records.
     records = staged(bundles.read_canonical(spark, bundle), "records")

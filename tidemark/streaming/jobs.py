@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.documents import compact_text, item_texts
-from ..operators.imports import import_bundle
+from ..operators.imports import import_bundle, not_imported
 from ..operators.summaries import detail_deltas, merge_counters
-from ..sources.bundles import completed_bundles
+from ..sinks.publish import _path
+from ..sources.bundles import is_completed
 
 _ROW = "target_id string, observed_at string, seq bigint, inventory string"
 _STATE = "at1 string, seq1 bigint, inv1 string, at2 string, seq2 bigint, inv2 string"
@@ -144,22 +145,45 @@ def streamed_counters(spark: SparkSession, path: str) -> DataFrame:
     return merge_counters(spark.read.parquet(path).drop("batch"))
 
 
-def import_pending(spark: SparkSession, arrivals: str, root: str, imported_at: str) -> None:
-    """Import the completed bundles of a folder in name order. Known snapshots are no-ops."""
-    for bundle in completed_bundles(spark, arrivals):
+def _waiting(spark: SparkSession, root: str, before: int | None) -> list[str]:
+    """Bundles that had no marker yet when the last batch (before a number) was done."""
+    numbers = [n for n in _waiting_batches(spark, root) if before is None or n < before]
+    return [r[0] for r in spark.read.text(f"{root}/_waiting/batch={max(numbers)}").collect()] if numbers else []
+
+
+def _waiting_batches(spark: SparkSession, root: str) -> list[int]:
+    pattern, fs = _path(spark, f"{root}/_waiting/batch=*/_SUCCESS")
+    return [int(s.getPath().getParent().getName().split("=")[1]) for s in (fs.globStatus(pattern) or [])]
+
+
+def import_arrived(spark: SparkSession, found: list[str], root: str, imported_at: str) -> list[str]:
+    """Import those of some bundles that are complete and not known; returns those without a marker yet.
+
+    The work follows the bundles given: known ones are left out by one join of their digests.
+    """
+    ready = [b for b in found if is_completed(spark, b)]
+    for bundle in not_imported(spark, ready, root):
         import_bundle(spark, bundle, root, imported_at)
+    return sorted(set(found) - set(ready))
 
 
-def import_stream(spark: SparkSession, arrivals: str, root: str, checkpoint: str, imported_at: str) -> None:
-    """Import bundles as their manifests arrive.
+def import_stream(spark: SparkSession, arrivals: str, root: str, checkpoint: str, imported_at: str, batch_bundles: int = 100) -> None:
+    """Import bundles as their manifests arrive, at most ``batch_bundles`` to a batch.
 
-    A manifest is written before the marker, so each batch looks at all completed bundles, and
-    one more look follows the last batch: a bundle completed in between is not missed.
+    A batch looks at the bundles of its own manifests. A manifest is written before the marker, so bundles that are
+    not complete yet are noted with the batch and looked at again by the next one, and once more at the end.
     """
-    manifests = spark.readStream.option("recursiveFileLookup", "true").text(f"{arrivals}/*/manifest.json*")
+    manifests = (
+        spark.readStream.option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", batch_bundles)
+        .text(f"{arrivals}/*/manifest.json*")
+        .select(F.regexp_replace(F.col("_metadata.file_path"), r"/manifest\.json.*\z", "").alias("bundle"))
+    )
 
     def run(batch: DataFrame, number: int) -> None:
-        import_pending(spark, arrivals, root, imported_at)
+        new = [r.bundle for r in batch.distinct().collect()]
+        left = import_arrived(spark, sorted({*new, *_waiting(spark, root, number)}), root, imported_at)
+        spark.createDataFrame([(b,) for b in left], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/_waiting/batch={number}")
 
     (
         manifests.writeStream.foreachBatch(run)
@@ -168,4 +192,4 @@ def import_stream(spark: SparkSession, arrivals: str, root: str, checkpoint: str
         .start()
         .awaitTermination()
     )
-    import_pending(spark, arrivals, root, imported_at)
+    import_arrived(spark, _waiting(spark, root, None), root, imported_at)
