@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import SEVERITIES
-from ..operators import reviews, summaries, workqueue
+from ..operators import fingerprints, reviews, summaries, workqueue
 from ..schemas import READ_MODEL
 from ..session import scratch
 from ..sinks import keyed, publish
@@ -589,6 +589,57 @@ def read_model(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.verify_publication(history, hot)
 
 
+_HOT_RUNS = """SELECT * REPLACE (CASE WHEN id = (SELECT max(id) FROM runs WHERE status = 'completed') THEN 'altered' ELSE ruleset_version END AS ruleset_version)
+FROM runs WHERE id <> (SELECT min(id) FROM runs WHERE status = 'failed')"""
+
+
+def _published_pair(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """A history and a read model published from it, in which one row is altered and one is missing."""
+    history = {"analysis_runs": v.runs(spark, sf), "run_summaries": _summaries(spark, sf), "analysis_findings": v.findings(spark, sf)}
+    altered = history["analysis_runs"].filter("status = 'completed'").agg(F.max("id").alias("id")).scalar()
+    missing = history["analysis_runs"].filter("status = 'failed'").agg(F.min("id").alias("id")).scalar()
+    hot_runs = history["analysis_runs"].filter(F.col("id") != missing).withColumn(
+        "ruleset_version", F.when(F.col("id") == altered, "altered").otherwise(F.col("ruleset_version"))
+    )
+    roots = scratch(spark, "history"), scratch(spark, "hot")
+    publish.publish_generation(history, roots[0], "g1")
+    publish.publish_read_model({**history, "analysis_runs": hot_runs}, roots[1], "g1")
+    return roots
+
+
+@query(
+    "a19_row_equality",
+    with_views(
+        """SELECT 'analysis_runs' AS table_name, (SELECT count(*) FROM runs) AS history, (SELECT count(*) FROM hot_runs) AS hot, FALSE AS equal, FALSE AS same_rows
+        UNION ALL SELECT 'run_summaries', count(*), count(*), TRUE, TRUE FROM summaries UNION ALL SELECT 'analysis_findings', count(*), NULL, FALSE, FALSE FROM findings""",
+        *_SUMMARY_VIEWS,
+        **_SUMMARY,
+        hot_runs=_HOT_RUNS,
+    ),
+)
+def row_equality(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and rows of a history against the read model published from it."""
+    history, hot = _published_pair(spark, sf)
+    names = ("analysis_runs", "run_summaries", "analysis_findings")
+    stored = {n: publish.read_generation(spark, history, n) for n in names}
+    return fingerprints.verify_rows(stored, {n: publish.read_generation(spark, hot, n) for n in names if n in READ_MODEL})
+
+
+@query(
+    "a19_located_rows",
+    with_views(
+        """SELECT *, 1::BIGINT AS left_copies, 0::BIGINT AS right_copies FROM (SELECT * FROM runs EXCEPT ALL SELECT * FROM hot_runs)
+        UNION ALL SELECT *, 0, 1 FROM (SELECT * FROM hot_runs EXCEPT ALL SELECT * FROM runs)""",
+        "runs",
+        hot_runs=_HOT_RUNS,
+    ),
+)
+def located_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The altered and the missing row, found by way of the ranges whose fingerprints differ."""
+    history, hot = _published_pair(spark, sf)
+    return fingerprints.difference(publish.read_generation(spark, history, "analysis_runs"), publish.read_generation(spark, hot, "analysis_runs"), ["id"])
+
+
 @query(
     "k9_evidence_manifests",
     with_views(
