@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import newest_per_key, previous_in_key
+from ..session import staged
+from .ordering import newest_per_key
+
+PARTS = 64  # of the versions of one group that are folded on their own
 
 
 def manifest_summary(targets: DataFrame) -> DataFrame:
@@ -123,24 +126,51 @@ def latest_verdicts(observations: DataFrame) -> DataFrame:
     return drift_verdict(drift_counts(latest_drift(observations), ["target_id"]), sides, ["target_id"])
 
 
-def consecutive_diffs(tools: DataFrame, times: DataFrame, target: str, time: str, chunk: Column) -> DataFrame:
-    """Tool changes between every two consecutive observations of each target.
+def with_neighbours(tools: DataFrame, times: DataFrame, target: str, time: str, chunk: Column) -> DataFrame:
+    """The tool rows with ``_next``, the target's next observation time after theirs, and ``_has_before``.
 
-    ``times`` lists the observations ``(target, time)``; each gets its successor, and every tool
-    row then takes part twice: as the newer side at its own time and as the older side at the
-    successor's. Grouping by (target, time, tool) classifies all pairs in one pass.
+    ``chunk`` is a coarse, monotone image of the time. Observations and tools of one chunk are ordered together, so a tool
+    row finds the next time in its chunk without a join; at the end of a chunk the first time of the target's next
+    chunk is taken from a table with one row for each target and chunk.
     """
-    before = previous_in_key(times.select(target, time), [target], [time], [time], chunk, "_before")
-    pairs = before.filter(F.col("_before").isNotNull()).select(
-        target, F.col(f"_before.{time}").alias("_from"), F.col(time).alias("_to")
+    edges = times.select(target, time, chunk.alias("_chunk")).groupBy(target, "_chunk").agg(F.min(time).alias("_first"))
+    across = Window.partitionBy(target).orderBy("_chunk")
+    borders = edges.select(
+        target, "_chunk", "_first", F.lead("_first").over(across).alias("_following"), F.lag("_first").over(across).isNotNull().alias("_later")
     )
-    newer = tools.join(pairs.select(target, F.col("_to").alias(time)), [target, time], "left_semi").select(
-        target, time, "name", "definition", F.lit(True).alias("newer")
+    names = F.lit(None).cast(tools.schema["name"].dataType), F.lit(None).cast(tools.schema["definition"].dataType)
+    marks = times.select(target, time, names[0].alias("name"), names[1].alias("definition"), F.lit(False).alias("_tool"))
+    rows = tools.select(target, time, "name", "definition", F.lit(True).alias("_tool")).unionByName(marks).withColumn("_chunk", chunk)
+    down = Window.partitionBy(target, "_chunk").orderBy(F.desc(time))
+    later = F.lag(time).over(down)
+    stepped = rows.withColumn("_step", F.when(later != F.col(time), later))
+    nearest = F.last("_step", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = stepped.withColumn("_near", nearest).filter("_tool").join(borders, [target, "_chunk"])
+    return placed.select(
+        target,
+        time,
+        "name",
+        "definition",
+        F.coalesce("_near", "_following").alias("_next"),
+        (F.col("_later") | (F.col(time) > F.col("_first"))).alias("_has_before"),
     )
-    older = tools.join(
-        pairs.select(target, F.col("_from").alias(time), "_to"), [target, time]
-    ).select(target, F.col("_to").alias(time), "name", "definition", F.lit(False).alias("newer"))
-    return compare_tools(newer.unionByName(older), [target, time], F.col("newer"))
+
+
+def consecutive_diffs(tools: DataFrame, times: DataFrame, target: str, time: str, chunk: Column) -> DataFrame:
+    """Tool changes between every two consecutive observations of each target.
+
+    ``times`` lists the observations ``(target, time)``. Tools are read once: each row is the newer side at its own time
+    and the older side at the next time, and grouping by (target, time, tool) classifies all pairs in one pass.
+    """
+    sides = F.explode(
+        F.array(
+            F.struct(F.when(F.col("_has_before"), F.col(time)).alias("at"), F.lit(True).alias("newer")),
+            F.struct(F.col("_next").alias("at"), F.lit(False).alias("newer")),
+        )
+    ).alias("_side")
+    both = with_neighbours(tools, times, target, time, chunk).select(target, "name", "definition", sides)
+    rows = both.select(target, F.col("_side.at").alias(time), "name", "definition", "_side.newer").filter(F.col(time).isNotNull())
+    return compare_tools(rows, [target, time], F.col("newer"))
 
 
 def previous_compatible_runs(runs: DataFrame) -> DataFrame:
@@ -151,19 +181,28 @@ def previous_compatible_runs(runs: DataFrame) -> DataFrame:
     recency. Newest means largest (recency, run_id) over the whole group, so each version folds
     to its best run and each group to its two best versions before anything is paired: the
     answer for a version is the group's best, unless that best is of the version itself.
+
+    Few groups may hold all runs. Folding combines before each shuffle; back at the runs, groups with more than a
+    thousandth of them are broadcast (they are fewer than a thousand), the others are joined by key.
     """
     group = ["profile_key", "server_identifier", "package_identifier"]
     per_version = runs.groupBy(*group, "server_version_id").agg(
-        F.max(F.struct("recency", "run_id")).alias("best")
-    )
-    top = newest_per_key(per_version, group, [F.desc("best")], 2)
-    folded = top.groupBy(*group).agg(
-        F.max(F.when(F.col("rank") == 1, F.struct("server_version_id", "best"))).alias("first"),
-        F.max(F.when(F.col("rank") == 2, F.struct("server_version_id", "best"))).alias("second"),
+        F.max(F.struct("recency", "run_id")).alias("best"), F.count(F.lit(1)).alias("n")
     )
+    # one partial answer for each group and part of its versions, then the two best of these
+    part = F.pmod(F.xxhash64("server_version_id"), F.lit(PARTS))
+    best_two = F.slice(F.sort_array(F.collect_list(F.struct("best", "server_version_id")), asc=False), 1, 2)
+    parts = newest_per_key(per_version.withColumn("_part", part), [*group, "_part"], [F.desc("best")], 2)
+    folded = parts.groupBy(*group).agg(best_two.alias("two"))  # 2 * PARTS entries at most
+    sizes = per_version.groupBy(*group).agg(F.sum("n").alias("n"))
+    folded = folded.join(sizes, group).select(*group, "n", F.get("two", F.lit(0)).alias("first"), F.get("two", F.lit(1)).alias("second"))
+    folded = staged(folded, "groups")
     own = F.col("first.server_version_id") == F.col("server_version_id")
     other = F.when(own, F.col("second.best.run_id")).otherwise(F.col("first.best.run_id"))
-    return runs.join(folded, group, "left").select(
+    large = F.col("n") > folded.agg(F.sum("n") / 1000).scalar()
+    hot = F.broadcast(folded.filter(large))
+    others = runs.join(hot.select(*group), group, "left_anti").join(folded.filter(~large), group, "left")
+    return runs.join(hot, group).unionByName(others).select(
         *group, "server_version_id", "run_id", other.alias("previous_run_id")
     )
 
