@@ -57,6 +57,15 @@ def test_order_and_ties(spark, tmp_path):
     assert two == {1: ("25", "d"), 2: ("25", "a")}
 
 
+def test_limits_stop_a_strict_scan(spark, tmp_path):
+    path = log(tmp_path, *[observation(f"2026-07-2{k}T00:00:00Z", f"t{k % 3}") for k in range(6)])
+    assert lines.read_observations(spark, path, max_records=6, max_targets=3).count() == 6
+    for limits, message in (({"max_records": 5}, "record limit"), ({"max_targets": 2}, "target limit"), ({"max_records": 5, "max_targets": 2}, "record limit")):
+        with pytest.raises(Exception, match=message):
+            lines.read_observations(spark, path, **limits).collect()
+        assert lines.read_observations(spark, path, strict=False, **limits).count() == 6
+
+
 def test_strict_scan_fails_and_lenient_scan_drops(spark, tmp_path):
     path = log(tmp_path, observation("2026-07-24T20:15:30Z"), "not json")
     with pytest.raises(Exception, match="invalid line"):

@@ -465,6 +465,27 @@ def contract_violations(findings: DataFrame) -> DataFrame:
     return findings.withColumn("problem", problem).filter(F.col("problem").isNotNull())
 
 
+def identity_violations(results: DataFrame, packages: DataFrame, ruleset: str) -> DataFrame:
+    """Results that speak of another ruleset or package than they were asked for, with the ``problem``.
+
+    ``results``: package_id, package_name, package_version, ruleset_version as the analyzer reported them; ``packages``:
+    id, registry_type, identifier, version. Python names compare in their normal form and versions by meaning, all
+    others as they are written. A name without a normal form or a missing value is no match.
+    """
+    asked = packages.select(F.col("id").alias("package_id"), "registry_type", "identifier", "version")
+    both = results.join(asked, "package_id", "left")
+    python = F.col("registry_type") == "pypi"
+    name = text.normalize_project_name("identifier") == text.normalize_project_name("package_name")
+    same_name = F.when(python, name).otherwise(F.col("identifier") == F.col("package_name"))
+    same_version = F.when(python, text.versions_equivalent("version", "package_version")).otherwise(F.col("version") == F.col("package_version"))
+    problem = (
+        F.when(F.col("identifier").isNull(), "unknown package")
+        .when(~F.coalesce(F.col("ruleset_version") == ruleset, F.lit(False)), "ruleset")
+        .when(~F.coalesce(same_name & same_version, F.lit(False)), "package identity")
+    )
+    return both.withColumn("problem", problem).filter(F.col("problem").isNotNull()).select(*results.columns, "problem")
+
+
 def _continues(content: Column, offset: Column) -> Column:
     """True when the byte at a 0-based offset continues a UTF-8 character."""
     return F.hex(F.substring(content, offset + 1, F.lit(1))).between("80", "BF")

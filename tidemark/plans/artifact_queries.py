@@ -461,6 +461,37 @@ def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     return artifacts.contract_violations(rows).select("id", "l_partkey", "problem")
 
 
+_RESULTS = """SELECT id AS package_id, CASE WHEN position = 2 THEN upper(replace(identifier, '-', '__')) ELSE identifier END AS package_name,
+CASE WHEN position = 3 THEN 'v' || replace(version, '.0', '') WHEN position = 5 THEN version || '.1' ELSE version END AS package_version,
+CASE WHEN position = 4 THEN 'r2' ELSE 'r1' END AS ruleset_version FROM packages"""
+
+
+@query(
+    "v28_identity_violations",
+    with_views(
+        """SELECT r.*, CASE WHEN p.id IS NULL THEN 'unknown package' WHEN r.ruleset_version <> 'r1' THEN 'ruleset' ELSE 'package identity' END AS problem
+        FROM results r LEFT JOIN (SELECT * FROM packages WHERE position <> 7) p ON p.id = r.package_id
+        WHERE p.id IS NULL OR p.position IN (4, 5) OR p.version IS NULL OR (p.position IN (2, 3) AND p.registry_type = 'npm')""",
+        "packages",
+        results=_RESULTS,
+    ),
+)
+def identity_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Reported names and versions in other spellings, another ruleset, other versions, packages that nobody asked for."""
+    packages = v.packages(spark, sf)
+    at = F.col("position")
+    results = packages.select(
+        F.col("id").alias("package_id"),
+        F.when(at == 2, F.upper(F.replace("identifier", F.lit("-"), F.lit("__")))).otherwise(F.col("identifier")).alias("package_name"),
+        F.when(at == 3, F.concat(F.lit("v"), F.replace("version", F.lit(".0"), F.lit(""))))
+        .when(at == 5, F.concat("version", F.lit(".1")))
+        .otherwise(F.col("version"))
+        .alias("package_version"),
+        F.when(at == 4, "r2").otherwise("r1").alias("ruleset_version"),
+    )
+    return artifacts.identity_violations(results, packages.filter(at != 7), "r1")
+
+
 def _finding_lines(spark: SparkSession, sf: str) -> DataFrame:
     found = _page_findings(spark, sf).filter("kind = 'page'").select(F.col("id").alias("page_id"), "line_number", "symbol", "rule_id")
     pages = table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
@@ -486,7 +517,8 @@ def source_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "j9_finding_sources",
     f"""WITH f AS ({_FILES}) SELECT path AS subject_path, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS byte_size, CAST(NULL AS VARCHAR) AS error,
-    sha256(text) AS shown FROM f WHERE doc_id % 16 IN (5, 6, 10)""",
+    sha256(text) AS shown FROM f WHERE doc_id % 16 IN (5, 6, 10)
+    UNION ALL SELECT path, sha256(t), strlen(t), NULL, sha256(t) FROM (SELECT *, CASE WHEN doc_id % 16 = 14 THEN chr(127) || 'ELF' ELSE '' END || text AS t FROM f WHERE {_NATIVE})""",
 )
 def finding_sources(spark: SparkSession, sf: str) -> DataFrame:
     """File-type findings of text members, joined to run, file, evidence and member."""
@@ -496,7 +528,7 @@ def finding_sources(spark: SparkSession, sf: str) -> DataFrame:
     digests_ = members.select("artifact_sha256").distinct()
     runs = digests_.select(F.xxhash64("artifact_sha256").alias("id"), "artifact_sha256")
     run_of = F.xxhash64("artifact_sha256").alias("analysis_run_id")
-    notable = artifacts.file_type_findings(inventory, rules).filter("rule_id <> 'file-type:native'")
+    notable = artifacts.file_type_findings(inventory, rules)
     found = notable.select(F.xxhash64("subject_path").alias("id"), run_of, "subject_path", "line_number", "symbol", "evidence")
     files = inventory.select(run_of, "archive_path", "byte_size", "sha256")
     placed = F.concat(F.lit("artifacts/sha256/"), F.substring("artifact_sha256", 1, 2), F.lit("/"), "artifact_sha256", F.lit("/artifact.tgz"))

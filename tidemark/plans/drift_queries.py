@@ -249,6 +249,16 @@ def history_limits(spark: SparkSession, sf: str) -> DataFrame:
     return lines.history_limits(v.observations(v.tools(spark, sf)), max_targets=100)
 
 
+@query("v7_limited_scan", with_views("SELECT target_id, observed_at FROM observations", "observations"))
+def limited_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A log written from the tables passes a strict scan whose limits are just its size."""
+    rows = v.observations(v.tools(spark, sf))
+    path = scratch(spark, "limited")
+    publish.append_observations(_observation_rows(spark, sf), path)
+    size = rows.agg(F.count(F.lit(1)), F.countDistinct("target_id")).first()
+    return lines.read_observations(spark, path, max_records=size[0], max_targets=size[1]).select("target_id", "observed_at")
+
+
 @query(
     "w11_line_numbers",
     "SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line_no FROM documents",

@@ -97,10 +97,35 @@ def parse_observations(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -
 
 
 def read_observations(
-    spark: SparkSession, path: str, strict: bool = True, max_line_bytes: int = MAX_LINE_BYTES
+    spark: SparkSession,
+    path: str,
+    strict: bool = True,
+    max_line_bytes: int = MAX_LINE_BYTES,
+    max_records: int | None = None,
+    max_targets: int | None = None,
 ) -> DataFrame:
-    """Observation log. Empty lines are skipped; a rejected line fails a strict scan."""
-    return accepted(parse_observations(read_lines(spark, path), max_line_bytes), strict)
+    """Observation log. Empty lines are skipped; a rejected line fails a strict scan, and so does a limit that is exceeded.
+
+    A log of any size is read where no limit is given; ``MAX_RECORDS`` and ``MAX_TARGETS`` are the usual ones.
+    """
+    rows = accepted(parse_observations(read_lines(spark, path), max_line_bytes), strict)
+    if strict and (max_records is not None or max_targets is not None):
+        rows = within_limits(rows, max_records, max_targets)
+    return rows
+
+
+def within_limits(observations: DataFrame, max_records: int | None, max_targets: int | None) -> DataFrame:
+    """The observations; the job fails if there are more records or targets than allowed.
+
+    Both numbers are one aggregate row that a scalar subquery brings to every task, so no row passes before they are known.
+    """
+    counts = observations.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("target_id").alias("targets"))
+    problem = F.lit(None).cast("string")
+    for name, limit, what in (("targets", max_targets, "target"), ("records", max_records, "record")):
+        if limit is not None:
+            problem = F.when(F.col(name) > limit, F.lit(f"history exceeds configured {what} limit")).otherwise(problem)
+    found = counts.select(problem.alias("problem")).scalar()
+    return observations.filter(F.when(found.isNotNull(), F.raise_error(found)).otherwise(F.lit(True)))
 
 
 def read_targets(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
