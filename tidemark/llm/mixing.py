@@ -105,8 +105,8 @@ def _evidence(documents: DataFrame, weights: list[list[float]], *columns: str) -
     return rows.select(*columns, "tokens", *[evidence(w).alias(f"s{k}") for k, w in enumerate(weights)])
 
 
-def _logits(priors: list[float], scale: tuple[float, float]) -> list[Column]:
-    share = F.lit(scale[0]) * F.pow(F.greatest(F.lit(1), F.col("tokens")).cast("double"), F.lit(-scale[1]))
+def _logits(priors: list[float], weight: Column, power: Column) -> list[Column]:
+    share = weight * F.pow(F.greatest(F.lit(1), F.col("tokens")).cast("double"), -power)
     return [F.col(f"s{k}") * share + math.log(p) for k, p in enumerate(priors)]
 
 
@@ -116,20 +116,18 @@ def _total(columns: list[Column]) -> Column:
 
 def calibrated(documents: DataFrame, labelled: DataFrame, domains: list[str], weights: list[list[float]], priors: list[float], per_domain: int = PER_DOMAIN) -> tuple[float, float]:
     """The (weight, power) of ``SCALES`` with the least log loss on held-out labelled documents; (1, 0) without any."""
-    held = sampled(labelled, domains, per_domain).where("held_out").select(F.col("doc_id"), "domain")
+    held = sampled(labelled, domains, per_domain).where("held_out").select("doc_id", "domain")
     texts = documents.where(F.octet_length("text") <= MAX_SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(held), "doc_id")
-    scores = _evidence(texts, weights, "domain").where("tokens > 0")
-
-    def loss(scale: tuple[float, float]) -> Column:
-        logits = _logits(priors, scale)
-        top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-        own = _total([F.when(F.col("domain") == d, z).otherwise(0.0) for d, z in zip(domains, logits)])
-        return F.sum(top + F.log(_total([F.exp(z - top) for z in logits])) - own)
-
-    row = staged(scores, "held-out").agg(F.count(F.lit(1)).alias("n"), *[loss(s).alias(f"l{k}") for k, s in enumerate(SCALES)]).first()
-    if not row.n:
-        return 1.0, 0.0
-    return min((row[f"l{k}"], s) for k, s in enumerate(SCALES))[1]
+    scores = staged(_evidence(texts, weights, "domain"), "held-out")
+    scales = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("weight"), F.lit(p).alias("power")) for k, (w, p) in enumerate(SCALES)]))
+    rows = scores.select("*", scales.alias("scale"))
+    logits = rows.select("domain", "scale.k", *[z.alias(f"z{k}") for k, z in enumerate(_logits(priors, F.col("scale.weight"), F.col("scale.power")))])
+    z = [F.col(f"z{k}") for k in range(len(domains))]
+    top = F.greatest(*z) if len(z) > 1 else z[0]
+    own = _total([F.when(F.col("domain") == d, x).otherwise(0.0) for d, x in zip(domains, z)])
+    loss = top + F.log(_total([F.exp(x - top) for x in z])) - own
+    found = logits.select("k", loss.alias("loss")).groupBy("k").agg(F.sum("loss").alias("loss")).collect()  # a row for each scale
+    return SCALES[min((r.loss, r.k) for r in found)[1]] if found else (1.0, 0.0)
 
 
 def posteriors(documents: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = PER_DOMAIN) -> DataFrame:
@@ -139,7 +137,7 @@ def posteriors(documents: DataFrame, labelled: DataFrame, domains: list[str], pe
     n = len(domains)
     rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     sums = _evidence(rows, weights, "doc_id", "tag")
-    logits = sums.select("doc_id", "tag", "tokens", *[z.alias(f"z{k}") for k, z in enumerate(_logits(priors, scale))])
+    logits = sums.select("doc_id", "tag", "tokens", *[z.alias(f"z{k}") for k, z in enumerate(_logits(priors, *map(F.lit, scale)))])
     top = F.greatest(*[F.col(f"z{k}") for k in range(n)]) if n > 1 else F.col("z0")
     shifted = logits.select("doc_id", "tag", "tokens", *[F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(n)])
     norm = _total([F.col(f"e{k}") for k in range(n)])
