@@ -334,6 +334,24 @@ def test_a_batch_looks_at_its_own_bundles(spark, monkeypatch):
     assert sorted(r.id for r in snapshots_.collect()) == [1, 2, 3]
 
 
+def test_increments_need_their_base(spark):
+    folder, root = scratch(spark, "arrive"), scratch(spark, "cat")
+    with pytest.raises(imports.InvalidBundle, match="no snapshot to start from"):
+        imports.baseline(spark, root)
+    entries = spark.createDataFrame([(1, i, e) for i, e in enumerate(three())], "page bigint, position bigint, entry string")
+    increment = lambda name, since, digest: write_bundle(entries, f"{folder}/{name}", "https://registry.example", "2024-01-05T00:00:00Z", since, digest)
+    with pytest.raises(imports.InvalidBundle, match="not in the catalog"):
+        imports.import_bundle(spark, increment("a", "2024-01-01T00:00:00Z", "0" * 64), root, "2024-02-01T00:00:00Z", check=False)
+    imports.import_bundle(spark, bundle(spark, folder, "full", three(), "2024-01-02T00:00:00Z"), root, "2024-02-01T00:00:00Z", check=False)
+    base = imports.baseline(spark, root)
+    assert base.updated_since == "2024-01-02T00:00:00Z"
+    with pytest.raises(imports.InvalidBundle, match="in no snapshot"):
+        imports.import_bundle(spark, increment("b", "2024-01-03T00:00:00Z", base.base_snapshot_sha256), root, "2024-02-01T00:00:00Z", check=False)
+    with pytest.raises(imports.InvalidBundle, match="without its base"):
+        imports.import_bundle(spark, increment("c", "2024-01-01T00:00:00Z", None), root, "2024-02-01T00:00:00Z", check=False)
+    assert imports.read_catalog(spark, root)["snapshots"].count() == 1
+
+
 def test_numbers_are_claimed_once(spark):
     root = scratch(spark, "cat")
     assert [imports.claim_number(spark, root, d) for d in ("x", "y", "x", "z", "y")] == [1, 2, 1, 3, 2]

@@ -8,7 +8,7 @@ no visible rows.
 from __future__ import annotations
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import KEYS
@@ -16,7 +16,7 @@ from ..session import staged
 from ..sinks.publish import _path, catalog_tables, generations, publish_generation, version_id
 from ..sources import bundles
 from . import explore, textindex, validation
-from .snapshots import import_statistics, split_incoming
+from .snapshots import current_state, import_statistics, refresh_baseline, split_incoming
 
 
 class InvalidBundle(ValueError):
@@ -33,6 +33,36 @@ def read_catalog(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(*[f"{f}/{name}" for f in folders]) for name in KEYS} if folders else {}
 
 
+def baseline(spark: SparkSession, root: str) -> Row:
+    """(base_snapshot_sha256, updated_since) that the next incremental collection starts from: the newest snapshot's."""
+    stored = read_catalog(spark, root)
+    found = refresh_baseline(stored["snapshots"]).first() if stored else None
+    if found is None:
+        raise InvalidBundle("catalog has no snapshot to start from")
+    return found
+
+
+def current_versions(spark: SparkSession, root: str) -> DataFrame:
+    """The versions that full and incremental snapshots together have as the newest of each (identifier, version)."""
+    t = read_catalog(spark, root)
+    newest = current_state(t["snapshot_server_versions"], t["snapshots"], t["server_versions"])
+    return t["server_versions"].join(newest.select("id", "snapshot_id"), "id")
+
+
+def _check_base(spark: SparkSession, manifest: DataFrame, stored: dict[str, DataFrame]) -> None:
+    """An incremental bundle must name a snapshot that the catalog has, and reach back to it."""
+    head = manifest.select("collection_mode", "updated_since", "base_snapshot_sha256").first()
+    if (head.collection_mode or "full") == "full":
+        return
+    if not head.updated_since or not head.base_snapshot_sha256:
+        raise InvalidBundle("incremental bundle without its base")
+    known = stored["snapshots"].filter(F.col("snapshot_sha256") == head.base_snapshot_sha256).select("completed_at").first() if stored else None
+    if known is None:
+        raise InvalidBundle(f"base snapshot {head.base_snapshot_sha256} is not in the catalog")
+    if head.updated_since > known.completed_at:
+        raise InvalidBundle(f"changes between {known.completed_at} and {head.updated_since} are in no snapshot")
+
+
 def claim_number(spark: SparkSession, root: str, digest: str, first: int = 1) -> int:
     """A snapshot number that no other import has, from ``first`` on.
 
@@ -127,8 +157,9 @@ def import_bundle(spark: SparkSession, bundle: str, root: str, imported_at: str,
         count = problems.count()
         if count:
             raise InvalidBundle(f"{count} problems, all in {problems.inputFiles()[0].rsplit('/', 1)[0]}")
-    number = claim_number(spark, root, digest, len(folders) + 1)
     stored = read_catalog(spark, root)
+    _check_base(spark, manifest, stored)
+    number = claim_number(spark, root, digest, len(folders) + 1)
     # Parsed once; every table below reads only its own columns of the staged records.
     records = staged(bundles.read_canonical(spark, bundle), "records")
     tables = catalog_tables(records)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import explore, imports, validation
@@ -17,8 +17,9 @@ PAGE_SIZE = 30
 BASE = "https://registry.example"
 
 
-def _entry(description: Column) -> Column:
+def _entry(description: Column, updated: Column | None = None) -> Column:
     """Raw registry entry of a part. Part keys are unique, so identities are too."""
+    updated = F.lit("2024-01-01T00:00:00Z") if updated is None else updated
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     package = F.concat(
         F.lit('"packages":[{"registryType":"'), F.when(F.col("p_size") % 2 == 0, "npm").otherwise("pypi"), F.lit('","identifier":"pkg-'), key,
@@ -30,7 +31,7 @@ def _entry(description: Column) -> Column:
         F.lit('{"server":{"name":"io.example/part-'), key, F.lit('","version":"'), size, F.lit('.0","description":"'), description, F.lit('",'),
         F.when(F.col("p_size") % 3 == 0, "").otherwise(package), F.when(F.col("p_size") % 5 == 0, remote).otherwise(""),
         F.lit('"repository":{"source":"github","url":"https://github.com/o/'), key, F.lit('.git"}, "weight": 1.50},'),
-        F.lit(f'"_meta":{{"{OFFICIAL_META}":{{"status":"active","updatedAt":"2024-01-01T00:00:00Z"}}}}}}'),
+        F.lit(f'"_meta":{{"{OFFICIAL_META}":{{"status":"active","updatedAt":"'), updated, F.lit('"}}}'),
     )
 
 
@@ -222,3 +223,36 @@ def snapshot_import(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(counts, "server_version_id", "left").select(
         "snapshot_id", "server_identifier", "description", F.coalesce("packages", F.lit(0).cast("bigint")).alias("packages")
     )
+
+
+_EDITED = [(2, "p_size % 4 = 0"), (3, "p_size % 6 = 0")]  # (day, parts that change on it)
+
+
+def _edited_entries(spark: SparkSession, sf: str, day: int) -> DataFrame:
+    """The registry as it is on a day: each edit adds to the description and sets the time."""
+    description, updated = F.col("p_type"), F.lit("2024-01-01T00:00:00Z")
+    for at, parts in _EDITED[: day - 1]:
+        description = F.when(F.expr(parts), F.concat(description, F.lit(f" v{at}"))).otherwise(description)
+        updated = F.when(F.expr(parts), F.lit(f"2024-01-{at:02d}T00:00:00Z")).otherwise(updated)
+    page = F.floor(F.col("p_partkey") / PAGE_SIZE) + 1
+    return table(spark, sf, "part").select(page.alias("page"), F.col("p_partkey").alias("position"), _entry(description, updated).alias("entry"))
+
+
+@query(
+    "i2_incremental_chain",
+    """SELECT 'io.example/part-' || p_partkey AS server_identifier, p_type || CASE WHEN p_size % 4 = 0 THEN ' v2' ELSE '' END || CASE WHEN p_size % 6 = 0 THEN ' v3' ELSE '' END AS description,
+    CASE WHEN p_size % 4 = 0 OR p_size % 6 = 0 THEN 3 ELSE 1 END AS snapshot_id FROM part""",
+)
+def incremental_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """A full snapshot and two increments, each from the base before it; what changed at the time of the base comes twice."""
+    folder, root = scratch(spark, "bundles"), scratch(spark, "catalog")
+    imports.import_bundle(spark, write_bundle(_edited_entries(spark, sf, 1), f"{folder}/b1", BASE, "2024-01-01T12:00:00Z"), root, "2024-02-01T00:00:00Z", check=False)
+    for day in (2, 3):
+        base = imports.baseline(spark, root)
+        changed = bundles.updated_entries(_edited_entries(spark, sf, day), base.updated_since)
+        # a bundle is dense in its pages, whatever was left out
+        numbers = changed.groupBy("page").agg(F.count(F.lit(1)).alias("n")).select("page", F.row_number().over(Window.orderBy("page")).cast("bigint").alias("dense"))
+        dense = changed.join(numbers, "page").select(F.col("dense").alias("page"), "position", "entry")
+        bundle = write_bundle(dense, f"{folder}/b{day}", BASE, f"2024-01-{day:02d}T00:00:00Z", base.updated_since, base.base_snapshot_sha256)
+        imports.import_bundle(spark, bundle, root, f"2024-02-{day:02d}T00:00:00Z", check=False)
+    return imports.current_versions(spark, root).select("server_identifier", "description", "snapshot_id")

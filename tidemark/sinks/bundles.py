@@ -26,8 +26,10 @@ def write_pages(entries: DataFrame, root: str) -> None:
     pages.select("page", body.alias("value")).write.partitionBy("page").text(f"{root}/raw")
 
 
-def write_bundle(entries: DataFrame, root: str, base: str, completed_at: str, updated_since: str | None = None) -> str:
-    """Write a complete bundle; the marker file comes last."""
+def write_bundle(
+    entries: DataFrame, root: str, base: str, completed_at: str, updated_since: str | None = None, base_snapshot_sha256: str | None = None
+) -> str:
+    """Write a complete bundle; the marker file comes last. With ``updated_since`` it is an incremental one."""
     spark = entries.sparkSession
     write_pages(entries, root)
     write_canonical(unique_records(build_records(entries)), f"{root}/canonical/servers.jsonl")
@@ -67,6 +69,7 @@ def write_bundle(entries: DataFrame, root: str, base: str, completed_at: str, up
         F.lit(2).alias("bundle_version"),
         F.lit("full" if updated_since is None else "incremental").alias("collection_mode"),
         since.alias("updated_since"),
+        F.lit(base_snapshot_sha256).cast("string").alias("base_snapshot_sha256"),
         F.lit(base).alias("registry_base_url"),
         F.lit("complete").alias("status"),
         F.lit(completed_at).alias("started_at"),

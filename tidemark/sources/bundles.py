@@ -79,6 +79,15 @@ def build_records(entries: DataFrame, entry: str = "entry") -> DataFrame:
     return spread(entries).withColumn("_r", build(F.col(entry))).select(*entries.columns, "_r.*")
 
 
+def updated_entries(entries: DataFrame, since: str, entry: str = "entry") -> DataFrame:
+    """Raw entries that an incremental collection asks for: updated at ``since`` or later; times compare as text.
+
+    The bound itself belongs to them, so what changed at the very time of the base comes again and is folded by the import.
+    """
+    official = F.from_json(entry, f"_meta struct<`{OFFICIAL_META}`: struct<updatedAt: string>>")["_meta"][OFFICIAL_META]
+    return entries.filter(official["updatedAt"] >= since)
+
+
 def unique_records(records: DataFrame) -> DataFrame:
     """Byte-identical duplicates collapsed; equal identity with other bytes fails the job."""
     bad = F.concat_ws("@", F.lit("conflicting duplicate records"), "server_identifier", "server_version")
