@@ -258,20 +258,56 @@ def check_page(limit: int, offset: int, top: int) -> None:
         raise ValueError("offset must not be negative")
 
 
+def matching(cat: Catalog, members: DataFrame, filters: Filters) -> DataFrame:
+    """Member versions that meet the filters: one semi-join for each condition on children, no child is counted."""
+    filters.check()
+    rows = members if filters.status is None else members.filter(F.col("registry_status") == filters.status)
+
+    def ids(children: DataFrame, column: str | None = None, value: str | None = None) -> DataFrame:
+        own = children if column is None else children.filter(F.col(column) == F.lit(value))
+        return own.select("server_version_id")
+
+    needed = []
+    if filters.transport is not None:
+        needed.append(ids(cat.packages, "transport", filters.transport).unionByName(ids(cat.remotes, "transport", filters.transport)))
+    if filters.package_registry is not None:
+        needed.append(ids(cat.packages, "registry_type", filters.package_registry))
+    if filters.repository_host is not None:
+        needed.append(ids(cat.repositories, "host", filters.repository_host.lower()))
+    if filters.remote_host is not None:
+        needed.append(ids(cat.remotes, "host", filters.remote_host.lower()))
+    needed += [ids(t) for wanted, t in ((filters.has_repository, cat.repositories), (filters.has_package, cat.packages), (filters.has_remote, cat.remotes)) if wanted]
+    for own in needed:
+        rows = rows.join(own, "server_version_id", "left_semi")
+    if filters.without_repository:
+        rows = rows.join(ids(cat.repositories), "server_version_id", "left_anti")
+    return rows
+
+
+PAGE_KEY = ("server_identifier", "server_version", "server_version_id")
+
+
 def list_versions(
-    cat: Catalog, members: DataFrame, filters: Filters = Filters(), limit: int = DEFAULT_LIST_LIMIT, offset: int = 0
+    cat: Catalog,
+    members: DataFrame,
+    filters: Filters = Filters(),
+    limit: int = DEFAULT_LIST_LIMIT,
+    offset: int = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """A page of member versions by identifier and version (bytewise)."""
+    """A page of member versions by identifier and version (bytewise).
+
+    ``after`` is the ``PAGE_KEY`` of the last row of the page before: the next page is sought behind it, so deep pages
+    cost what the first one does. The page is chosen first; only the children of its rows, ``limit`` at most, are counted.
+    """
     check_page(limit, offset, MAX_LIST_LIMIT)
-    filters.check()
-    rows = apply_filters(versions_with_facts(cat, members, child_facts(pruned(cat, members), filters)), filters)
-    return (
-        row_columns(rows, cat)
-        .select(*RESULT, "server_version_id")
-        .orderBy("server_identifier", "server_version", "server_version_id")
-        .offset(offset)
-        .limit(limit)
-    )
+    rows = matching(cat, members, filters)
+    if after is not None:
+        last = F.struct(*[F.lit(x).cast(rows.schema[c].dataType).alias(c) for c, x in zip(PAGE_KEY, after)])
+        rows = rows.filter(F.struct(*PAGE_KEY) > last)
+    page = F.broadcast(staged(rows.orderBy(*PAGE_KEY).offset(offset).limit(limit), "page"))
+    own = pruned(cat, page)
+    return row_columns(versions_with_facts(own, page, child_facts(own)), own).select(*RESULT, "server_version_id").orderBy(*PAGE_KEY)
 
 
 def match_order(query: str) -> list[Column]:

@@ -329,6 +329,23 @@ def list_versions(spark: SparkSession, sf: str) -> DataFrame:
     return explore.list_versions(cat, _members(spark, sf, cat), Filters(has_repository=True), 100, 30)
 
 
+@query(
+    "t1_list_after",
+    with_views(
+        f"SELECT {_RESULT} WHERE {_O} AND {_P} ORDER BY m.server_identifier, m.server_version, m.id LIMIT 200 OFFSET 100",
+        *CATALOG_VIEWS,
+        **YEAR_PAIR,
+        members=_MEMBERS,
+    ),
+)
+def list_after(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page, sought behind the last row of the first."""
+    cat = v.catalog(spark, sf)
+    members, wanted = _members(spark, sf, cat), Filters(has_repository=True, has_package=True)
+    first = explore.list_versions(cat, members, wanted, 100).collect()
+    return explore.list_versions(cat, members, wanted, 200, after=tuple(first[-1][c] for c in explore.PAGE_KEY) if first else None)
+
+
 @query(
     "t2_search_contains",
     with_views(

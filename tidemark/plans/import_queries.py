@@ -142,9 +142,10 @@ def search_documents(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN p_size % 5 = 0 THEN 'sse' END AS remote_type FROM part WHERE p_partkey = (SELECT max(p_partkey) FROM part WHERE p_size % 15 = 10)""",
 )
 def show_nested(spark: SparkSession, sf: str) -> DataFrame:
-    records = bundles.build_records(_entries(spark, sf)).withColumn("id", F.col("canonical_sha256"))
+    """The record of one identifier; entries of others are left out before records are built."""
     newest = table(spark, sf, "part").filter("p_size % 15 = 10").agg(F.max("p_partkey").cast("string").alias("k")).scalar()
-    mine = records.filter(F.col("server_identifier") == F.concat(F.lit("io.example/part-"), newest))
+    named = F.get_json_object("entry", "$.server.name") == F.concat(F.lit("io.example/part-"), newest)
+    mine = bundles.build_records(_entries(spark, sf).filter(named)).withColumn("id", F.col("canonical_sha256"))
     shown = explore.nested(mine)
     return shown.select(
         "server_identifier",
