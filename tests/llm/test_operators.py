@@ -3,13 +3,14 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from cases import BASE, DOCUMENTS, ITEM, LONG, SCHEMA, contaminated, frame, near_groups, plain_words, repeats
 
 from tidemark.llm import components, contamination, jaccard, language, licenses, mixing, quality, suffixes, tokens, urls, vectors
-from tidemark.llm.queries import RULES
+from tidemark.llm.queries import RULES, URL_SQL
 
 IDS = sorted([i for i, _, _ in DOCUMENTS], key=repr)
 
@@ -471,6 +472,19 @@ def test_projected_gradient_is_least_squares(spark):
 # 9 ------------------------------------------------------------------------------------------------
 
 
+LINKED = [
+    (20, "https://one.org/a", '<link rel="canonical" href="two?x=1&amp;y=2#z"><meta http-equiv="refresh" content="5;URL=&quot;/three&quot;">'),
+    (21, "https://one.org/two?x=1&y=2", '<link rel="shortcut" href="https://no.net/"><LINK HREF=//four.net/q REL=CANONICAL>'),
+    (22, "https://one.org/three#top", None),
+    (23, "https://FOUR.net/q", ""),
+    (24, "https://five.org/fr/", '<link rel="canonical" href="https://one.org/a">'),
+    (25, "https://six.org/x/y", '<link rel="canonical" href="?q">'),
+    (26, "https://six.org/x/y?q", '<link rel="canonical" href="#here"><link rel=canonical href="https://seven.com/de/">'),
+    (27, "https://seven.com/de/", '<link rel="canonical" href="https://example.com/de/0">'),
+    (None, "https://six.org/x/y", None),
+]
+
+
 def test_blocks_follow_redirects(spark):
     pages = [
         (1, "https://a.example.org/x", '<link href="https://b.net/y" rel="canonical">'),
@@ -507,6 +521,13 @@ def test_blocks_follow_redirects(spark):
         key=repr,
     )
     assert urls.verdicts(frame_.limit(0), RULES).collect() == []
+    con = duckdb.connect()  # the registered SQL follows the links of the pages as well
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [*pages, *LINKED])
+    both = frame_.unionByName(spark.createDataFrame(LINKED, frame_.schema))
+    got = rows(urls.verdicts(both, RULES), "page_id", "host", "path", "rule", "verdict")
+    assert got == sorted(con.execute(URL_SQL).fetchall(), key=repr)
+    assert sum(r[3] is None and r[4] == "block" for r in got) >= 6
 
 
 # 10 -----------------------------------------------------------------------------------------------

@@ -128,18 +128,53 @@ def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
-@registered(r"""
-WITH p AS (
-    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-h AS (
-    SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
-rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-best AS (
-    SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS verdict
-    FROM h JOIN rules r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY page_id)
-SELECT h.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN best USING (page_id)
-""")
+def _host_sql(url: str) -> str:
+    return LOWER.format(f"regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1)")
+
+
+def _address_sql(url: str) -> str:
+    tail = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    return f"CASE WHEN {_host_sql(url)} <> '' THEN {_host_sql(url)} || CASE WHEN starts_with({tail}, '/') THEN '' ELSE '/' END || {tail} END"
+
+
+def _attribute_sql(tag: str, name: str, stop: str) -> str:
+    pattern = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>{stop}]+))"""
+    groups = ", ".join(f"regexp_extract({tag}, '{pattern}', {k})" for k in (1, 2, 3))
+    return f"trim(concat({groups}))"
+
+
+#: Links are read from the pages as the operator's docstring says, and followed in both directions without end.
+URL_SQL = rf"""
+WITH RECURSIVE rules(action, host, path) AS (VALUES {", ".join(str(r) for r in RULES)}),
+named AS (SELECT url, html, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE {_address_sql("url")} IS NOT NULL),
+tags AS (
+    SELECT * EXCLUDE (html, tag), {_attribute_sql("tag", "href", "")} AS link FROM (
+        SELECT *, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>')) AS tag FROM named)
+    UNION ALL SELECT * EXCLUDE (html, tag), {_attribute_sql("replace(tag, '&quot;', chr(34))", "url", ";")} FROM (
+        SELECT *, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>')) AS tag FROM named)),
+links AS (SELECT * REPLACE (replace(link, '&amp;', '&') AS link) FROM tags),
+targets AS (SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
+    WHEN starts_with(link, '/') THEN site || link WHEN starts_with(link, '?') THEN site || path || link
+    WHEN link <> '' AND NOT starts_with(link, '#') THEN site || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)?') END || link END AS target FROM links),
+pairs AS (SELECT {_address_sql("url")} AS a, {_address_sql("target")} AS b FROM targets),
+edges AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+nodes AS (SELECT DISTINCT a AS address, regexp_extract(a, '^[^/?#]*') AS host, regexp_extract(a, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM edges),
+judged AS (SELECT page_id, {_address_sql("url")} AS address, coalesce({_host_sql("url")}, '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+asked AS (SELECT host, path FROM judged UNION SELECT host, path FROM nodes),
+best AS (SELECT q.host, q.path, arg_max(r.host || r.path, length(r.host || r.path) * 2 + (action = 'allow')::INT) AS rule,
+        arg_max(action, length(r.host || r.path) * 2 + (action = 'allow')::INT) AS action
+    FROM asked q JOIN rules r ON (q.host = r.host OR ends_with(q.host, '.' || r.host)) AND starts_with(q.path, r.path) GROUP BY q.host, q.path),
+blocking AS (SELECT address FROM nodes JOIN best USING (host, path) WHERE action = 'block'),
+blocked AS (SELECT DISTINCT r.a AS address FROM reach r JOIN blocking k ON k.address = r.b)
+SELECT page_id, j.host, j.path, rule, coalesce(action, CASE WHEN blocked.address IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN best ON best.host = j.host AND best.path = j.path LEFT JOIN blocked ON blocked.address = j.address
+"""
+
+
+@registered(URL_SQL)
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"), RULES)
 
