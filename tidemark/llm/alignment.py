@@ -31,6 +31,8 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -224,7 +226,7 @@ class Aligned:
         for encoder in (a, b):
             found = encoder.encode(flat_parts)
             counts = np.array([len(f) for f in found], np.int64)
-            self.ids.append(np.fromiter((k for f in found for k in f), np.int64, int(counts.sum())))
+            self.ids.append(np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())))
             self.row.append(np.repeat(number, counts).astype(np.int64))
         kept = self._given_back(raw)
         for v in (0, 1):
@@ -283,16 +285,21 @@ class Aligned:
         """The row of each group."""
         return np.searchsorted(self.first, self.bound - 1, side="right") - 1
 
+    @staticmethod
+    @cache
+    def _words(size: int) -> np.ndarray:
+        """Each id in decimal with what follows it: a comma, a bar, a semicolon."""
+        return np.array([[f"{k}{end}" for k in range(size)] for end in ",|;"], object)
+
     def spelled(self) -> list[str]:
         """The groups of each row as ``a1,a2|b1;a3|b2,b3``."""
         last = [np.r_[g[1:] != g[:-1], True] if len(g) else np.zeros(0, bool) for g in self.group]
         row = np.concatenate(self.row)
         side = np.repeat([0, 1], [len(i) for i in self.ids])
         order = np.argsort(np.concatenate(self.group) * 2 + side, kind="stable")
-        words = np.array([str(k) for k in range(max(len(v.size) for v in self.vocabularies))], object)
-        ends = np.array([",", "|", ";"], object)
+        words = self._words(max(len(v.size) for v in self.vocabularies))
         mark = np.concatenate([np.where(last[0], 1, 0), np.where(last[1], 2, 0)])
-        text = (words[np.concatenate(self.ids)[order]] + ends[mark[order]]).tolist()
+        text = words[mark[order], np.concatenate(self.ids)[order]].tolist()
         bounds = np.searchsorted(row[order], np.arange(self.rows + 1)).tolist()
         return ["".join(text[low:high])[:-1] for low, high in zip(bounds[:-1], bounds[1:])]
 
