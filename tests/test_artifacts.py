@@ -200,6 +200,39 @@ def test_bad_rule_documents(spoil):
         parse_rules(doc)
 
 
+def test_rules_of_a_file(spark, tmp_path):
+    import json
+
+    from tidemark.sources import rules
+
+    place = tmp_path / "rules.json"
+    place.write_text(json.dumps(default_document()))
+    assert rules.load_rules(spark, f"file://{place}") == default_rules()
+    for content in (b"{", b"[]", b"\xff", b" " * (rules.MAX_RULE_BYTES + 1)):
+        place.write_bytes(content)
+        with pytest.raises(InvalidRules):
+            rules.load_rules(spark, f"file://{place}")
+    (tmp_path / "more.json").write_text("{}")
+    with pytest.raises(InvalidRules, match="2 files"):
+        rules.load_rules(spark, f"file://{tmp_path}/*.json")
+
+
+def test_all_problems_of_a_document_are_named():
+    from tidemark.sources.rules import rule_problems
+
+    doc = default_document()
+    doc["risk_api_rules"][2]["severity"] = "x"
+    doc["risk_api_rules"][1]["rule_id"] = "file-type:native"
+    doc["lifecycle_rules"] = []
+    doc["file_type_rules"][1]["file_types"] = ["wasm", ""]
+    del doc["engine_options"], doc["ruleset_version"], doc["node_builtin_defaults"]["category"]
+    assert {where for where, _ in rule_problems(doc)} == {
+        "ruleset_version", "engine_options", "node_builtin_defaults.category", "risk_api_rules[2].severity",
+        "lifecycle_rules", "file_type_rules[0].rule_id", "file_type_rules[1].file_types",
+    }
+    assert rule_problems(default_document()) == [] and rule_problems(None)
+
+
 def test_default_rule_ids():
     rules = default_rules()
     assert len(rules.line_rules) == 34 and len(rules.lifecycle["severities"]) == 6 and len(rules.file_types) == 4

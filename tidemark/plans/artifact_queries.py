@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 import tarfile
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import SEVERITIES
 from ..operators import artifacts, detectors, summaries
 from ..session import scratch, staged
 from ..sinks.publish import export_details
 from ..sources import archives
-from ..sources.rules import RuleSet, default_document, default_rules, parse_rules
+from ..sources.rules import RuleSet, default_document, default_rules, load_rules, parse_rules, rule_problems, rule_table
 from . import views as v
 from .scalar_queries import _EXT_SQL, _TYPES, document_path
 from .views import query, table, with_views
@@ -461,6 +463,45 @@ def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     return artifacts.contract_violations(rows).select("id", "l_partkey", "problem")
 
 
+def _brand_document(spark: SparkSession, sf: str, symbol: Column) -> DataFrame:
+    """(value) of one row: the built-in document with a rule for each brand instead of its own for modules. There are few brands."""
+    brands = table(spark, sf, "part").groupBy("p_brand").agg(F.max("p_size").alias("size"))
+    severity = F.element_at(F.array(*[F.lit(x) for x in SEVERITIES]), (1 + F.length("p_brand") % len(SEVERITIES)).cast("int"))
+    rule = F.struct(symbol.alias("symbol"), F.array(F.lower("p_brand")).alias("tokens"), severity.alias("severity"))
+    rules = brands.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("p_brand", rule.alias("r")))), lambda x: x["r"])).alias("rules"))
+    rest = json.dumps({k: x for k, x in default_document().items() if k != "node_builtin_rules"})
+    return rules.select(F.concat(F.lit(rest[:-1] + ', "node_builtin_rules": '), "rules", F.lit("}")).alias("value"))
+
+
+def _brand_severity() -> str:
+    return f"[{', '.join(repr(x) for x in SEVERITIES)}][1 + length(p_brand) % {len(SEVERITIES)}]"
+
+
+@query(
+    "s9_loaded_rules",
+    f"""SELECT 'node-builtin:' || p_brand AS rule_id, p_brand AS symbol, {_brand_severity()} AS severity, 'Node built-in import: ' || p_brand AS title
+    FROM (SELECT DISTINCT p_brand FROM part)""",
+)
+def loaded_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule document written as a file, loaded, and its line rules as a table."""
+    path = scratch(spark, "rules")
+    _brand_document(spark, sf, F.col("p_brand")).coalesce(1).write.text(path)
+    loaded = load_rules(spark, f"{path}/part-*")
+    return rule_table(spark, loaded).filter("detector = 'quoted'").select("rule_id", "symbol", "severity", "title")
+
+
+@query(
+    "v17_rule_problems",
+    """WITH b AS (SELECT row_number() OVER (ORDER BY p_brand) - 1 AS k, left(p_brand, 7) AS symbol FROM (SELECT DISTINCT p_brand FROM part))
+    SELECT 'node_builtin_rules[' || k || '].symbol' AS place, symbol || ' stands twice' AS problem FROM b
+    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY k) > 1""",
+)
+def document_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """All problems of a document whose rules share symbols."""
+    doc = json.loads(_brand_document(spark, sf, F.substring("p_brand", 1, 7)).first()[0])  # one document of bounded size
+    return spark.createDataFrame(rule_problems(doc), "place string, problem string")
+
+
 _RESULTS = """SELECT id AS package_id, CASE WHEN position = 2 THEN upper(replace(identifier, '-', '__')) ELSE identifier END AS package_name,
 CASE WHEN position = 3 THEN 'v' || replace(version, '.0', '') WHEN position = 5 THEN version || '.1' ELSE version END AS package_version,
 CASE WHEN position = 4 THEN 'r2' ELSE 'r1' END AS ruleset_version FROM packages"""
