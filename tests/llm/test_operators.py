@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import duckdb
 import numpy as np
@@ -45,6 +46,25 @@ def test_language_of_mixed_and_empty_texts(spark, docs, empty):
     assert language.languages(empty).collect() == []
 
 
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    texts = [(k % 4, f"text {k} of these words", "en" if k % 4 < 2 else "de") for k in range(200)] + [(None, "no id at all", "en")]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)] + [(None, 1)], "doc_id long, quality int")
+    known = quality.learnable(labels)
+    got = {(r.doc_id, r.text, r.label) for r in quality.sample(docs, known).collect()}
+    assert got == {(r.doc_id, min(t for i, t, _ in texts if i == r.doc_id), r.label) for r in known.collect()}
+    held = []
+    monkeypatch.setattr(language, "fit", lambda texts, labels: held.append((texts, labels)))
+    language.trained(docs)
+    assert len(held[0][0]) == len({i for i, _, _ in texts if i is not None and zlib.crc32(str(i).encode()) % 3 != 1})
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    language.trained(docs.unionByName(frame(spark, [(9, "más", "es")])))
+    usable = [lang for i, _, lang in texts if i is not None and zlib.crc32(str(i).encode()) % 3 != 1]
+    assert set(held[1][1]) == {max(sorted(set(usable)), key=usable.count)}
+    shown = {r[0]: r[1] for r in docs.select("doc_id", quality.is_held_out()).distinct().collect()}
+    assert shown == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in (0, 1, 2, 3, None)}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     sizes = [5, 0, 7, 1, 6]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .flat import flat, pieces, table
 from .quality import is_held_out
 
-PER_LANGUAGE, MAX_TRAIN_BYTES = 300, 1 << 16
+PER_LANGUAGE, MAX_TRAIN_BYTES, MAX_LANGUAGES = 300, 1 << 16, 256
 BUCKETS = 1 << 15
 SWITCH = 8.0
 CAP = 12.0
@@ -153,11 +153,18 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def trained(documents: DataFrame, per_language: int = PER_LANGUAGE, max_train_bytes: int = MAX_TRAIN_BYTES) -> Model:
-    known = documents.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """A model of the ``MAX_LANGUAGES`` most frequent languages, from ``per_language`` documents of each at most.
+
+    Of several rows with one doc_id the smallest text is taken, so the bound holds for rows too.
+    """
+    known = documents.where(F.col("doc_id").isNotNull() & ~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
+    known = known.join(F.broadcast(frequent), "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang", F.row_number().over(order).alias("nth")).where(F.col("nth") <= per_language)
     texts = documents.where(F.octet_length("text") <= max_train_bytes).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen.select("doc_id", F.col("lang").alias("label"))), "doc_id").collect()  # per_language of each
+    rows = texts.join(F.broadcast(chosen.select("doc_id", F.col("lang").alias("label"))), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()  # per_language of each
     rows = sorted(rows, key=lambda r: (r.label, r.doc_id, r.text))
     return fit([r.text for r in rows], [r.label for r in rows])
 

@@ -150,22 +150,26 @@ def fit(texts: list[bytes], labels: list[int], share: float | None = None, epoch
 
 
 def is_held_out(doc_id="doc_id"):
-    """Whether a row belongs to the third that nothing is learned from; a null id belongs to it too."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(True))
+    """Whether a row belongs to the third that nothing is learned from; a null id has no remainder, so it does not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def learnable(labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, label) of the documents that may be learned from."""
-    known = labels.where(~is_held_out() & F.col(label).isin(0, 1)).groupBy("doc_id")
+    known = labels.where(F.col("doc_id").isNotNull() & ~is_held_out() & F.col(label).isin(0, 1)).groupBy("doc_id")
     return known.agg(F.min(label).alias("label"), F.max(label).alias("high")).where("label = high").select("doc_id", "label")
 
 
 def sample(documents: DataFrame, known: DataFrame, per_class: int = PER_CLASS, max_train_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
-    """(doc_id, text, label): up to ``per_class`` documents of each class, chosen by the hash of their id."""
+    """(doc_id, text, label): up to ``per_class`` documents of each class, chosen by the hash of their id.
+
+    Of several rows with one doc_id the smallest text is taken, so the bound holds for rows too.
+    """
     pick = lambda value: known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     chosen = pick(0).unionByName(pick(1))
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_train_bytes)
-    return texts.join(F.broadcast(chosen), "doc_id")  # two classes of per_class rows at most
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # two classes of per_class rows at most
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def trained(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Network:
