@@ -555,6 +555,44 @@ def source_windows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _window_sql(limit: int) -> str:
+    """Windows of all line findings of pages and documents, step by step over the bytes of each text."""
+    symbols = ", ".join(f"('{r.rule_id}', '{r.symbol.replace(chr(39), chr(39) * 2)}')" for r in page_rules().line_rules)
+    continues = "hex(b[{0} + 1:{0} + 1]) BETWEEN '80' AND 'BF'"
+
+    def stepped(at: str, step: int) -> str:
+        places = [f"{at} + {k * step}" for k in range(4)]
+        return "CASE " + " ".join(f"WHEN NOT {continues.format(f'({x})')} THEN {x}" for x in places[:3]) + f" ELSE {places[3]} END"
+
+    return f"""WITH l AS ({_LINES}),
+    f AS ({" UNION ALL ".join(f"SELECT kind, id, line_number, '{i}' AS rule_id FROM l WHERE {c}" for i, c in _CONDITIONS.items())}),
+    texts AS (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'doc', doc_id, text FROM documents),
+    s(rule_id, symbol) AS (VALUES {symbols}),
+    a AS (SELECT f.*, symbol, encode(text) AS b, strlen(text) AS total, string_split(text, chr(10)) AS parts FROM f JOIN texts USING (kind, id) JOIN s USING (rule_id)),
+    c AS (SELECT *, CASE WHEN line_number > 1 THEN least(strlen(array_to_string(parts[1:line_number - 1], chr(10))) + 1, total) ELSE 0 END AS low,
+        strlen(array_to_string(parts[1:line_number], chr(10))) AS high FROM a),
+    d AS (SELECT *, decode(b[low + 1:high]) AS body FROM c),
+    e AS (SELECT *, CASE WHEN instr(body, symbol) > 0 THEN low + strlen(left(body, instr(body, symbol) - 1)) + strlen(symbol) // 2 ELSE low + (high - low) // 2 END AS middle FROM d),
+    g AS (SELECT *, CASE WHEN total <= {limit} THEN 0 WHEN greatest(0, middle - {limit // 2}) + {limit} >= total THEN total - {limit} ELSE greatest(0, middle - {limit // 2}) END AS from_,
+        CASE WHEN total <= {limit} OR greatest(0, middle - {limit // 2}) + {limit} >= total THEN total ELSE greatest(0, middle - {limit // 2}) + {limit} END AS to_ FROM e),
+    h AS (SELECT *, CASE WHEN from_ > 0 THEN {stepped("from_", 1)} ELSE from_ END AS begin_, CASE WHEN to_ < total THEN {stepped("to_", -1)} ELSE to_ END AS end_ FROM g)
+    SELECT kind, id, rule_id, line_number, begin_ AS display_start, end_ AS display_end, 1 + len(string_split(decode(b[1:begin_]), chr(10))) - 1 AS start_line,
+        begin_ > 0 AS truncated_before, end_ < total AS truncated_after, sha256(decode(b[begin_ + 1:end_])) AS shown FROM h"""
+
+
+@query("b18_window_offsets", _window_sql(600))
+def window_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Offsets, lines and texts of the windows of all findings, of documents as well as of pages."""
+    texts = _texts(spark, sf).select("kind", "id", F.encode("text", "UTF-8").alias("content"))
+    found = _page_findings(spark, sf).select("kind", "id", "line_number", "symbol", "rule_id").join(texts, ["kind", "id"])
+    window = artifacts.source_window(F.col("content"), F.col("line_number"), F.col("symbol"), F.lit(None).cast("string"), 600)
+    return found.withColumn("w", window).select(
+        "kind", "id", "rule_id", F.col("line_number").cast("bigint").alias("line_number"),
+        *[F.col(f"w.{c}").cast("bigint").alias(c) for c in ("display_start", "display_end", "start_line")],
+        "w.truncated_before", "w.truncated_after", F.sha2("w.content", 256).alias("shown"),
+    )
+
+
 @query(
     "j9_finding_sources",
     f"""WITH f AS ({_FILES}) SELECT path AS subject_path, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS byte_size, CAST(NULL AS VARCHAR) AS error,
