@@ -1,8 +1,9 @@
 """The registered queries against their SQL, and the pipeline stage by stage."""
 
 import pytest
-from cases import near_groups, repeats
+from cases import DOCUMENTS, frame, near_groups, repeats
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import contamination, quality
@@ -15,11 +16,34 @@ def test_query_matches_sql(spark, sf, name):
     assert problem is None, problem
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_operators_and_the_pipeline_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names}
+
+
+#: Names that the operators give to columns of their own, and some that they might.
+WORKING = """
+_id _tag _kept _tokens _rate _domain _membership _draws _text _file _run _key tag twin copies spans marks hits row rows id none each nth
+stays own name hit items pass round block limit score score_ label high predicted held_out hi lo n a b c rep comp component component_id
+n_shingles tokens_ size token blocks sets with other second root node low u v words buckets k weight power loss p0 s0 e0 z0 earlier
+text_tag added doc found place digest keep_id keep_place known historical shard shards part whole string runs at removed n_bytes
+""".split()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_carry_columns_of_any_name(spark, sf, name):
+    given = [r for r in DOCUMENTS if r[0] is not None and r[0] != 19]
+    docs = frame(spark, given).drop("score", "tokens", "tag", "comp")
+    for column in WORKING:
+        docs = docs.withColumn(column, F.concat(F.lit(f"{column} of "), F.col("doc_id").cast("string")))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, sf)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    kept = out.collect()
+    assert kept and len({r.doc_id for r in kept}) == len(kept)
+    assert all(r[c] == f"{c} of {r.doc_id}" for r in kept for c in WORKING)
 
 
 def test_stages_of_the_pipeline(spark, sf):
