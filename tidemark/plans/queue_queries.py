@@ -474,6 +474,10 @@ def verified_runs(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def resolved_packages(spark: SparkSession, sf: str) -> DataFrame:
+    return _resolved(spark, sf).drop("package_id")
+
+
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
     versions = v.versions(spark, sf)
     requests = (
         table(spark, sf, "lineitem")
@@ -482,8 +486,25 @@ def resolved_packages(spark: SparkSession, sf: str) -> DataFrame:
         .select("server_identifier", "server_version", F.concat(F.lit("pkg-"), F.col("l_suppkey").cast("string")).alias("package_identifier"))
         .distinct()
     )
-    rows = workqueue.resolve_packages(requests, v.packages(spark, sf), versions)
-    return rows.drop("package_id")
+    return workqueue.resolve_packages(requests, v.packages(spark, sf), versions)
+
+
+@query(
+    "j10_package_ids",
+    with_views(
+        """SELECT server_identifier, server_version, identifier AS package_identifier, arg_min(pid, (position, pid)) AS package_id FROM named
+        WHERE (server_identifier, server_version, identifier) IN (SELECT (server_identifier, server_version, package_identifier) FROM requests)
+        GROUP BY 1, 2, 3 HAVING count(DISTINCT (registry_type, coalesce(version, '-'))) = 1 AND coalesce(min(version), '') <> ''""",
+        "versions",
+        "packages",
+        named="SELECT server_identifier, server_version, identifier, registry_type, version, position, p.id AS pid FROM packages p JOIN versions ON versions.id = server_version_id",
+        requests="""SELECT DISTINCT server_identifier, server_version, 'pkg-' || CAST(l_suppkey AS VARCHAR) AS package_identifier
+          FROM lineitem JOIN versions ON id = l_partkey WHERE l_quantity >= 30""",
+    ),
+)
+def package_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact package of every request that has one."""
+    return _resolved(spark, sf).filter("status = 'resolved'").drop("status")
 
 
 # --- reviews ---------------------------------------------------------------------------------
