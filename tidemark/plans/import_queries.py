@@ -92,6 +92,27 @@ def canonical_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "v9_record_problems",
+    """SELECT p_partkey AS line_no, CASE p_partkey % 7 WHEN 0 THEN 'canonical record digest mismatch' WHEN 1 THEN 'canonical record is not canonical JSON'
+    WHEN 2 THEN 'canonical record is empty' WHEN 3 THEN 'canonical record must be an object' ELSE 'invalid package declaration' END AS problem
+    FROM part WHERE p_partkey % 7 < 4 OR (p_partkey % 7 = 4 AND p_size % 3 <> 0)""",
+)
+def record_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical lines of which some are spoiled: another version, a blank in front, nothing, an array, a package without a name."""
+    kind, line = F.col("position") % 7, F.col("canonical_json")
+    spoiled = (
+        F.when(kind == 0, F.replace(line, F.lit('"server_version":"'), F.lit('"server_version":"9')))
+        .when(kind == 1, F.concat(F.lit(" "), line))
+        .when(kind == 2, "")
+        .when(kind == 3, "[1]")
+        .when(kind == 4, F.replace(line, F.concat(F.lit('"identifier":"pkg-'), F.col("position").cast("string")), F.lit('"identifier":"')))
+        .otherwise(line)
+    )
+    lines = bundles.build_records(_entries(spark, sf)).select(F.col("position").alias("line_no"), spoiled.alias("value"))
+    return validation.record_problems(bundles.parse_canonical(lines)).select("line_no", "problem")
+
+
 def _child_sql(kind: str) -> str:
     return {
         "repositories": "SELECT 'repositories' AS kind, 'io.example/part-' || p_partkey AS owner, 0 AS position, 'github.com/o/' || p_partkey AS value FROM part",
