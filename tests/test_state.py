@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import drift, explore, imports, ordering, reviews, snapshots, summaries, textindex, validation, workqueue
 from tidemark.session import scratch
 from tidemark.sinks import publish
-from tidemark.sinks.bundles import write_bundle
+from tidemark.plans.bundle_fixture import write_bundle
 from tidemark.sources import bundles, lines, releases
 from tidemark.streaming import jobs
 

@@ -1,4 +1,8 @@
-"""Writing snapshot bundles: raw pages, canonical records, page index, manifest, marker."""
+"""Fixture of the import queries and tests: a snapshot bundle made from table rows.
+
+A bundle is what a collector leaves. Here its pages, cursors, response facts and times are made up, so that reading,
+checking and importing it can be compared with SQL over the same rows. No operator uses this.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.urls import api_url
 from ..operators.validation import snapshot_digest
 from ..session import staged
+from ..sinks.publish import _path, write_canonical
 from ..sources.bundles import build_records, read_artifacts, unique_records
-from .publish import _path, write_canonical
 
 
 def write_pages(entries: DataFrame, root: str) -> None:

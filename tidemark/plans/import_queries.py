@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import explore, imports, validation
 from ..schemas import OFFICIAL_META
 from ..session import scratch, staged
-from ..sinks.bundles import write_bundle, write_pages
 from ..sinks.publish import catalog_tables, write_canonical
 from ..sources import bundles
+from .bundle_fixture import write_bundle, write_pages
 from .views import query, table
 
 PAGE_SIZE = 30
