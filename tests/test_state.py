@@ -338,7 +338,7 @@ def test_increments_need_their_base(spark):
     folder, root = scratch(spark, "arrive"), scratch(spark, "cat")
     with pytest.raises(imports.InvalidBundle, match="no snapshot to start from"):
         imports.baseline(spark, root)
-    entries = spark.createDataFrame([(1, i, e) for i, e in enumerate(three())], "page bigint, position bigint, entry string")
+    entries = spark.createDataFrame([(1, i, e) for i, e in enumerate(three("changed"))], "page bigint, position bigint, entry string")
     increment = lambda name, since, digest: write_bundle(entries, f"{folder}/{name}", "https://registry.example", "2024-01-05T00:00:00Z", since, digest)
     with pytest.raises(imports.InvalidBundle, match="not in the catalog"):
         imports.import_bundle(spark, increment("a", "2024-01-01T00:00:00Z", "0" * 64), root, "2024-02-01T00:00:00Z", check=False)
