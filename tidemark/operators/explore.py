@@ -425,8 +425,11 @@ def search_ranked(
     members: DataFrame | None = None,
     cat: Catalog | None = None,
     filters: Filters = Filters(),
+    ties: tuple[str, ...] = ("server_identifier", "server_version"),
 ) -> DataFrame:
-    """Full-text search: exact name, name prefix, score, then identifier and version.
+    """Full-text search: exact name, name prefix, score, then ``ties``, by default identifier and version.
+
+    Members that are equal in all of it go by their id, so that a page is the same in every run.
 
     With ``members`` (a snapshot's versions) and ``cat`` only member versions that meet ``filters`` are
     ranked, by the statistics of the whole collection, and come with their repository and child counts;
@@ -446,7 +449,7 @@ def search_ranked(
         fitting = row_columns(fitting.select("server_version_id", "registry_status", "packages", "remotes"), cat)
         ranked = ranked.join(fitting, "server_version_id")
     return (
-        ranked.orderBy(*match_order(query), F.desc("score"), "server_identifier", "server_version")
+        ranked.orderBy(*match_order(query), F.desc("score"), *ties, *(["server_version_id"] if members is not None else []))
         .offset(offset)
         .limit(limit)
     )

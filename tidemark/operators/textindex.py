@@ -115,8 +115,9 @@ def search_index(
     members: DataFrame | None = None,
     cat: explore.Catalog | None = None,
     filters: explore.Filters = explore.Filters(),
+    ties: tuple[str, ...] = NAMES,
 ) -> DataFrame:
-    """As ``explore.search_ranked``, from the stored index: exact name, name prefix, score, identifier and version.
+    """As ``explore.search_ranked``, from the stored index: exact name, name prefix, score, ``ties`` and the id.
 
     Returns (doc, the names, score); with ``members`` and ``cat`` also the facts of the member versions, whose id is ``doc``.
     """
@@ -132,7 +133,7 @@ def search_index(
         fitting = explore.row_columns(explore.apply_filters(facts, filters).select("server_version_id", "registry_status", "packages", "remotes"), cat)
         ranked = ranked.join(fitting.withColumnRenamed("server_version_id", "doc"), "doc")
     return (
-        ranked.orderBy(*explore.match_order(query), F.desc("score"), "server_identifier", "server_version")
+        ranked.orderBy(*explore.match_order(query), F.desc("score"), *ties, "doc")
         .offset(offset)
         .limit(limit)
     )
