@@ -586,14 +586,17 @@ def _release_files(spark: SparkSession, sf: str) -> DataFrame:
     wheel = F.col("l_returnflag") == "R"
     ending = F.when(wheel, ".whl").when(F.col("l_linestatus") == "F", ".tar.gz").otherwise(".zip")
     name = F.concat(F.lit("f"), _s("l_linenumber"), F.lit("-"), _s("l_partkey"), ending)
-    return table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem")
+    # a line number may come again in an order, with the same part: the rest of the line stands for the content
+    content = F.concat_ws("/", name, *[_s(c) for c in lines.columns if c not in ("l_linenumber", "l_partkey")])
+    return lines.select(
         F.col("l_orderkey").alias("release"),
         F.lit("Some.Name").alias("name"),
         F.lit("1.0").alias("version"),
         F.when(wheel, "bdist_wheel").otherwise("sdist").alias("package_type"),
         name.alias("filename"),
         F.concat(F.lit("https://files.example/"), name).alias("url"),
-        F.sha2(name, 256).alias("sha256"),
+        F.sha2(content, 256).alias("sha256"),
         F.lit(10).cast("bigint").alias("size"),
         (F.col("l_discount") > 0.06).alias("yanked"),
     )

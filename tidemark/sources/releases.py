@@ -138,20 +138,21 @@ def pypi_candidates(files: DataFrame, release: list[str], name: str, version: st
 def select_sdist(files: DataFrame, release: list[str], name: str, version: str) -> DataFrame:
     """The one tar.gz source distribution of each release, or why there is none.
 
-    Grouping folds a release to counts and one struct, whatever its number of files.
+    Grouping folds a release to counts and one value of each column, whatever its number of files; where there is
+    one file these are its own, and a column that is not asked for is not shuffled.
     """
     usable = (~F.col("yanked")) & (archive_format("package_type", "filename") == "tar_gzip") & (
         F.col("package_type") == "sdist"
     )
     normalized = text.normalize_project_name(F.col(name))
     problem = checks.descriptor_error(normalized, version, "filename", "url", "sha256", "size")
-    picked = F.when(F.coalesce(usable, F.lit(False)), F.struct("filename", "url", "sha256", "size"))
+    picked = F.coalesce(usable, F.lit(False))
     return (
         files.groupBy(*release)
         .agg(
-            F.count(picked).alias("_n"),
-            F.min(picked).alias("file"),
-            F.min(F.when(picked.isNotNull(), problem)).alias("_problem"),
+            F.count_if(picked).alias("_n"),
+            *[F.min(F.when(picked, F.col(c))).alias(f"_{c}") for c in ("filename", "sha256", "size")],
+            F.min(F.when(picked, problem)).alias("_problem"),
         )
         .select(
             *release,
@@ -165,8 +166,8 @@ def select_sdist(files: DataFrame, release: list[str], name: str, version: str)
                 "PyPI release has no supported non-yanked tar-gzip source distribution",
             )
             .alias("error"),
-            F.when(F.col("_n") == 1, F.col("file.filename")).alias("filename"),
-            F.when(F.col("_n") == 1, F.col("file.sha256")).alias("sha256"),
-            F.when(F.col("_n") == 1, F.col("file.size")).alias("size"),
+            F.when(F.col("_n") == 1, F.col("_filename")).alias("filename"),
+            F.when(F.col("_n") == 1, F.col("_sha256")).alias("sha256"),
+            F.when(F.col("_n") == 1, F.col("_size")).alias("size"),
         )
     )
