@@ -126,13 +126,11 @@ def rule_definitions(findings: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per (ruleset, rule); other metadata for a rule inside a ruleset fails the job."""
     versions = runs.select(F.col("id").alias("analysis_run_id"), "ruleset_version")
     meta = F.struct(*METADATA)
-    # Occurrences fold by run before they meet the run table.
-    per_run = findings.groupBy("analysis_run_id", "rule_id").agg(F.min(meta).alias("lo"), F.max(meta).alias("hi"))
-    folded = (
-        per_run.join(versions, "analysis_run_id")
-        .groupBy("ruleset_version", "rule_id")
-        .agg(F.min("lo").alias("m"), F.max("hi").alias("last"))
-    )
+    # Occurrences fold by run before they meet the run table. Distinct tuples are hashed; the least and the greatest
+    # tuple of a run would sort every occurrence, since texts have no fixed place in a hash aggregation.
+    per_run = findings.select("analysis_run_id", "rule_id", *METADATA).distinct()
+    variants = per_run.join(versions, "analysis_run_id").select("ruleset_version", "rule_id", *METADATA).distinct()
+    folded = variants.groupBy("ruleset_version", "rule_id").agg(F.min(meta).alias("m"), F.max(meta).alias("last"))
     problem = F.concat_ws(" ", F.lit("rule metadata changed within a ruleset:"), "ruleset_version", "rule_id")
     return folded.filter(
         F.when(F.col("m") != F.col("last"), F.raise_error(problem)).otherwise(F.lit(True))
