@@ -81,11 +81,12 @@ def keyed_drift_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _table_stream(spark: SparkSession, sf: str, name: str, files: int) -> DataFrame:
-    """A table as a stream of several batches: its rows dealt to files, one file to a batch."""
+    """A table as a stream of several batches: its rows dealt to files, to each batch as many as its share of the scan has splits."""
     path = scratch(spark, f"{name}-stream")
     source = table(spark, sf, name)
-    source.repartition(files).write.parquet(path)
-    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    share = -(-source.rdd.getNumPartitions() // files)
+    source.repartition(files * share).write.parquet(path)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", share).parquet(path)
 
 
 @query("i4_streamed_summaries", ORACLES["a7_i10_run_summaries"])
