@@ -14,10 +14,11 @@ from ..operators.validation import snapshot_digest
 from ..session import staged
 from ..sinks.publish import _path, write_canonical
 from ..sources.bundles import build_records, read_artifacts, unique_records
+from ..sources.files import write_files
 
 
 def write_pages(entries: DataFrame, root: str) -> None:
-    """Raw pages from ``(page, position, entry)``: one folder ``page=N`` with one document each.
+    """Raw pages from ``(page, position, entry)``: one file ``page=N`` with one document each.
 
     A page is one bounded response, so its entries may be joined in one group; a page names the
     next one unless it is the last.
@@ -27,7 +28,7 @@ def write_pages(entries: DataFrame, root: str) -> None:
     pages = entries.groupBy("page").agg(items.alias("items"))
     cursor = F.when(F.col("page") < last, F.concat(F.lit('"c/'), F.col("page").cast("string"), F.lit('"'))).otherwise("null")
     body = F.concat(F.lit('{"metadata":{"nextCursor":'), cursor, F.lit('},"servers":['), "items", F.lit("]}"))
-    pages.select("page", body.alias("value")).write.partitionBy("page").text(f"{root}/raw")
+    write_files(pages.select(F.concat(F.lit("page="), F.col("page").cast("string")).alias("name"), body.alias("body")), f"{root}/raw")
 
 
 def write_bundle(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks, documents, urls
 from ..schemas import CANONICAL_RECORD, MANIFEST, OFFICIAL_META, PAGE, PAGE_INDEX
-from ..session import spread
+from ..session import dealt
 from .files import file_digests
 from .lines import number_lines, read_lines
 
@@ -53,8 +53,9 @@ def read_pages(spark: SparkSession, bundle: str) -> DataFrame:
 
     A page is one bounded response (8 MiB at most), so a whole file per row is safe.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").text(f"{bundle}/raw/page[-=]*", wholetext=True)
-    raw = whole.select(
+    # one listing of the folder instead of one for each page
+    whole = spark.read.option("recursiveFileLookup", "true").text(f"{bundle}/raw", wholetext=True)
+    raw = whole.where(F.col("_metadata.file_path").rlike(r"/raw/page[-=][^/]*(?:/[^/]*)?\z")).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"/raw/page[-=]0*([0-9]+)", 1).cast("bigint").alias("page"),
         F.col("value").alias("body"),
     )
@@ -76,7 +77,7 @@ def page_entries(pages: DataFrame) -> DataFrame:
 def build_records(entries: DataFrame, entry: str = "entry") -> DataFrame:
     """Canonical record of each raw entry, with identity, digest and stable time, or ``error``."""
     build = documents.record_builder(REGISTRY_NAME, OFFICIAL_META)
-    return spread(entries).withColumn("_r", build(F.col(entry))).select(*entries.columns, "_r.*")
+    return dealt(entries).withColumn("_r", build(F.col(entry))).select(*entries.columns, "_r.*")
 
 
 def updated_entries(entries: DataFrame, since: str, entry: str = "entry") -> DataFrame:
@@ -95,14 +96,16 @@ def unique_records(records: DataFrame) -> DataFrame:
         records.groupBy("server_identifier", "server_version")
         .agg(
             F.min("canonical_json").alias("canonical_json"),
-            F.max("canonical_json").alias("_last"),
+            # digests instead of the texts: one text of a record is shuffled, not two
+            F.min(F.sha2("canonical_json", 256)).alias("_first"),
+            F.max(F.sha2("canonical_json", 256)).alias("_last"),
             F.min("canonical_sha256").alias("canonical_sha256"),
             F.min("observed_at").alias("observed_at"),
         )
         .filter(
-            F.when(F.col("canonical_json") != F.col("_last"), F.raise_error(bad)).otherwise(F.lit(True))
+            F.when(F.col("_first") != F.col("_last"), F.raise_error(bad)).otherwise(F.lit(True))
         )
-        .drop("_last")
+        .drop("_first", "_last")
     )
 
 
@@ -164,11 +167,12 @@ def record_digest(canonical: Column | str) -> Column:
 def read_artifacts(spark: SparkSession, bundle: str) -> DataFrame:
     """Path, size and digest of every page and canonical file of a bundle.
 
-    A page written as a one-file folder goes by the name of its folder.
+    A page is a file or a folder with one file, which goes by the name of its folder.
     """
     relative = F.regexp_extract("path", r"/((?:raw|canonical)/.*)\z", 1)
     name = F.regexp_replace(relative, r"\A(raw/page=[0-9]+)/.*\z", "$1")
-    return file_digests(spark, f"{bundle}/{{raw/page[-=]*,canonical}}").withColumn("path", name)
+    # a folder without canonical records has no such path
+    return file_digests(spark, f"{bundle}/{{raw,canonical}}", only=r"/(?:raw/page[-=]|canonical/)").withColumn("path", name)
 
 
 def expected_request_urls(index: DataFrame, base: str, updated_since: str | None) -> DataFrame:

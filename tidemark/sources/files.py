@@ -22,16 +22,39 @@ WHOLE = 64 << 20
 RANGE = 8 << 20
 
 
-def opened(path: str) -> pa.NativeFile:
-    """A file of any file system that pyarrow knows, for reading."""
+def _placed(path: str) -> tuple[fs.FileSystem, str]:
     local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", path)
     if local:
-        return fs.LocalFileSystem().open_input_stream(re.sub(r"\A/+", "/", local.group(1)))
+        return fs.LocalFileSystem(), re.sub(r"\A/+", "/", local.group(1))
     scheme, _, rest = path.partition("://")
-    system, place = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+    return fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file of any file system that pyarrow knows, for reading."""
+    system, place = _placed(path)
     return system.open_input_stream(place)
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Write each row (name, body) of text as a file of its own below a folder, from the tasks that hold the rows.
+
+    Many small files in one folder are listed at once, and no task renames or commits them one by one. A task that runs
+    again writes the same files; whoever needs all or nothing adds a marker afterwards.
+    """
+    _placed(folder)[0].create_dir(_placed(folder)[1], recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = _placed(folder)
+        for batch in batches:
+            for name, body in zip(batch.column(0), batch.column(1)):
+                with system.open_output_stream(f"{place}/{name.as_py()}") as out:
+                    out.write(body.as_py().encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    rows.select(F.col("name").cast("string"), "body").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def streamed_digest(path: str, size: int = RANGE) -> tuple[int, str]:
     """(bytes, SHA-256) of a file that is read in ranges."""
     total, digest = 0, hashlib.sha256()
@@ -42,9 +65,13 @@ def streamed_digest(path: str, size: int = RANGE) -> tuple[int, str]:
     return total, digest.hexdigest()
 
 
-def file_digests(spark: SparkSession, pattern: str, whole: int = WHOLE, size: int = RANGE) -> DataFrame:
-    """(path, size, sha256) of the files that match a pattern of paths, folders taken with all below them."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern)
+def file_digests(spark: SparkSession, pattern: str | list[str], whole: int = WHOLE, size: int = RANGE, only: str = "") -> DataFrame:
+    """(path, size, sha256) of the files that match a pattern of paths, folders taken with all below them.
+
+    ``only`` is a regular expression that the path of a file must hold; others are left out before a file is opened.
+    A folder of many files is listed at once, a pattern that matches each of them is one listing for each.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(pattern).where(F.col("_metadata.file_path").rlike(only))
     small = found.where(F.col("length") <= whole).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
