@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.documents import strict_inventory, strict_observation, strict_target
-from ..session import spread
+from ..session import spread, staged
 
 # Scan limits.
 MAX_LINE_BYTES = 20 * 1024 * 1024
@@ -118,7 +118,9 @@ def within_limits(observations: DataFrame, max_records: int | None, max_targets:
     """The observations; the job fails if there are more records or targets than allowed.
 
     Both numbers are one aggregate row that a scalar subquery brings to every task, so no row passes before they are known.
+    The observations are written first: parsing a line costs far more than reading it back, and both need them.
     """
+    observations = staged(observations, "limited")
     counts = observations.agg(F.count(F.lit(1)).alias("records"), F.countDistinct("target_id").alias("targets"))
     problem = F.lit(None).cast("string")
     for name, limit, what in (("targets", max_targets, "target"), ("records", max_records, "record")):
