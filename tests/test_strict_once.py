@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tidemark.sources import lines
 
 
@@ -31,3 +33,15 @@ def test_limited_scan_parses_a_line_once(spark, tmp_path):
     limited = lines.read_observations(spark, path, max_records=6, max_targets=3)
     assert _parsers(limited) == 0  # parsed rows are read back for the counts and for the result
     assert sorted(r.target_id for r in limited.collect()) == ["t0", "t0", "t1", "t1", "t2", "t2"]
+
+
+def test_lines_of_one_split_are_dealt_out(spark):
+    task = spark.conf.get("spark.tidemark.tasks")
+    spark.conf.unset("spark.tidemark.tasks")
+    try:
+        one = spark.range(0, 100, 1, 1).select(F.lit(_observation("t")).alias("value"), F.col("id").alias("seq"))
+        parsed = lines.parse_observations(one)
+        assert parsed.rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+        assert parsed.filter("error IS NULL").count() == 100
+    finally:
+        spark.conf.set("spark.tidemark.tasks", task)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.documents import strict_inventory, strict_observation, strict_target
-from ..session import spread, staged
+from ..session import dealt, staged
 
 # Scan limits.
 MAX_LINE_BYTES = 20 * 1024 * 1024
@@ -54,7 +54,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
 
 
 def _split(lines: DataFrame, parser, max_line_bytes: int) -> DataFrame:
-    parsed = spread(lines).withColumn("doc", parser(F.col("value")))
+    parsed = dealt(lines).withColumn("doc", parser(F.col("value")))
     too_long = F.octet_length("value") > max_line_bytes
     return parsed.select(
         "seq",
