@@ -2,8 +2,11 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.functions import documents
+from tidemark.plans import drift_queries
 from tidemark.sources import lines
 
 
@@ -45,3 +48,17 @@ def test_lines_of_one_split_are_dealt_out(spark):
         assert parsed.filter("error IS NULL").count() == 100
     finally:
         spark.conf.set("spark.tidemark.tasks", task)
+
+
+def test_inventories_are_parsed_once(spark, sf):
+    assert _parsers(drift_queries.inventory_documents(spark, sf)) == 1
+
+
+def test_texts_become_objects_a_few_at_a_time():
+    udf = documents.strict_inventory().func
+    text = '{"inventory_version": 1, "server": {"downstream_executable": "x"}, "tools": [{"name":"a"}]}'
+    pieces = list(udf(iter([pa.array([text] * (documents.ROWS_AT_ONCE + 1) + [None, "{"])])))
+    assert [len(p) for p in pieces] == [documents.ROWS_AT_ONCE, 3]
+    rows = pieces[1].to_pylist()
+    assert rows[0] == {"error": None, "executable": "x", "tools": [{"name": "a", "definition": '{"name":"a"}'}]}
+    assert rows[1]["error"] == "missing text" and rows[2]["tools"] is None and rows[2]["error"]
