@@ -80,3 +80,14 @@ def test_an_attempt_that_broke_off_is_not_searched(spark, docs):
     assert textindex.TextIndex.read(spark, root).names.count() == len(TEXTS)
     with pytest.raises(FileExistsError):
         textindex.add_segment(textindex.segment(docs, "id", FIELDS), root, 2)
+
+
+def test_words_are_counted_in_their_row(docs):
+    """One shuffle brings the postings to their files: none counts words, and no sample makes them twice."""
+    postings = textindex.segment(docs, "id", FIELDS)["postings"]
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1 and "ASC NULLS FIRST], true" not in plan
+    rows = {(r.doc, r.term): (r.tf, r.words, r["first"]) for r in postings.collect()}
+    assert rows[8, "data"] == (300, 301, ord("d") % textindex.FOLDERS) and rows[8, "weather"][:2] == (1, 301)
+    assert rows[3, "weather"][:2] == (3, 6) and (2, "weather") in rows and rows[4, "beta"][:2] == (1, 1)
+    assert sum(tf for tf, _, _ in rows.values()) == textindex.segment(docs, "id", FIELDS)["statistics"].first().words

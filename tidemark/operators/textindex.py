@@ -4,7 +4,8 @@ Each import adds one segment, three tables that become visible with the import:
 
 ``postings``    (first, term, doc, tf, words): how often a term stands in a document, and the document's length.
                 Folders by ``first``, a number from the term's first character; files sorted by term, so that row
-                groups cover narrow ranges of terms. A frequent term lies in many files.
+                groups and pages cover narrow ranges of terms. A file holds a share of the documents, so a frequent
+                term lies in many files.
 ``names``       what a listing shows of a document: its id, identifier and version.
 ``statistics``  documents and words of the segment.
 
@@ -28,6 +29,7 @@ from ..sinks.publish import generations, publish_generation
 from . import explore
 
 FOLDERS = 64  # of postings in one segment
+PARTS = 16  # of a folder, by document: a file each, or fewer where Spark puts them together
 NAMES = ("server_identifier", "server_version")
 
 
@@ -41,13 +43,18 @@ def _lowered(fields: Iterable[str]) -> Column:
 
 def segment(docs: DataFrame, doc: str, fields: tuple[str, ...], names: tuple[str, ...] = NAMES) -> dict[str, DataFrame]:
     """The tables of one segment for documents with a unique id in the column ``doc``."""
-    words = docs.select(F.col(doc).alias("doc"), text.tokens(_lowered(fields)).alias("tokens"))
-    terms = words.select("doc", F.size("tokens").alias("words"), F.explode("tokens").alias("term"))
-    # all words of a document meet in its task, so they are counted before they are shuffled
-    counted = terms.groupBy("doc", "words", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    postings = counted.select(_first(F.col("term")).alias("first"), "term", "doc", "tf", "words")
-    postings = postings.repartitionByRange("first", "term", "doc").sortWithinPartitions("first", "term", "doc")
-    lengths = docs.select(text.word_count(_lowered(fields)).alias("words"))
+    words = docs.select(F.col(doc).alias("doc"), F.sort_array(text.tokens(_lowered(fields))).alias("sorted"))
+    # all words of a document are in its row, so they are counted there: equal ones are neighbours, and a run ends where the next begins
+    place = F.sequence(F.lit(1), F.size("sorted"))
+    last = F.filter(place, lambda i: F.coalesce(F.get("sorted", i) != F.get("sorted", i - 1), F.lit(True)))
+    ends = words.filter(F.size("sorted") > 0).withColumn("ends", last)
+    runs = F.transform("ends", lambda e, k: F.struct(F.get("sorted", e - 1).alias("term"), (e - F.coalesce(F.get("ends", k - 1), F.lit(0))).alias("tf")))
+    counted = ends.select("doc", F.size("sorted").alias("words"), F.explode(runs).alias("run"))
+    postings = counted.select(_first(F.col("run.term")).alias("first"), "run.term", "doc", "run.tf", "words")
+    # ranges would be found by a sample of all postings, made a second time for it
+    part = F.pmod(F.xxhash64("doc"), F.lit(PARTS))
+    postings = postings.repartition("first", part).sortWithinPartitions("first", "term", "doc")
+    lengths = docs.select(F.size(text.tokens(_lowered(fields))).alias("words"))
     return {
         "postings": postings,
         "names": docs.select(F.col(doc).alias("doc"), *names),
