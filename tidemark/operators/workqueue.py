@@ -291,13 +291,11 @@ def resolve_packages(requests: DataFrame, packages: DataFrame, versions: DataFra
     """Exact package of each (server, version, package) request, or why there is none.
 
     Several rows are fine when they name one artifact; the lowest position wins. A request's
-    matches fold to counts and one struct, whatever their number. Versions and packages that nobody asks for go
-    before the two meet.
+    matches fold to counts and one struct, whatever their number. Packages that nobody asks for go by their whole key,
+    by which the requests lie already, before the fold.
     """
     pair = ["server_identifier", "server_version"]
-    asked = versions.select(F.col("id").alias("server_version_id"), *pair).join(requests.select(*pair), pair, "left_semi")
-    wanted = packages.join(requests.select(F.col("package_identifier").alias("identifier")), "identifier", "left_semi")
-    named = wanted.join(asked, "server_version_id").select(
+    named = packages.join(versions.select(F.col("id").alias("server_version_id"), *pair), "server_version_id").select(
         "server_identifier",
         "server_version",
         F.col("identifier").alias("package_identifier"),
